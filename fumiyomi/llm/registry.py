@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from fumiyomi.llm.bpe import op10_bpe
+from fumiyomi.llm.langid import op5_language_id
 from fumiyomi.llm.packing import op6_best_fit_packing
+from fumiyomi.llm.quality_rules import op2_quality_rules
 from fumiyomi.llm.token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_language_id, op6_best_fit_packing, op7_token_counts, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
