@@ -86,3 +86,49 @@ class Memo(dict):
     def room(self, n: int) -> None:
         if len(self) + n > self.most:
             self.clear()
+
+
+def runs(frames: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, list[tuple]]]:
+    """Consecutive rows with the same key, over the borders of frames: the key, and the rows as tuples of all columns."""
+    held: list[tuple] = []
+    last = None
+    for frame in frames:
+        k = list(frame.columns).index(key)
+        for row in zip(*(frame[c].tolist() for c in frame.columns), strict=True):
+            if held and row[k] != last:
+                yield last, held
+                held = []
+            last = row[k]
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def connected(edges: DataFrame, kind: str = "components") -> DataFrame:
+    """Connected components of undirected edges (a, b: long, a <> b): node and comp, its least node, for each node of an edge.
+
+    Alternates the large-star and small-star steps: minima by key are partial sums, joins split hot keys, and each step's
+    edges are a table in the shared folder. Nothing but two numbers a round comes to the driver."""
+
+    def both(e: DataFrame) -> DataFrame:
+        return e.union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"))
+
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), kind)
+    state = None
+    while True:
+        sides = both(now)  # large star: larger neighbours go to the least of the neighbourhood
+        m = least(sides).withColumn("m", F.least("u", "m"))
+        large = sides.join(m, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(large.filter("a <> b"), kind)
+        m = large.groupBy("a").agg(F.min("b").alias("m"))  # small star: smaller neighbours and the node go to the least of them
+        small = large.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        now = written(small.union(m.select("a", F.col("m").alias("b"))).distinct(), kind)
+        r = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if state == (r["n"], r["h"]):
+            break
+        state = (r["n"], r["h"])
+    comp = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    return comp.union(comp.select(F.col("comp").alias("node"), "comp").distinct())

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from fumiyomi.llm.bpe import op10_bpe
 from fumiyomi.llm.fingerprints import op4_fingerprints
+from fumiyomi.llm.jaccard_join import op9_jaccard_join
 from fumiyomi.llm.langid import op5_language_id
 from fumiyomi.llm.packing import op6_best_fit_packing
 from fumiyomi.llm.quality_rules import op2_quality_rules
 from fumiyomi.llm.token_counts import op7_token_counts
 from fumiyomi.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op9_jaccard_join, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
