@@ -81,6 +81,7 @@ class Bpe:
                     self.shorter[r] = p
                     break
         self.fits: dict[tuple[int, int], bool] = Memo(1_000_000)
+        self.words: dict[str, list[int]] = Memo(300_000)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -149,13 +150,18 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        ids = self.id_of_rank
+        ids, words = self.id_of_rank, self.words
         for part in self.parts.split(text) if self.parts else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 for m in self.pattern.findall(part):
-                    out += [ids[r] for r in self.word(m.encode())]
+                    if (known := words.get(m)) is None:
+                        known = [ids[r] for r in self.word(m.encode())]
+                        if len(m) <= 32:
+                            words.room(1)
+                            words[m] = known
+                    out += known
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -181,7 +187,7 @@ def bpe(path: str) -> Bpe:
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> Pieces:
     model = bpe(path)
-    return Pieces(lambda new: [np.array(model.encode(p), "<u4").tobytes() for p in new], most=500_000)
+    return Pieces(lambda new: [np.array(model.encode(p), "<u4").tobytes() for p in new], most=450_000)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

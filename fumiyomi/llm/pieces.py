@@ -9,8 +9,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from fumiyomi.llm.common import Memo
-
 #: Other white space before ASCII white space makes one run of both: such texts stay whole.
 _MIXED = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　][\x20\x09-\x0d]")
 _PIECE = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
@@ -31,26 +29,29 @@ def cut(text: str) -> list[str]:
 
 
 class Pieces:
-    """Encodes texts by their pieces; what a piece gives is kept in a bounded memo."""
+    """Encodes texts by their pieces; what a piece gives is kept in two bounded memos: a full one is the older one from then on."""
 
     def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000, longest: int = 64):
-        self.encode, self.memo, self.longest = encode, Memo(most), longest
+        self.encode, self.most, self.longest = encode, most, longest
+        self.memo: dict = {}
+        self.older: dict = {}
 
     def __call__(self, texts: list[str | None]) -> list[list]:
         """For each text what encode gives for its pieces; encode gets the new pieces of all texts at once."""
         cuts = [cut(t) if t else [] for t in texts]
-        memo = self.memo
-        new = {p for pieces in cuts for p in pieces if p not in memo}
-        own: dict = {}
-        if new:
-            fresh = list(new)
-            memo.room(len(fresh))
-            if not memo:  # it was emptied: what these texts need is encoded again
-                fresh = list({p for pieces in cuts for p in pieces})
+        memo, get = self.memo, self.memo.get
+        out = [list(map(get, pieces)) for pieces in cuts]
+        short = [i for i, found in enumerate(out) if None in found]
+        if short:
+            missed = {p for i in short for p, x in zip(cuts[i], out[i], strict=True) if x is None}
+            own = {p: x for p in missed if (x := self.older.get(p)) is not None}
+            fresh = [p for p in missed if p not in own]
             for i in range(0, len(fresh), 50_000):
-                for p, x in zip(fresh[i : i + 50_000], self.encode(fresh[i : i + 50_000]), strict=True):
-                    (memo if len(p) <= self.longest else own)[p] = x
-        if own:
-            get = lambda p: own[p] if p in own else memo[p]
-            return [[get(p) for p in pieces] for pieces in cuts]
-        return [list(map(memo.__getitem__, pieces)) for pieces in cuts]
+                own.update(zip(fresh[i : i + 50_000], self.encode(fresh[i : i + 50_000]), strict=True))
+            for i in short:
+                out[i] = [own[p] if x is None else x for p, x in zip(cuts[i], out[i], strict=True)]
+            if len(memo) + len(own) > self.most:
+                self.older = memo
+                self.memo = memo = {}
+            memo.update((p, x) for p, x in own.items() if len(p) <= self.longest)
+        return out
