@@ -11,7 +11,7 @@ have equal anchors. Three steps:
    ties. Splitters part whole k-grams, so what a bucket's first and last suffix could match beyond its borders begins with
    their own k-gram and is in the bucket. Common prefixes of neighbours, to the right and (sorted by the bytes
    before) to the left, give for each split of SPAN bytes around the k-gram the classes of equal strings; all members but those
-   of the least document are covered. Suffixes of one batch with equal bytes on both sides are settled before they travel.
+   of the least document are covered. Suffixes of one chunk with equal bytes on both sides are settled before they travel.
 3. Covered ranges meet their document's text.
 
 Documents are ordered by doc_id; those without one are after all others and not before one another, as are equal ids. Strings
@@ -26,9 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fumiyomi.llm.chunks import CHUNK_BITS, LAST_ID, chunks, numbered, opened
 from fumiyomi.llm.common import by_bytes, documents, written
 from fumiyomi.llm.fingerprints import mix
 
@@ -41,7 +43,6 @@ BATCH_BYTES = 2_000_000
 BUCKET_BYTES, RANGE_BYTES = 32_000_000, 16_000_000
 #: Documents sampled for splitters and common k-grams, and the share of them that makes a k-gram common.
 SAMPLE, COMMON = 2000, 0.005
-LAST_ID = np.iinfo(np.int64).max
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -92,6 +93,17 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """From and to of runs of equal values."""
+    edges = _edges(x).tolist()
+    return list(zip(edges, edges[1:] + [len(x)], strict=True)) if edges else []
+
+
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     return by_bytes(frames, "text", BATCH_BYTES)
 
@@ -117,8 +129,7 @@ def hashed(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
             bucket, owner, short = bucket[new], owner[new], short[new]
             rows, ids = frame["row"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)
             out = []
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            for lo, hi in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
+            for lo, hi in _runs(bucket):
                 who, count = np.unique(owner[lo:hi], return_counts=True)
                 out.append((int(bucket[lo]), rows[who].tobytes(), ids[who].tobytes(), count.astype(np.int32).tobytes(), _packed(short[lo:hi])))
             yield pd.DataFrame(out, columns=["bucket", "rows", "ids", "counts", "hashes"])
@@ -127,7 +138,7 @@ def hashed(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
 
 
 def repeated(packed: DataFrame) -> DataFrame:
-    """row and hashes: of each document those of its k-grams in this bucket that another document has, too."""
+    """chunk and hashes: of each chunk of documents those of its k-grams in this bucket that another document has, too."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = np.frombuffer(b"".join(frame["rows"]), np.int64)
@@ -135,19 +146,25 @@ def repeated(packed: DataFrame) -> DataFrame:
         count = np.frombuffer(b"".join(frame["counts"]), np.int32)
         h = _unpacked(b"".join(frame["hashes"]))
         run_of = np.repeat(np.arange(len(rows)), count)
+        if not len(h):
+            return pd.DataFrame({"chunk": np.zeros(0, np.int64), "hashes": []})
         order = np.argsort(h, kind="stable")
         s, who = h[order], ids[run_of[order]]
-        edges = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        edges = _edges(s)
         apart = np.minimum.reduceat(who, edges) != np.maximum.reduceat(who, edges)
-        stays = np.zeros(len(h), bool)
-        stays[order] = np.repeat(apart, np.diff(np.append(edges, len(s))))
-        run_of, h = run_of[stays], h[stays]
-        edges = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1])) if len(h) else np.zeros(0, np.int64)
+        at = order[np.repeat(apart, np.diff(np.append(edges, len(s))))]
+        chunk, h = rows[run_of[at]] >> CHUNK_BITS, h[at]
+        order = np.lexsort((h, chunk))
+        chunk, h = chunk[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (chunk[1:] != chunk[:-1]) | (h[1:] != h[:-1])
+        chunk, h = chunk[new], h[new]
         raw = _packed(h)
-        ends = np.append(edges[1:], len(h))
-        return pd.DataFrame({"row": rows[run_of[edges]], "hashes": [raw[6 * a : 6 * b] for a, b in zip(edges.tolist(), ends.tolist(), strict=True)]})
+        return pd.DataFrame({"chunk": chunk[_edges(chunk)], "hashes": [raw[6 * a : 6 * b] for a, b in _runs(chunk)]})
+
+    return packed.groupBy("bucket").applyInPandas(run, "chunk long, hashes binary")
+
 
-    return packed.groupBy("bucket").applyInPandas(run, "row long, hashes binary")
 
 
 def multikey(words: list[np.ndarray]) -> np.ndarray:
@@ -228,65 +245,63 @@ _RANGE = np.dtype([("row", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 
 
 def suffixes(found: DataFrame, splitters: np.ndarray, common: np.ndarray) -> DataFrame:
-    """Records of suffixes whose k-gram repeats, by range of their leading bytes; and ranges that the batch itself settles."""
+    """Records of suffixes whose k-gram repeats, by range of their leading bytes; and ranges that the chunk itself settles."""
     held = found.sparkSession.sparkContext.broadcast((splitters, common))
 
+    def records(rows: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.cumsum(size) - size
+        at, h = anchors(raw, first, size)
+        at = at[np.isin(h & _LOW48, known)]
+        owner = np.searchsorted(first, at, "right") - 1
+        padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(SPAN, np.uint8)])
+        record = np.zeros(len(at), _RECORD)
+        record["context"] = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
+        inside = at - first[owner]
+        record["before"] = np.minimum(inside, REACH)
+        record["after"] = np.minimum(size[owner] - inside - KGRAM, REACH)
+        record["id"], record["row"], record["at"] = ids[owner], rows[owner], inside
+        full = np.flatnonzero((record["before"] == REACH) & (record["after"] == REACH))
+        if len(full) < 2:
+            return record, np.zeros(0, _RANGE)
+        order = full[multikey(_words(record["context"][full]))]  # equal on both sides: only the least document's travels
+        same = (record["context"][order[1:]] == record["context"][order[:-1]]).all(1)
+        edges = np.flatnonzero(np.append(True, ~same))
+        least = np.repeat(np.minimum.reduceat(record["id"][order], edges), np.diff(np.append(edges, len(order))))
+        done = order[record["id"][order] > least]
+        settled = np.zeros(len(done), _RANGE)
+        settled["row"], settled["lo"], settled["hi"] = record["row"][done], record["at"][done] - REACH, record["at"][done] + SPAN
+        return np.delete(record, done), settled
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         splitters, common = held.value
-        for frame in _batches(frames):
-            raw, first, size = joined(frame["text"].tolist())
-            at, h = anchors(raw, first, size)
-            own = [_unpacked(bytes(x)) for blobs in frame["hashes"] if blobs is not None for x in blobs]
-            stays = np.isin(h & _LOW48, np.unique(np.concatenate([common, *own])))
-            at = at[stays]
-            if not len(at):
-                continue
-            owner = np.searchsorted(first, at, "right") - 1
-            padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(SPAN, np.uint8)])
-            record = np.zeros(len(at), _RECORD)
-            record["context"] = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
-            inside = at - first[owner]
-            record["before"] = np.minimum(inside, REACH)
-            record["after"] = np.minimum(size[owner] - inside - KGRAM, REACH)
-            record["id"] = frame["id"].to_numpy(np.int64)[owner]
-            record["row"] = frame["row"].to_numpy(np.int64)[owner]
-            record["at"] = inside
-            full = (record["before"] == REACH) & (record["after"] == REACH)
-            settled = np.zeros(0, _RANGE)
-            if full.sum() > 1:  # equal on both sides: only the least document's travels
-                at_full = np.flatnonzero(full)
-                order = at_full[multikey(_words(record["context"][at_full]))]
-                same = (record["context"][order[1:]] == record["context"][order[:-1]]).all(1)
-                edges = np.flatnonzero(np.append(True, ~same))
-                least = np.repeat(np.minimum.reduceat(record["id"][order], edges), np.diff(np.append(edges, len(order))))
-                done = order[record["id"][order] > least]
-                settled = np.zeros(len(done), _RANGE)
-                settled["row"] = record["row"][done]
-                settled["lo"] = record["at"][done] - REACH
-                settled["hi"] = record["at"][done] + SPAN
-                stay = np.ones(len(record), bool)
-                stay[done] = False
-                record = record[stay]
-            lead = np.ascontiguousarray(record["context"][:, REACH : REACH + KGRAM]).view(f"S{KGRAM}").ravel()
-            bucket = np.searchsorted(splitters, lead, "right")
-            order = np.argsort(bucket, kind="stable")
-            bucket, record = bucket[order], record[order]
-            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            out = [(int(bucket[lo]), record[lo:hi].tobytes(), b"") for lo, hi in zip(edges, np.append(edges[1:], len(bucket)), strict=True)]
-            if len(settled):
-                where = out[0][0] if out else 0
-                out.append((where, b"", settled.tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "records", "settled"])
+        pack = zstandard.ZstdCompressor(level=3)
+        for frame in frames:
+            for blob, hashes in zip(frame["blob"], frame["hashes"], strict=True):
+                own = [_unpacked(bytes(x)) for x in hashes] if hashes is not None else []
+                record, settled = records(*opened(bytes(blob)), np.unique(np.concatenate([common, *own])))
+                lead = np.ascontiguousarray(record["context"][:, REACH : REACH + KGRAM]).view(f"S{KGRAM}").ravel()
+                bucket = np.searchsorted(splitters, lead, "right")
+                order = np.argsort(bucket, kind="stable")
+                bucket, record = bucket[order], record[order]
+                out = [(int(bucket[lo]), pack.compress(record[lo:hi].tobytes()), b"") for lo, hi in _runs(bucket)]
+                if len(settled):
+                    out.append((out[0][0] if out else 0, b"", pack.compress(settled.tobytes())))
+                yield pd.DataFrame(out, columns=["bucket", "records", "settled"])
 
     return found.mapInPandas(run, "bucket int, records binary, settled binary")
 
 
+def _all(blobs: Iterator[bytes], kind: np.dtype) -> np.ndarray:
+    unpack = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(unpack.decompress(b) for b in blobs if b), kind)
+
+
 def ranges(dealt: DataFrame) -> DataFrame:
-    """row and covered ranges (packed pairs of bytes from, to)."""
+    """chunk and covered ranges of its documents (packed records of row, from, to)."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        record = np.frombuffer(b"".join(frame["records"]), _RECORD)
-        out = [np.frombuffer(b"".join(frame["settled"]), _RANGE)]
+        record = _all(frame["records"], _RECORD)
+        out = [_all(frame["settled"], _RANGE)]
         if len(record) > 1:
             left, right = covered(record["context"], record["before"], record["after"], record["id"])
             hit = left >= 0
@@ -297,15 +312,11 @@ def ranges(dealt: DataFrame) -> DataFrame:
             out.append(own)
         found = np.concatenate(out)
         found = found[np.argsort(found["row"], kind="stable")]
-        edges = np.flatnonzero(np.append(True, found["row"][1:] != found["row"][:-1])) if len(found) else np.zeros(0, np.int64)
-        pair = np.ascontiguousarray(np.stack([found["lo"], found["hi"]], 1))
-        return pd.DataFrame({"row": found["row"][edges], "ranges": [pair[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(found)), strict=True)]})
-
-    return dealt.groupBy("bucket").applyInPandas(run, "row long, ranges binary")
+        chunk = found["row"] >> CHUNK_BITS
+        pack = zstandard.ZstdCompressor(level=3)
+        return pd.DataFrame({"chunk": chunk[_edges(chunk)], "ranges": [pack.compress(found[a:b].tobytes()) for a, b in _runs(chunk)]})
 
-
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST_ID))).alias("id"), F.col("text").cast("binary").alias("text"))
+    return dealt.groupBy("bucket").applyInPandas(run, "chunk long, ranges binary")
 
 
 def sampled(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -335,28 +346,41 @@ def sampled(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.array(sorted(k for k, c in total.items() if c >= bar), np.uint64)
 
 
-def covered_ranges(docs: DataFrame) -> DataFrame:
-    """row and ranges (array of packed pairs) of the documents that lose bytes; rows are places in the scan of docs."""
+def chunk_ranges(docs: DataFrame) -> DataFrame:
+    """chunk and ranges (array of packed records) of the chunks that lose bytes; rows are places in the scan of docs."""
     base = numbered(docs)
     about = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n, size = about["n"], about["bytes"] or 0
     grams, common = sampled(base, n)
     buckets, parts = max(4, -(-size // BUCKET_BYTES)), max(8, -(-size // RANGE_BYTES))
     splitters = np.unique(grams[np.linspace(0, len(grams) - 1, parts + 1).astype(int)[1:-1]]) if len(grams) else grams
-    hashes = repeated(hashed(base, buckets, common)).groupBy("row").agg(F.collect_list("hashes").alias("hashes"))
-    found = base.join(hashes, "row", "left" if len(common) else "inner")
-    return ranges(suffixes(found, splitters, common)).groupBy("row").agg(F.collect_list("ranges").alias("ranges"))
+    hashes = repeated(hashed(base, buckets, common)).groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"))
+    found = chunks(base).join(hashes, "chunk", "left" if len(common) else "inner")
+    return ranges(suffixes(found, splitters, common)).groupBy("chunk").agg(F.collect_list("ranges").alias("ranges"))
+
+
+def merged(blobs) -> dict[int, list[tuple[int, int]]]:
+    """Maximal runs of covered bytes, by row."""
+    found = _all((bytes(b) for b in blobs), _RANGE) if blobs is not None and len(blobs) else np.zeros(0, _RANGE)
+    found = found[np.lexsort((found["lo"], found["row"]))]
+    out = {}
+    for a, b in _runs(found["row"]):
+        lo, reach = found["lo"][a:b], np.maximum.accumulate(found["hi"][a:b])
+        begin = np.flatnonzero(np.append(True, lo[1:] > reach[:-1]))
+        out[int(found["row"][a])] = list(zip(lo[begin].tolist(), reach[np.append(begin[1:], b - a) - 1].tolist(), strict=True))
+    return out
 
 
-def merged(blobs: list | None) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
-    if blobs is None or not len(blobs):
-        return []
-    pair = np.frombuffer(b"".join(bytes(b) for b in blobs), "<i4").reshape(-1, 2)
-    pair = pair[np.argsort(pair[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(pair[:, 1])
-    edges = np.flatnonzero(np.append(True, pair[1:, 0] > reach[:-1]))
-    return list(zip(pair[edges, 0].tolist(), reach[np.append(edges[1:], len(pair)) - 1].tolist(), strict=True))
+def covered_ranges(docs: DataFrame) -> DataFrame:
+    """row and spans (array of from, to in bytes) of the documents that lose bytes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for blobs in frame["ranges"]:
+                own = merged(blobs)
+                yield pd.DataFrame({"row": list(own), "spans": [[{"lo": a, "hi": b} for a, b in x] for x in own.values()]})
+
+    return chunk_ranges(docs).mapInPandas(run, "row long, spans array<struct<lo:int,hi:int>>")
 
 
 def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -367,32 +391,33 @@ def cut_out(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = written(covered_ranges(docs), "ranges")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
+    found = written(chunk_ranges(docs), "ranges")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for text, blobs in zip(frame["text"], frame["ranges"], strict=True):
-                raw, spans = bytes(text) if text is not None else b"", merged(blobs)
-                rows.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut_out(raw, spans)).hexdigest()))
-            yield pd.DataFrame({"doc_id": frame["doc_id"]} | {k: pd.Series([r[i] for r in rows], index=frame.index) for i, k in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256"))})
+            for blob, blobs in zip(frame["blob"], frame["ranges"], strict=True):
+                rows, ids, size, joined_ = opened(bytes(blob))
+                spans, raw, first, out = merged(blobs), joined_.tobytes(), np.cumsum(size) - size, []
+                for row, i, n, a in zip(rows.tolist(), ids.tolist(), size.tolist(), first.tolist(), strict=True):
+                    own = spans.get(row, [])
+                    kept = cut_out(raw[a : a + n], own)
+                    out.append((None if i == LAST_ID else i, n, n - len(kept), len(own), hashlib.sha256(kept).hexdigest()))
+                frame_ = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield frame_.astype({"doc_id": "Int64"})
 
-    return texts.join(found, "row", "left").select("doc_id", "text", "ranges").mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return chunks(numbered(docs)).join(found, "chunk", "left").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with covered bytes cut out of text (parts of characters left at an edge are dropped); all rows and columns stay."""
-    found = written(covered_ranges(docs), "ranges")
+    found = written(covered_ranges(docs), "ranges").withColumnsRenamed({"row": "_row", "spans": "_spans"})
 
     @F.pandas_udf("string")
-    def rest(text: pd.Series, blobs: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or b is None else cut_out(t.encode(), merged(b)).decode("utf-8", "ignore") for t, b in zip(text, blobs, strict=True)], dtype=object)
+    def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or x is None else cut_out(t.encode(), [(s["lo"], s["hi"]) for s in x]).decode("utf-8", "ignore") for t, x in zip(text, spans, strict=True)], dtype=object)
 
     keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = found.withColumnsRenamed({"row": "_row", "ranges": "_ranges"})
-    return keyed.join(found, "_row", "left").withColumn("text", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(rest("text", "_ranges"))).drop("_row", "_ranges")
+    return keyed.join(found, "_row", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest("text", "_spans"))).drop("_row", "_spans")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
