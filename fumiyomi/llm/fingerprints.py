@@ -76,10 +76,11 @@ def parse(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.searchsorted(at, first)
         x = x[at]
         x = np.where(run > 1, mix(x.astype(np.uint64) + _M1 * run.astype(np.uint64)), x.astype(np.uint64)) if run.max() > 1 else x
-        equal = np.flatnonzero(x[1:] == x[:-1])  # a named run can't equal its neighbour but by chance
-        if len(equal):
+        equal = x[1:] == x[:-1]  # within a text a named run can't equal its neighbour but by chance
+        equal[first[1:] - 1] = False
+        if equal.any():
             x = x.astype(np.uint64)
-            x[equal + 1] = ~x[equal + 1]
+            x[1:][equal] = ~x[1:][equal]
         n = len(x)
     label = _toss(x, first)
     low = np.zeros(n, bool)

@@ -154,8 +154,7 @@ def compare(left: list[tuple], right: list[tuple] | None, threshold: float, bars
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """row, doc_id, class_id (least doc_id of the group), copies_id (least doc_id of equal sets), n_links (other rows at
     or above the threshold) and first (the one row of its group that stays) for each row of docs."""
-    spark = docs.sparkSession
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     table = written(measured(numbered), "shingles")
     classes = table.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x"), F.count(F.lit(1)).alias("weight"))
     classes = written(classes.select("d1", "d2", F.col("x.row").alias("cls"), F.col("x.doc_id").alias("copies_id"), "weight"), "classes")
@@ -213,8 +212,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each group: the least by (doc_id, place)."""
-    kept = links(docs, threshold).filter("first").select("row")
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(kept, "row", "left_semi").drop("row")
+    kept = links(docs, threshold).filter("first").select(F.col("row").alias("_place"))
+    return docs.withColumn("_place", F.monotonically_increasing_id()).join(kept, "_place", "left_semi").drop("_place")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

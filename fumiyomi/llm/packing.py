@@ -4,7 +4,7 @@ A document's tokens end with one separator. Longer documents than a sequence are
 which may be shorter; only the shorter one is left to place. Documents are dealt by hash to shards of bounded size,
 each packed in one task: best fit by decreasing length, then local search: from the emptiest bins, documents move to
 another underfull bin, or are exchanged one for one or two for one, wherever the sum of squared fills grows, until
-bins are empty. The search ends at the lower bound or when a round empties no bin.
+bins are empty. The search ends at the lower bound, when no step is left, or when some rounds emptied no bin.
 
 Null texts are empty: a piece of the separator alone. Repeated rows are packed each; of equal lengths the first in
 the shard's order goes first. Other columns than id and text are not read. An empty table gives no rows.
@@ -30,8 +30,8 @@ from fumiyomi.llm.common import by_bytes, documents
 CAPACITY = 2048
 #: Documents that a shard holds, about.
 SHARD = 8192
-#: Bins that a round of the search tries to empty.
-TRIED = 64
+#: Bins that a round of the search tries to empty, and rounds in which none becomes empty before it ends.
+TRIED, PATIENCE = 256, 4
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +85,7 @@ class Bins:
     """Bins of one shard, by best fit and then by local search."""
 
     def __init__(self, lengths: np.ndarray, capacity: int):
-        self.lengths, self.capacity = lengths, capacity
+        self.lengths, self.capacity, self.steps = lengths, capacity, 0
         self.bins: list[list[int]] = []
         room: list[int] = []
         by_room: dict[int, list[int]] = defaultdict(list)
@@ -111,53 +111,49 @@ class Bins:
         return [int(sum(self.lengths[i] for i in b)) for b in self.bins]
 
     def search(self) -> None:
-        """Rounds over the emptiest bins until the lower bound is met or a round empties none."""
-        bound = lower_bound(self.lengths, self.capacity)
-        while len(self.bins) > bound:
+        """Rounds over the emptiest bins until the lower bound is met or nothing more comes of it."""
+        bound, stale = lower_bound(self.lengths, self.capacity), 0
+        while len(self.bins) > bound and stale < PATIENCE:
             fills = self.fills()
             tried = sorted((b for b in range(len(self.bins)) if fills[b] < self.capacity), key=fills.__getitem__)[:TRIED]
-            if not any([self._empty(b, fills) for b in tried]):
-                break
+            before, steps = len(self.bins), self.steps
+            for b in tried:
+                self._empty(b, fills)
             self.bins = [b for b in self.bins if b]
+            if self.steps == steps:
+                break
+            stale = 0 if len(self.bins) < before else stale + 1
 
-    def _empty(self, b: int, fills: list[int]) -> bool:
+    def _empty(self, b: int, fills: list[int]) -> None:
         """Moves what it can out of bin b, each step growing the sum of squared fills."""
         size = self.lengths
         others = [c for c in range(len(self.bins)) if c != b and self.bins[c] and fills[c] < self.capacity]
         if not self.bins[b] or not others:
-            return False
+            return
         # flat view of the other underfull bins' documents
         while self.bins[b]:
             fill = np.array([fills[c] for c in others])
             room = self.capacity - fill
             item = np.array([i for c in others for i in self.bins[c]])
             home = np.repeat(np.arange(len(others)), [len(self.bins[c]) for c in others])
-            best = (0, None)  # growth of the other bin, step
-            for x in self.bins[b]:
-                n = int(size[x])
-                fits = np.flatnonzero(room >= n)
-                if len(fits):  # move: into the fullest bin that takes it
-                    c = fits[np.argmin(room[fits])]
-                    best = (self.capacity + n, ([x], int(c), []))
-                    break
-                gain = n - size[item]
-                able = np.flatnonzero((gain > 0) & (gain <= room[home]) & (fill[home] + gain > fills[b]))
-                if len(able):  # one for one
-                    k = able[np.argmax(gain[able])]
-                    if gain[k] > best[0]:
-                        best = (int(gain[k]), ([x], int(home[k]), [int(item[k])]))
-            if best[0] <= self.capacity and len(self.bins[b]) > 1:  # two for one
-                mine = self.bins[b]
-                for u in range(len(mine) - 1):
-                    pair = size[mine[u]] + size[mine[u + 1]]
-                    gain = pair - size[item]
-                    able = np.flatnonzero((gain > 0) & (gain <= room[home]) & (fill[home] + gain > fills[b]))
-                    if len(able):
-                        k = able[np.argmax(gain[able])]
-                        if gain[k] > best[0]:
-                            best = (int(gain[k]), ([mine[u], mine[u + 1]], int(home[k]), [int(item[k])]))
+            best: tuple = (0, None)  # growth of the sum of squared fills, step
+            mine = self.bins[b]
+            pairs = [[mine[u], mine[v]] for u in range(len(mine)) for v in range(u + 1, len(mine))] if len(mine) <= 12 else []
+            for out in [[x] for x in mine] + pairs:
+                n = int(size[out].sum())
+                if len(out) == 1:  # move
+                    growth = np.where(room >= n, 2 * n * (fill - fills[b] + n), 0)
+                    c = int(np.argmax(growth))
+                    if growth[c] > best[0]:
+                        best = (int(growth[c]), (out, c, []))
+                gain = n - size[item]  # exchange for one
+                growth = np.where((gain > 0) & (gain <= room[home]), 2 * gain * (fill[home] - fills[b] + gain), 0)
+                k = int(np.argmax(growth))
+                if growth[k] > best[0]:
+                    best = (int(growth[k]), (out, int(home[k]), [int(item[k])]))
             if best[1] is None:
-                return False
+                return
+            self.steps += 1
             out, k, back = best[1]
             c = others[k]
             for x in out:
@@ -171,8 +167,7 @@ class Bins:
             fills[c] += moved
             others = [o for o in others if fills[o] < self.capacity]
             if not others:
-                break
-        return not self.bins[b]
+                return
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
