@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fumiyomi.llm.common import Memo, documents, map_texts, starts
+from fumiyomi.llm.common import Memo, cached, documents, map_texts, starts
 from fumiyomi.llm.pieces import Pieces
 
 
@@ -187,7 +187,10 @@ def bpe(path: str) -> Bpe:
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> Pieces:
     model = bpe(path)
-    return Pieces(lambda new: [np.array(model.encode(p), "<u4").tobytes() for p in new], most=450_000)
+    return Pieces(lambda new: [np.array(model.encode(p), "<u4").tobytes() for p in new], most=650_000)
+
+
+cached("bpe", lambda: (_pieces.cache_clear(), bpe.cache_clear()) and None)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -197,7 +200,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ids = [np.frombuffer(b"".join(x), "<u4").astype(np.int32) for x in _pieces(path)(frame["text"].tolist())]
         return pd.DataFrame({"doc_id": frame["doc_id"], "ids": pd.Series(ids, index=frame.index, dtype=object)})
 
-    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>", owner="bpe")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -222,7 +225,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         return pd.DataFrame({"doc_id": frame["doc_id"], **{k: pd.Series([r[i] for r in rows], index=frame.index) for i, k in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}})
 
-    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", 2_000_000)
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", 2_000_000, "bpe")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,16 +68,46 @@ def by_bytes(frames: Iterator[pd.DataFrame], column: str, most: int) -> Iterator
             yield frame.iloc[begin:]
 
 
-def map_texts(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 4_000_000) -> DataFrame:
-    """Applies fn to frames of bounded text size, within the partitions df has."""
+def map_texts(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 4_000_000, owner: str = "") -> DataFrame:
+    """Applies fn to frames of bounded text size, within the partitions df has. owner: the operator whose caches fn uses."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin(owner)
         for part in by_bytes(frames, "text", most):
             yield fn(part)
+        trim()
 
     return df.mapInPandas(run, schema)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_owner: list[str] = [""]
+
+
+def cached(name: str, clear: Callable[[], None]) -> None:
+    """Tells how an operator's caches in a worker process are emptied."""
+    _caches[name] = clear
+
+
+def begin(name: str) -> None:
+    """An operator's task begins in this worker: the caches of others go, as a worker outlives the tasks of a stage."""
+    if _owner[0] != name:
+        for other, clear in _caches.items():
+            if other != name:
+                clear()
+        _owner[0] = name
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Memo(dict):
     """A bounded dictionary: emptied when full, so a worker's memory has a limit whatever the vocabulary."""
 

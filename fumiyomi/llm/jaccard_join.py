@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fumiyomi.llm.common import Memo, connected, documents, map_texts, runs, words, written
+from fumiyomi.llm.common import Memo, begin, cached, connected, documents, map_texts, runs, trim, words, written
 from fumiyomi.llm.fingerprints import mix
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -38,7 +38,8 @@ _rng = np.random.default_rng(90210)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _P = np.cumprod(np.full(SHINGLE, 0x9E3779B97F4A7C15, np.uint64))
-_memo = Memo(400_000)
+_memo = Memo(250_000)
+cached("jaccard_join", _memo.clear)
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -102,7 +103,7 @@ def measured(docs: DataFrame) -> DataFrame:
         })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("row", "doc_id", "text"), run, f"row long, doc_id {kind}, d1 long, d2 long, n int, signature binary, bands array<long>")
+    return map_texts(docs.select("row", "doc_id", "text"), run, f"row long, doc_id {kind}, d1 long, d2 long, n int, signature binary, bands array<long>", 2_000_000, "jaccard_join")
 
 
 def compare(left: list[tuple], right: list[tuple] | None, threshold: float, bars: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,6 +177,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bars = least_matches(threshold)
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("jaccard_join")
         out: list[tuple] = []
         for _, rows in runs(frames, "task"):
             parts: dict[object, list] = {}
@@ -195,6 +197,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["cls", "links", "root", "split"])
                 out = []
+        trim()
         yield pd.DataFrame(out, columns=["cls", "links", "root", "split"]).astype({"cls": "int64", "links": "int64", "root": "int64", "split": "bool"})
 
     found = written(dealt.mapInPandas(verify, "cls long, links long, root long, split boolean"), "links")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fumiyomi.llm.bpe import byte_alphabet
-from fumiyomi.llm.common import by_bytes, documents
+from fumiyomi.llm.common import begin, by_bytes, cached, documents
 
 CAPACITY = 2048
 #: Documents that a shard holds, about.
@@ -60,6 +60,9 @@ def _encoder(path: str):
     return encode
 
 
+cached("packing", _encoder.cache_clear)
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of a document of n tokens."""
     first = n % capacity or min(n, capacity)
@@ -181,6 +184,7 @@ def tokens(docs: DataFrame, path: str, eos: int = 0, capacity: int = CAPACITY, w
     """doc_id, n_tokens with the separator, crcs of the ids of each piece, salt (row's place in its partition), and ids if asked for."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("packing")
         encode, seen = _encoder(path), 0
         for frame in by_bytes(frames, "text", 4_000_000):
             n, crcs, kept = [], [], []

@@ -31,16 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fumiyomi.llm.chunks import CHUNK_BITS, LAST_ID, chunks, numbered, opened
-from fumiyomi.llm.common import by_bytes, documents, written
+from fumiyomi.llm.common import begin, by_bytes, documents, trim, written
 from fumiyomi.llm.fingerprints import mix
 
 SPAN, KGRAM = 50, 20
 REACH = SPAN - KGRAM  # bytes that a match may have on either side of the k-gram
 WINDOW = SPAN - KGRAM + 1
 WIDTH = SPAN + REACH
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Bytes of text for each hash bucket and each range bucket.
-BUCKET_BYTES, RANGE_BYTES = 32_000_000, 16_000_000
+BUCKET_BYTES, RANGE_BYTES = 24_000_000, 8_000_000
 #: Documents sampled for splitters and common k-grams, and the share of them that makes a k-gram common.
 SAMPLE, COMMON = 2000, 0.005
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -113,6 +113,7 @@ def hashed(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("suffix_dedup")
         for frame in _batches(frames):
             raw, first, size = joined(frame["text"].tolist())
             at, h = anchors(raw, first, size)
@@ -198,9 +199,9 @@ def _words(x: np.ndarray) -> list[np.ndarray]:
 
 def _common_prefix(x: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Bytes that each row in this order has in common with the one before it."""
-    out = np.zeros(len(order), np.int64)
-    for lo in range(1, len(order), 200_000):
-        hi = min(len(order), lo + 200_000)
+    out = np.zeros(len(order), np.int16)
+    for lo in range(1, len(order), 50_000):
+        hi = min(len(order), lo + 50_000)
         differ = x[order[lo:hi]] != x[order[lo - 1 : hi - 1]]
         out[lo:hi] = np.where(differ.any(1), differ.argmax(1), x.shape[1])
     return out
@@ -210,18 +211,18 @@ def covered(context: np.ndarray, before: np.ndarray, after: np.ndarray, ids: np.
     """For suffixes of one bucket (REACH bytes before the k-gram, the k-gram, REACH bytes after; before and after: how many
     of them the document has) how far a match with an earlier document reaches to the left and right of the k-gram; -1: none."""
     n = len(ids)
-    left, right = np.full(n, -1), np.full(n, -1)
+    left, right = np.full(n, -1, np.int8), np.full(n, -1, np.int8)
     forward = np.ascontiguousarray(context[:, REACH:])
     order = multikey(_words(forward))
     common = _common_prefix(forward, order)
-    gram = np.empty(n, np.int64)
+    gram = np.empty(n, np.int32)
     gram[order] = np.cumsum(common < KGRAM)
     back = np.ascontiguousarray(context[:, REACH - 1 :: -1][:, :REACH])
     order_back = multikey([gram.astype(np.uint64), *_words(back)])
     common_back = _common_prefix(back, order_back)
     common_back[1:][gram[order_back[1:]] != gram[order_back[:-1]]] = -1
     common_back[0] = -1
-    by_right, by_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    by_right, by_left = np.empty(n, np.int32), np.empty(n, np.int32)
     for o in range(REACH + 1):  # SPAN bytes from o before the k-gram on
         r = REACH - o
         by_right[order] = np.cumsum(common < KGRAM + r)
@@ -229,7 +230,7 @@ def covered(context: np.ndarray, before: np.ndarray, after: np.ndarray, ids: np.
         at = np.flatnonzero((before >= o) & (after >= r))
         if len(at) < 2:
             continue
-        key = by_left[at] * (n + 1) + by_right[at]
+        key = by_left[at].astype(np.int64) * (n + 1) + by_right[at]
         inner = np.argsort(key, kind="stable")
         at, key = at[inner], key[inner]
         edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -273,6 +274,7 @@ def suffixes(found: DataFrame, splitters: np.ndarray, common: np.ndarray) -> Dat
         return np.delete(record, done), settled
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin("suffix_dedup")
         splitters, common = held.value
         pack = zstandard.ZstdCompressor(level=3)
         for frame in frames:
@@ -307,10 +309,12 @@ def ranges(dealt: DataFrame) -> DataFrame:
             hit = left >= 0
             own = np.zeros(int(hit.sum()), _RANGE)
             own["row"] = record["row"][hit]
-            own["lo"] = record["at"][hit] - left[hit]
-            own["hi"] = record["at"][hit] + KGRAM + right[hit]
+            own["lo"] = record["at"][hit] - left[hit].astype(np.int32)
+            own["hi"] = record["at"][hit] + KGRAM + right[hit].astype(np.int32)
             out.append(own)
         found = np.concatenate(out)
+        del record, out
+        trim()
         found = found[np.argsort(found["row"], kind="stable")]
         chunk = found["row"] >> CHUNK_BITS
         pack = zstandard.ZstdCompressor(level=3)
