@@ -7,7 +7,7 @@ have equal anchors. Three steps:
 1. Leading k-grams are counted: each document's anchor hashes go to hash buckets, packed; a k-gram that one document alone
    has can't take part in a match. K-grams that a sample of documents shows to be common are known to repeat, and don't travel.
 2. The suffixes of the others, with as many bytes before them as a match may reach back, are dealt to ranges of their leading
-   bytes between sampled splitters, and each bucket sorts them by multikey quicksort, eight bytes at a time within what still
+   bytes between sampled splitters (and on within a range by a hash of the k-gram), and each bucket sorts them by multikey quicksort, eight bytes at a time within what still
    ties. Splitters part whole k-grams, so what a bucket's first and last suffix could match beyond its borders begins with
    their own k-gram and is in the bucket. Common prefixes of neighbours, to the right and (sorted by the bytes
    before) to the left, give for each split of SPAN bytes around the k-gram the classes of equal strings; all members but those
@@ -41,6 +41,8 @@ WIDTH = SPAN + REACH
 BATCH_BYTES = 1_000_000
 #: Bytes of text for each hash bucket and each range bucket.
 BUCKET_BYTES, RANGE_BYTES = 24_000_000, 8_000_000
+#: Buckets that a range is dealt on to.
+SPREAD = 32
 #: Documents sampled for splitters and common k-grams, and the share of them that makes a k-gram common.
 SAMPLE, COMMON = 2000, 0.005
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -249,10 +251,11 @@ def suffixes(found: DataFrame, splitters: np.ndarray, common: np.ndarray) -> Dat
     """Records of suffixes whose k-gram repeats, by range of their leading bytes; and ranges that the chunk itself settles."""
     held = found.sparkSession.sparkContext.broadcast((splitters, common))
 
-    def records(rows: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def records(rows: np.ndarray, ids: np.ndarray, size: np.ndarray, raw: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.cumsum(size) - size
         at, h = anchors(raw, first, size)
-        at = at[np.isin(h & _LOW48, known)]
+        stay = np.isin(h & _LOW48, known)
+        at, h = at[stay], h[stay]
         owner = np.searchsorted(first, at, "right") - 1
         padded = np.concatenate([np.zeros(REACH, np.uint8), raw, np.zeros(SPAN, np.uint8)])
         record = np.zeros(len(at), _RECORD)
@@ -263,7 +266,7 @@ def suffixes(found: DataFrame, splitters: np.ndarray, common: np.ndarray) -> Dat
         record["id"], record["row"], record["at"] = ids[owner], rows[owner], inside
         full = np.flatnonzero((record["before"] == REACH) & (record["after"] == REACH))
         if len(full) < 2:
-            return record, np.zeros(0, _RANGE)
+            return record, h, np.zeros(0, _RANGE)
         order = full[multikey(_words(record["context"][full]))]  # equal on both sides: only the least document's travels
         same = (record["context"][order[1:]] == record["context"][order[:-1]]).all(1)
         edges = np.flatnonzero(np.append(True, ~same))
@@ -271,7 +274,7 @@ def suffixes(found: DataFrame, splitters: np.ndarray, common: np.ndarray) -> Dat
         done = order[record["id"][order] > least]
         settled = np.zeros(len(done), _RANGE)
         settled["row"], settled["lo"], settled["hi"] = record["row"][done], record["at"][done] - REACH, record["at"][done] + SPAN
-        return np.delete(record, done), settled
+        return np.delete(record, done), np.delete(h, done), settled
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin("suffix_dedup")
@@ -280,9 +283,10 @@ def suffixes(found: DataFrame, splitters: np.ndarray, common: np.ndarray) -> Dat
         for frame in frames:
             for blob, hashes in zip(frame["blob"], frame["hashes"], strict=True):
                 own = [_unpacked(bytes(x)) for x in hashes] if hashes is not None else []
-                record, settled = records(*opened(bytes(blob)), np.unique(np.concatenate([common, *own])))
+                record, hashed_, settled = records(*opened(bytes(blob)), np.unique(np.concatenate([common, *own])))
                 lead = np.ascontiguousarray(record["context"][:, REACH : REACH + KGRAM]).view(f"S{KGRAM}").ravel()
-                bucket = np.searchsorted(splitters, lead, "right")
+                # frequent words make some ranges heavy: each is dealt on by a hash of the k-gram, which whole groups share
+                bucket = np.searchsorted(splitters, lead, "right") * SPREAD + (hashed_ >> np.uint64(40)).astype(np.int64) % SPREAD
                 order = np.argsort(bucket, kind="stable")
                 bucket, record = bucket[order], record[order]
                 out = [(int(bucket[lo]), pack.compress(record[lo:hi].tobytes()), b"") for lo, hi in _runs(bucket)]
@@ -356,7 +360,7 @@ def chunk_ranges(docs: DataFrame) -> DataFrame:
     about = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n, size = about["n"], about["bytes"] or 0
     grams, common = sampled(base, n)
-    buckets, parts = max(4, -(-size // BUCKET_BYTES)), max(8, -(-size // RANGE_BYTES))
+    buckets, parts = max(4, -(-size // BUCKET_BYTES)), max(2, -(-size // (RANGE_BYTES * SPREAD)))
     splitters = np.unique(grams[np.linspace(0, len(grams) - 1, parts + 1).astype(int)[1:-1]]) if len(grams) else grams
     hashes = repeated(hashed(base, buckets, common)).groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"))
     found = chunks(base).join(hashes, "chunk", "left" if len(common) else "inner")
