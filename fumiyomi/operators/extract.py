@@ -18,7 +18,7 @@ def unescaped(c: Column) -> Column:
     def char(x: Column) -> Column:
         number = F.when(x.startswith("&#x"), F.conv(F.regexp_extract(x, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(x, "([0-9]+);", 1)).cast("int")
         hexed = F.lpad(F.hex(number), 8, "0")
-        return F.decode(F.unhex(hexed), "UTF-32BE")
+        return F.decode(F.unhex(hexed), "UTF-32")
 
     turned = F.concat(F.transform(codes, char), F.array(F.lit("")))
     return F.when(F.size(codes) == 0, c).otherwise(F.array_join(F.zip_with(parts, turned, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), ""))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
-from fumiyomi.operators.surface import finding
+from fumiyomi.operators.surface import finding, several
 
 
 def length_stats(lengths: DataFrame, order: list[str], by: str = "doc_id") -> DataFrame:
@@ -29,8 +30,7 @@ def length_stats(lengths: DataFrame, order: list[str], by: str = "doc_id") -> Da
 def rhythm(stats: DataFrame) -> DataFrame:
     """Findings from length_stats in mora."""
     at = stats.withColumn("line", F.lit(1))
-    low = finding(at.filter(F.col("burstiness") < m.BURSTINESS), "low_burstiness", value=F.col("burstiness"))
-    return low.unionByName(finding(at.filter(F.col("lag1") > m.AUTOCORRELATION), "high_length_autocorrelation", value=F.col("lag1")))
+    return several(at, {"low_burstiness": (F.col("burstiness") < m.BURSTINESS, F.col("burstiness")), "high_length_autocorrelation": (F.col("lag1") > m.AUTOCORRELATION, F.col("lag1"))})
 
 
 def low_variance(stats: DataFrame) -> DataFrame:
@@ -39,29 +39,31 @@ def low_variance(stats: DataFrame) -> DataFrame:
     return finding(rows, "low_sentence_variance", value=F.col("cv"))
 
 
-def mtld(words: Column, factor: float = m.MTLD_FACTOR) -> Column:
-    """Mean length of runs over which the share of different words stays above factor, forwards and back, as a fold over an array."""
+def mtld_of(words: list[str], factor: float = m.MTLD_FACTOR) -> float | None:
+    """Mean length of runs over which the share of different words stays above factor, forwards and back; none under 20 words."""
+    if len(words) < 20:
+        return None
+    total = 0.0
+    for order in (words, words[::-1]):
+        factors, n, seen = 0.0, 0, set()
+        for w in order:
+            seen.add(w)
+            n += 1
+            if len(seen) / n < factor:
+                factors, n, seen = factors + 1, 0, set()
+        if n:
+            factors += (1 - len(seen) / n) / (1 - factor)
+        total += len(words) / factors if factors > 0 else len(words)
+    return total / 2
 
-    def one_way(a: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"))
 
-        def step(s: Column, w: Column) -> Column:
-            seen = F.when(F.array_contains(s["seen"], w), s["seen"]).otherwise(F.array_append(s["seen"], w))
-            n = s["n"] + 1
-            full = F.size(seen) / n < factor
-            return F.struct(
-                F.when(full, s["factors"] + 1).otherwise(s["factors"]).alias("factors"), F.when(full, 0).otherwise(n).alias("n"),
-                F.when(full, F.array().cast("array<string>")).otherwise(seen).alias("seen"),
-            )
+def _mtld(words: pd.Series) -> pd.Series:
+    return pd.Series([None if w is None else mtld_of(list(w)) for w in words], dtype="float64")
 
-        def rest(s: Column) -> Column:
-            ratio = F.when(s["n"] > 0, F.size(s["seen"]) / s["n"])
-            factors = s["factors"] + F.when(s["n"] > 0, (1 - ratio) / (1 - factor)).otherwise(0.0)
-            return F.when(factors > 0, F.size(a) / factors).otherwise(F.size(a).cast("double"))
 
-        return F.aggregate(a, start, step, rest)
-
-    return F.when(F.size(words) >= 20, (one_way(words) + one_way(F.reverse(words))) / 2)
+def mtld(words: Column) -> Column:
+    """mtld_of over an array. Order matters and the set of words seen is the state: as a native fold each word would copy it."""
+    return F.pandas_udf(_mtld, "double")(words)
 
 
 def lexical(words: DataFrame) -> DataFrame:
@@ -74,8 +76,7 @@ def lexical(words: DataFrame) -> DataFrame:
 def low_diversity(stats: DataFrame) -> DataFrame:
     """Findings from ttr, mtld and chars of a document."""
     at = stats.filter(F.col("chars") >= m.LEXICAL_CHARS).withColumn("line", F.lit(1))
-    low = finding(at.filter(F.col("ttr") < m.TTR), "low_lexical_diversity_ttr", value=F.col("ttr"))
-    return low.unionByName(finding(at.filter(F.col("mtld") < m.MTLD), "low_lexical_diversity_mtld", value=F.col("mtld")))
+    return several(at, {"low_lexical_diversity_ttr": (F.col("ttr") < m.TTR, F.col("ttr")), "low_lexical_diversity_mtld": (F.col("mtld") < m.MTLD, F.col("mtld"))})
 
 
 def paragraph_stats(paras: DataFrame) -> DataFrame:

@@ -42,10 +42,12 @@ def finding(df: DataFrame, category: str, *, severity: Column | None = None, lin
     )
 
 
-def located(lines: DataFrame, pattern: str, text: str = "masked") -> DataFrame:
-    """A row for each match in a line; lines without one are dropped by a plain filter first."""
-    hit = lines.filter(F.col(text).rlike(pattern)).select("doc_id", "line", "raw", F.posexplode(matches(F.col(text), pattern)).alias("nth", "x"))
-    return hit.select("doc_id", "line", "raw", "nth", F.col("x.match").alias("match"), F.col("x.start_byte").alias("start_byte"), (F.col("x.start_byte") + F.octet_length("x.match")).alias("end_byte"))
+def located(lines: DataFrame, patterns: list[str], text: str = "masked") -> DataFrame:
+    """A row for each match of each pattern in a line. Patterns are matched separately, as overlapping hits of different ones all
+    count, but in one pass; lines without any are dropped by a plain filter first."""
+    each = [F.transform(matches(F.col(text), p), lambda x, k=k: F.struct(F.lit(k).alias("pattern"), x["start_byte"].alias("start_byte"), x["match"].alias("match"))) for k, p in enumerate(patterns)]
+    hit = lines.filter(F.col(text).rlike("|".join(f"(?:{p})" for p in patterns))).select("doc_id", "line", "raw", F.explode(F.concat(*each)).alias("x"))
+    return hit.select("doc_id", "line", "raw", "x.*").withColumn("end_byte", F.col("start_byte") + F.octet_length("match"))
 
 
 def _phrases(lines: DataFrame, phrases: list[str], text: str) -> DataFrame:
@@ -71,19 +73,13 @@ def hype_expression(bare: DataFrame) -> DataFrame:
 
 
 def translationese(masked: DataFrame) -> DataFrame:
-    out = None
-    for pattern in m.TRANSLATIONESE:  # separately: overlapping hits of different patterns all count
-        rows = located(masked, pattern)
-        found = finding(rows, "translationese", text=F.col("match"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return finding(located(masked, m.TRANSLATIONESE), "translationese", text=F.col("match"))
 
 
 def antithesis_repetition(masked: DataFrame, sentence_counts: DataFrame) -> DataFrame:
     """One finding a document with three hits or more, at the first; severity by hits a sentence."""
-    hits = located(masked, m.ANTITHESIS[0]).withColumn("pattern", F.lit(0)).unionByName(located(masked, m.ANTITHESIS[1]).withColumn("pattern", F.lit(1)))
     first = F.min(F.struct("line", "pattern", "start_byte", "end_byte", "match")).alias("x")
-    docs = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), first).filter("hits >= 3").join(sentence_counts, "doc_id")
+    docs = located(masked, m.ANTITHESIS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), first).filter("hits >= 3").join(sentence_counts, "doc_id")
     ratio = F.try_divide(F.col("hits"), F.col("n_sentences"))
     bar = F.when(F.col("genre") == "tech", 0.045).otherwise(0.03)
     rows = docs.select("doc_id", "x.*", ratio.alias("ratio"), bar.alias("bar"))
@@ -92,8 +88,7 @@ def antithesis_repetition(masked: DataFrame, sentence_counts: DataFrame) -> Data
 
 
 def inanimate_subject(masked: DataFrame) -> DataFrame:
-    parts = [finding(located(masked, p), "english_syntax_inanimate_subject", text=F.col("match")) for p in m.INANIMATE]
-    return parts[0].unionByName(parts[1])
+    return finding(located(masked, m.INANIMATE), "english_syntax_inanimate_subject", text=F.col("match"))
 
 
 def cleft_because(sentences: DataFrame) -> DataFrame:
@@ -128,12 +123,21 @@ def structural(docs: DataFrame) -> DataFrame:
     c = structure_counts(docs).withColumn("line", F.lit(1))
     per_thousand = lambda k: F.try_divide(F.col(k) * 1000, F.col("chars"))
     share = F.try_divide(F.col("bullets"), F.col("non_blank"))
-    return (
-        finding(c.filter((F.col("bold") >= 3) & (per_thousand("bold") >= 3)), "high_bold_density", value=per_thousand("bold"))
-        .unionByName(finding(c.filter((F.col("non_blank") >= 10) & (share >= 0.35)), "high_bullet_ratio", value=share))
-        .unionByName(finding(c.filter("phases >= 3"), "numbered_phase_structure", value=F.col("phases")))
-        .unionByName(finding(c.filter((F.col("emoji") >= 3) & (per_thousand("emoji") >= 2)), "high_emoji_symbol_density", value=per_thousand("emoji")))
-    )
+    rules = {
+        "high_bold_density": ((F.col("bold") >= 3) & (per_thousand("bold") >= 3), per_thousand("bold")),
+        "high_bullet_ratio": ((F.col("non_blank") >= 10) & (share >= 0.35), share),
+        "numbered_phase_structure": (F.col("phases") >= 3, F.col("phases")),
+        "high_emoji_symbol_density": ((F.col("emoji") >= 3) & (per_thousand("emoji") >= 2), per_thousand("emoji")),
+    }
+    return several(c, rules)
+
+
+def several(rows: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Findings of several rules on the same rows (doc_id, line) in one pass: category to condition and value."""
+    each = [F.when(test, F.struct(F.lit(k).alias("category"), F.lit(m.BY_NAME[k].severity).alias("severity"), value.cast("double").alias("value"))) for k, (test, value) in rules.items()]
+    hits = rows.select("doc_id", "line", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"))
+    none = F.lit(None).cast("int")
+    return hits.select("doc_id", F.col("line").cast("int").alias("line"), "x.category", "x.severity", F.lit("").alias("excerpt"), none.alias("start_byte"), none.alias("end_byte"), "x.value")
 
 
 def boilerplate_heading(structured: DataFrame) -> DataFrame:
@@ -162,8 +166,8 @@ def bullet_styles(structured: DataFrame) -> DataFrame:
 
 def colon_leads(structured: DataFrame) -> DataFrame:
     """Lines that end with a colon before a list, a fence or a table: candidates of predicate_colon_lead, with their label."""
-    order = Window.partitionBy("doc_id").orderBy("line")
-    open_lines = structured.withColumn("next", F.first(F.when(~t.is_blank(F.col("raw")), F.col("raw")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    later = Window.partitionBy("doc_id").orderBy(F.col("line").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    open_lines = structured.withColumn("next", F.last(F.when(~t.is_blank(F.col("raw")), F.col("raw")), ignorenulls=True).over(later))
     label = t.u_trim(F.regexp_replace(F.regexp_replace("raw", r"(?U)\s+\z", ""), "[：:]\\z", ""))
     starts = t.is_list_item(F.col("next")) | F.col("next").rlike(r"^(?U)\s*(?:`{3}|~{3}|\|)")
     rows = open_lines.filter(~F.col("kind").isin("fence", "quote", "heading", "list") & F.col("raw").rlike(r"[：:](?U)\s*\z") & starts)

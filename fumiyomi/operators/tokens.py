@@ -56,8 +56,9 @@ def light_verb(tokens: DataFrame) -> DataFrame:
 def inanimate_morph(tokens: DataFrame) -> DataFrame:
     """A thing as subject, and later in the sentence a verb that wants an agent."""
     rows = tokens.withColumns({"p1": after("surface"), "p1_pos": after("pos1"), "p2": after("surface", 2), "p2_pos": after("pos1", 2), "b1": after("surface", -1)})
-    rest = order().rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("verb", F.first(F.when((F.col("pos1") == "動詞") & F.col("lemma").isin(m.INANIMATE_VERBS), F.col("lemma")), ignorenulls=True).over(rest))
+    # the next verb: backwards, so that each row adds to the frame instead of reading the rest of the sentence
+    later = Window.partitionBy(*SENTENCE).orderBy(F.col("tok_idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("verb", F.last(F.when((F.col("pos1") == "動詞") & F.col("lemma").isin(m.INANIMATE_VERBS), F.col("lemma")), ignorenulls=True).over(later))
     single = F.col("surface").isin("これ", "それ", "あれ", "それら") | (F.col("surface").isin("こと", "事実") & (F.col("pos1") == "名詞"))
     double = ((F.col("surface") == "この") & (F.col("p1") == "事実")) | ((F.col("surface") == "その") & (F.col("p1") == "こと"))
     covered = ((F.col("b1") == "この") & (F.col("surface") == "事実")) | ((F.col("b1") == "その") & (F.col("surface") == "こと"))

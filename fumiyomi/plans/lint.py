@@ -15,11 +15,14 @@ from fumiyomi.operators.frames import paragraphs, sentences
 
 def frames(docs: DataFrame, lexicon: str = str(DEFAULT)) -> dict[str, DataFrame]:
     """Lines, sentences and tokens of docs (doc_id, genre, text). Every rule reads them, and masking and tokenizing are what
-    costs, so they are kept, in memory and beyond it on disk, until the caller clears the cache."""
+    costs, so they are dealt by document once and kept, in memory and beyond it on disk, until the caller clears the cache."""
     keep = StorageLevel.MEMORY_AND_DISK
-    lines = structured(docs.select("doc_id", "genre", "text")).persist(keep)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given as a number, the partitioning stays known
+    lines = structured(docs.select("doc_id", "genre", "text").repartition(n, "doc_id")).persist(keep)
     sents = sentences(lines).join(docs.select("doc_id", "genre"), "doc_id").persist(keep)
-    return {"docs": docs, "lines": lines, "sentences": sents, "tokens": token_frame(sents, lexicon).persist(keep)}
+    # kept in the order of the rules' windows, which then need neither an exchange nor a sort
+    toks = token_frame(sents, lexicon).sortWithinPartitions("doc_id", "sent_idx", "tok_idx").persist(keep)
+    return {"docs": docs, "lines": lines, "sentences": sents, "tokens": toks}
 
 
 def policy(findings: DataFrame, docs: DataFrame, experimental: bool) -> DataFrame:
@@ -51,7 +54,7 @@ def lint(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEFAULT
     content = toks.filter(F.col("pos1").isin(m.CONTENT_POS))
     lexical = measures.lexical(content.select("doc_id", F.col("lemma").alias("word"))).join(docs.select("doc_id", F.length("text").alias("chars")), "doc_id")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "tok_idx", "lemma"))), lambda x: x["lemma"])
-    spread = content.groupBy("doc_id").agg(measures.mtld(in_order).alias("mtld"))
+    spread = content.groupBy("doc_id").agg(in_order.alias("words")).select("doc_id", measures.mtld(F.col("words")).alias("mtld"))
     para_tokens = toks.join(paras.select("doc_id", "line", "para"), ["doc_id", "line"])
     scores = tokens.specificity(para_tokens, para_stats)
     bare = lines.filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))

@@ -156,7 +156,7 @@ def low_lexical_diversity_ttr(spark, sf):
 
 @query()
 def mtld(spark, sf):
-    """Order matters, so it is a fold: held against a plain loop in the tests."""
+    """Order matters, so SQL gives no such fold: held against another loop in the tests."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
     return documents(spark, sf).select("doc_id", r6(measures.mtld(words)).alias("mtld"))
 
