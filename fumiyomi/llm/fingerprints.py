@@ -26,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fumiyomi.llm.common import documents
+from fumiyomi.llm.common import begin, documents, trim
 
 #: Names kept of each level, and the levels that are kept.
 K, LEVELS = 24, (1, 2, 3, 4)
+#: Characters that are parsed at once (a longer text alone), which bounds a worker's memory.
+RUN_CHARS = 300_000
 #: Documents between two splitters, about.
 BUCKET = 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -215,14 +217,17 @@ def with_edits(docs: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
                     run, size = [], 0
                 run.append(r)
                 size += len(r[2])
-                if size > 1_000_000 and len(run) > 1:
+                if size > RUN_CHARS and len(run) > 1:
                     yield run
                     run, size = [r], len(r[2])
         if run:
             yield run
 
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in rows(frames):
+        begin("fingerprints")
+        for n, run in enumerate(rows(frames)):
+            if n % 16 == 15:
+                trim()
             # the guest is last in its bucket; the last row of a run is known from the next run again
             pairs = [(run[i], run[i + 1]) for i in range(len(run) - 1) if run[i][3]]
             if not pairs:
@@ -242,6 +247,7 @@ def with_edits(docs: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
                 "near_edited": [likeness(own[i], o) for i, o in zip(kept, other, strict=True)],
                 "near_next": [likeness(own[i], own[i + 1]) for i in kept],
             })
+        trim()
 
     return dealt.mapInPandas(mark, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -14,4 +14,21 @@ from fumiyomi.llm.token_counts import op7_token_counts
 from fumiyomi.llm.toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op8_quality_lm, op9_jaccard_join, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: The models and searches of the other operators are beyond SQL; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+g AS (SELECT doc_id, pos, w[pos] || ' ' || w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] || ' ' || w[pos + 4] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS pos FROM d)),
+r AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM (SELECT doc_id, pos FROM g JOIN (SELECT doc_id, gram FROM g GROUP BY ALL HAVING count(*) > 1) USING (doc_id, gram)), range(5) AS t(k) GROUP BY doc_id),
+l AS (SELECT doc_id, source, array_to_string(regexp_extract_all(lower(line), '{_WORD}'), ' ') AS line, len(regexp_extract_all(line, '{_WORD}')) AS words FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
+f AS (SELECT source, line FROM l WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) > 100),
+lost AS (SELECT doc_id, sum(words) AS n FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))))::BIGINT AS n_dup_lines,
+  coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN lost USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0.5 * n_words OR n_words - n_removed_words < 10) AS kept FROM c
+""",
+}
