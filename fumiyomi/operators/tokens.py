@@ -239,7 +239,7 @@ def token_findings(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
         finding(buried_list(tokens).join(length, SENTENCE).filter(F.col("chars") >= bar), "buried_list", value=F.col("items")),
         finding(kanji_runs(sentences, tokens), "kanji_run", text=F.col("run")),
     ]
-    ends = endings(tokens, sentences.select(*SENTENCE, "line", "end_mark"))
+    ends = endings(tokens, sentences.select(*SENTENCE, "line", "end_mark")).persist()  # five uses; a row a sentence
     out.append(finding(repeated_mode(ends), "repeated_sentence_mode", text=F.col("signature"), value=F.col("n")))
     out.append(finding(nominal_runs(ends), "consecutive_nominal_endings", value=F.col("n")))
     genres = sentences.select("doc_id", "genre").distinct()

@@ -48,7 +48,7 @@ def lint(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEFAULT
     lines, sents, toks = f["lines"], f["sentences"], f["tokens"]
     counts = sents.groupBy("doc_id", "genre").agg(F.count(F.lit(1)).alias("n_sentences"))
     paras = paragraphs(lines)
-    para_stats = measures.paragraph_stats(paras)
+    para_stats = measures.paragraph_stats(paras).persist(StorageLevel.MEMORY_AND_DISK)
     mora = toks.groupBy("doc_id", "sent_idx").agg(F.sum(tokens.mora(F.col("reading"))).alias("n"))
     chars = sents.select("doc_id", "sent_idx", F.length("raw_text").alias("n"))
     content = toks.filter(F.col("pos1").isin(m.CONTENT_POS))
