@@ -9,6 +9,7 @@ and can be another one; whatever it lacks is a noun, by its script. With a large
 from __future__ import annotations
 
 import csv
+import re
 import unicodedata
 from functools import lru_cache
 from pathlib import Path
@@ -77,6 +78,9 @@ def normalized(surface: str) -> str:
     return s[:-1] if len(s) > 3 and s.endswith("ー") and char_class(s[0]) == "katakana" else s
 
 
+_JAPANESE = re.compile("[々〆ぁ-ゟ㐀-䶿一-龿]")
+
+
 class Lexicon:
     #: Cost of a part of speech after another; 0 where nothing is said.
     MEETS = {
@@ -93,6 +97,7 @@ class Lexicon:
                 for surface, reading in inflected(r["surface"], r["reading"], r["kind"]):
                     self.words.setdefault(surface, []).append(Word(surface, pos, r["lemma"], reading, 500 - 60 * len(surface)))
         self.longest = max(map(len, self.words), default=1)
+        self.japanese = all(_JAPANESE.search(w) for w in self.words)
 
     def unknown(self, text: str, at: int) -> list[Word]:
         """Words that the script makes at a place: a run, and for kanji its beginnings, too."""
@@ -117,6 +122,12 @@ class Lexicon:
     def tokenize(self, text: str) -> list[tuple[int, Word]]:
         """First character and word of each token on the path of least cost; of equal ones that found first."""
         n = len(text)
+        if self.japanese and not _JAPANESE.search(text):  # no word of the lexicon, one run at each place: one path
+            out, at = [], 0
+            while at < n:
+                out.append((at, self.unknown(text, at)[0]))
+                at += len(out[-1][1].surface)
+            return out
         best: list[dict[str, tuple[int, int, str, Word | None]]] = [{} for _ in range(n + 1)]  # by part of speech of the last word
         best[0]["BOS"] = (0, -1, "", None)
         for at in range(n):
@@ -129,7 +140,7 @@ class Lexicon:
                 there = best[at + len(w.surface)]
                 if w.pos[0] not in there or cost < there[w.pos[0]][0]:
                     there[w.pos[0]] = (cost, at, before, w)
-        out: list[tuple[int, Word]] = []
+        out = []
         at, p = n, min(best[n], key=lambda k: best[n][k][0]) if best[n] else ""
         while at > 0:
             _, start, before, w = best[at][p]
