@@ -1,33 +1,44 @@
-"""Quality classifier (op 8): an interpolated modified Kneser-Ney model of trusted text gives each document's perplexity.
+"""Quality classifier (op 8): an interpolated modified Kneser-Ney model of the words of trusted text gives each document's perplexity.
 
-Tokens are classes of characters, 64 in all (letters, accented letters by base and case-free code, capitals, digits, marks,
-white space, other scripts), so four-grams have 24 bits whatever the corpus holds. Their counts over all trusted documents,
-whole, come from partial counts of batches, summed by shards of the code; continuation counts, context totals and discounts
-come from joins of these tables. The joined table has at most 64^4 entries of two bytes, so it is broadcast, and a
-document's code length is a sum of look-ups. (Joining each document's n-grams row by row would shuffle many times the text.)
+Tokens are words (runs of letters and digits), single marks, and single characters of scripts that write no spaces. Their
+pairs are counted over all trusted documents, whole, keyed by hash and summed by groups of 4,096 documents before they are
+shuffled; shards merge them, and from the merged pairs come, by word, the followers, their total and the continuation
+count. Each group then asks the shards for its distinct pairs and words, packed, and the answers meet the group's text.
+So what is gathered grows with the input, and none of it comes to the driver.
+
+A word is spelled, where the words don't tell, by four-grams of 64 classes of characters: the base distribution, of bounded
+size (64^4 entries of two bytes), is broadcast. Within a class, ASCII characters share all but 1/64 evenly.
+
+Trusted documents are scored without their own counts (leave one out), or they would look better than others do.
 
 A document's rate is its code length with SHRINK characters at its language's median rate added, which keeps short texts
-from being judged on a few characters; its perplexity is 2 to that rate. It is rejected above the language's threshold: the
+from being judged on a few characters; its perplexity is 2 to that rate. Characters are those of tokens, and one more for each. It is rejected above the language's threshold: the
 quantile HIGH of trusted documents' rates, and as far beyond it again as it lies beyond the median. Languages with fewer
 than OWN trusted documents, and null ones, share the quantiles of all.
 
 Null and empty texts have the median rate: nothing speaks against them. Without trusted text everything is kept, at
-perplexity null. Repeated rows are judged each. A document is trusted if any of its labels has quality 1.
+perplexity null. Repeated rows are judged each. A document is trusted if any of its labels has quality 1. Rows are
+numbered by their place in the scan, so docs must be read from files.
 """
 
 from __future__ import annotations
 
+import gc
+import re
 import unicodedata
 from collections.abc import Iterator
+from hashlib import blake2b
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fumiyomi.llm.chunks import CHUNK_BITS, chunks, numbered, opened
-from fumiyomi.llm.common import documents, map_texts, written
+from fumiyomi.llm.common import documents, written
+from fumiyomi.llm.fingerprints import mix
 
 BITS, ORDER = 6, 4
 CLASSES = 1 << BITS
@@ -39,6 +50,12 @@ STEPS = 1000
 #: A code length's unit: 1/1024 bit, in 16 bits.
 UNIT = 1024
 START = 0
+#: Words; other characters alone, as are those of scripts without spaces.
+TOKEN = re.compile(r"[^\W_\u0e00-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]+|\S")
+#: Documents of a group share all but so many bits of their row; bits of the hashes of words and of pairs.
+GROUP_BITS, WORD_BITS, PAIR_BITS = 12, 40, 48
+#: Bytes of text for each shard of pairs and words.
+SHARD_BYTES = 24_000_000
 
 
 @lru_cache(maxsize=1)
@@ -163,17 +180,289 @@ def code_lengths(texts: list[str | None], lengths: np.ndarray) -> tuple[np.ndarr
     return size, bits
 
 
-def rates(docs: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """doc_id, lang, chars and bits for each row of docs."""
+@lru_cache(maxsize=1)
+def _within() -> np.ndarray:
+    """Bits that tell a character of the basic plane from others of its class; others take 20."""
+    kind, plain = classes(), np.arange(1 << 16) < 128
+    own, rest = np.bincount(kind[plain], minlength=CLASSES)[kind], np.bincount(kind[~plain], minlength=CLASSES)[kind]
+    share = np.where(plain, np.where(rest > 0, 63 / 64, 1) / np.maximum(own, 1), np.where(own > 0, 1 / 64, 1) / np.maximum(rest, 1))
+    return -np.log2(share)
+
+
+def spelled(words: list[str], lengths: np.ndarray) -> np.ndarray:
+    """Bits of each word by its characters, with the space that ends it."""
+    size, bits = code_lengths([w + " " for w in words], lengths)
+    point = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
+    inner = np.where(point < 1 << 16, _within()[np.minimum(point, 0xFFFF)], 20)
+    return bits + np.bincount(np.repeat(np.arange(len(words)), size - 1), inner, len(words))
+
+
+class _Index(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Pairs:
+    """Tokens of some texts, each with the one before it; the distinct words and pairs in the order of their hashes."""
+
+    def __init__(self, texts: list[str | None]):
+        index, flat, sizes = _Index({"": 0}), [], []  # the empty word begins each text
+        for t in texts:
+            now = [index[w] for w in TOKEN.findall(t)] if t else []
+            flat.append(np.array([0, *now], np.int64))
+            sizes.append(len(now))
+        words = list(index)
+        key = np.array([int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=WORD_BITS // 8).digest(), "little") for w in words], np.uint64)
+        self.word_keys, first, place = np.unique(key, return_index=True, return_inverse=True)
+        self.words = [words[i] for i in first]
+        joined = place[np.concatenate(flat)] if flat else np.zeros(0, np.int64)
+        starts = np.zeros(len(joined), bool)
+        starts[np.cumsum([0, *(n + 1 for n in sizes[:-1])])[: len(sizes)]] = True
+        inside = np.flatnonzero(~starts)
+        self.doc = np.repeat(np.arange(len(texts)), sizes)
+        pair, inverse, self.n = np.unique(joined[inside - 1] * len(self.words) + joined[inside], return_inverse=True, return_counts=True)
+        a, b = np.divmod(pair, len(self.words))
+        hashed = mix(self.word_keys[a] * np.uint64(0x9E3779B97F4A7C15) + mix(self.word_keys[b])) >> np.uint64(64 - PAIR_BITS)
+        order = np.argsort(hashed, kind="stable")
+        self.keys, self.before, self.last, self.n = hashed[order], a[order], b[order], self.n[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.pair = back[inverse]
+        size = np.array([len(w) + 1 for w in self.words])
+        self.chars = np.bincount(self.doc, size[self.last[self.pair]], len(texts)).astype(np.int64)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    x = np.ascontiguousarray(x, np.uint64)
+    wide = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(raw[1:])), np.uint8).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def steps(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unstepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
+
+
+def cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where sorted keys pass from one shard to the next."""
+    return np.searchsorted(keys, np.array([-(-(s << bits) // shards) for s in range(shards)] + [1 << bits], np.uint64))
+
+
+def summed(parts: list[tuple[np.ndarray, list[np.ndarray]]], columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys of all parts, and the sums of their columns."""
+    if not parts:
+        return np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * columns
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, [np.bincount(place, np.concatenate([c[i] for _, c in parts]).astype(np.float64), len(keys)).astype(np.int64) for i in range(columns)]
+
+
+def _texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
+    """Rows and texts of a group's chunks."""
+    rows, texts = [], []
+    for blob in frame.sort_values("chunk")["blob"]:
+        own, _, size, raw = opened(bytes(blob))
+        text, first = raw.tobytes(), np.cumsum(size) - size
+        rows.append(own)
+        texts += [text[f : f + n].decode("utf-8", "replace") for f, n in zip(first.tolist(), size.tolist(), strict=True)]
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64), texts
+
+
+_TABLE = "kind int, shard int, keys binary, a binary, b binary, c binary, d binary, e binary, n1 long, n2 long, n3 long, n4 long, kinds long, total long"
+
+
+def _of(n: np.ndarray) -> list[int]:
+    return [*np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), int(np.count_nonzero(n)), int(n.sum())]
+
+
+def free(docs: DataFrame) -> None:
+    """Shuffle files that nothing refers to any more leave the disk when the driver's JVM collects."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
+def trusted_rows(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """group and rows: the rows of documents whose doc_id is in good."""
+    rows = numbered(docs).select("row", "id").join(good.select(F.col("doc_id").cast("long").alias("id")).hint("merge"), "id", "left_semi")
+    return rows.groupBy(F.shiftright("row", GROUP_BITS).alias("group")).agg(F.collect_list("row").alias("rows"))
+
+
+def _grouped(docs: DataFrame):
+    return chunks(numbered(docs)).withColumn("group", F.shiftright("chunk", GROUP_BITS - CHUNK_BITS)).groupBy("group")
+
+
+def word_counts(docs: DataFrame, chosen: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Shards of the pairs of trusted text (keys; a: count), and of its words (keys; a: words before, b: occurrences before
+    a word, c to e: followers seen once, twice, more often), with counts of counts."""
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            rows, texts = _texts(left)
+            mine = np.isin(rows, np.concatenate([np.asarray(r, np.int64) for r in right["rows"]]))
+            p = Pairs([t for t, m in zip(texts, mine, strict=True) if m])
+            edge = cuts(p.keys, PAIR_BITS, shards)
+            for s in range(shards):
+                at = slice(edge[s], edge[s + 1])
+                if edge[s] < edge[s + 1]:  # the order by the first word leaves less to write
+                    order = np.argsort(p.before[at], kind="stable")
+                    first = p.word_keys[p.before[at][order]]
+                    out.append((s, steps(first), packed(p.word_keys[p.last[at][order]]), packed(p.n[at][order])))
+        return pd.DataFrame(out, columns=["shard", "a", "b", "n"])
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        shard = int(frame["shard"].iloc[0])
+        a, b, n = (np.concatenate([f(bytes(x)) for x in frame[c]]) for c, f in (("a", unstepped), ("b", unpacked), ("n", unpacked)))
+        key = mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b)) >> np.uint64(64 - PAIR_BITS)
+        keys, first, place = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(place, n.astype(np.float64), len(keys)).astype(np.int64)
+        out = [(0, shard, steps(keys), packed(n), None, None, None, None, *_of(n))]
+        a, b, zero = a[first], b[first], np.zeros(len(n), np.int64)
+        words, sums = summed([(b, [zero + 1, zero, zero, zero, zero]), (a, [zero, n, n == 1, n == 2, n > 2])], 5)
+        edge = cuts(words, WORD_BITS, shards)
+        for s in range(shards):
+            if edge[s] < edge[s + 1]:
+                at = slice(edge[s], edge[s + 1])
+                out.append((1, s, steps(words[at]), *(packed(x[at]) for x in sums), 0, 0, 0, 0, 0, 0))
+        return pd.DataFrame(out, columns=names)
+
+    def words(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [(unstepped(bytes(k)), [unpacked(bytes(x)) for x in rest]) for k, *rest in zip(*(frame[c] for c in ("keys", *"abcde")), strict=True)]
+        keys, sums = summed(parts, 5)
+        return pd.DataFrame([(1, int(frame["shard"].iloc[0]), steps(keys), *(packed(x) for x in sums), *_of(sums[0]))], columns=names)
+
+    names = [c.split()[0] for c in _TABLE.split(", ")]
+    dealt = _grouped(docs).cogroup(chosen.groupBy("group")).applyInPandas(count, "shard int, a binary, b binary, n binary")
+    merged = written(dealt.groupBy("shard").applyInPandas(merge, _TABLE), "pairs")
+    return merged.filter("kind = 0"), written(merged.filter("kind = 1").groupBy("shard").applyInPandas(words, _TABLE), "words")
+
+
+def discounts(found: DataFrame) -> tuple[list[float], list[int]]:
+    """Discounts of counts of one, two and more; n1 to n4, how many there are and the total."""
+    n = [int(x or 0) for x in found.agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4", "kinds", "total")]).first()]
+    n1, n2, n3, n4 = n[:4]
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    less = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.7, 3 - 4 * y * n4 / n3 if n3 else 0.9)
+    return [min(max(d, 0.05), i + 0.9) for i, d in enumerate(less)], n
+
+
+def answers(docs: DataFrame, pairs: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    """group, kind, shard and columns a to e of what the group's distinct pairs (kind 0) and words (1) have in trusted text."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def asked(group: int, texts: list) -> pd.DataFrame:
+            p, out = Pairs(texts), []
+            for kind, keys, bits in ((0, p.keys, PAIR_BITS), (1, p.word_keys, WORD_BITS)):
+                edge = cuts(keys, bits, shards)
+                out += [(kind, s, group, steps(keys[edge[s] : edge[s + 1]])) for s in range(shards) if edge[s] < edge[s + 1]]
+            return pd.DataFrame(out, columns=["kind", "shard", "group", "keys"])
+
+        held, last = [], None
+        for frame in frames:
+            for row, text in zip(frame["row"].tolist(), frame["text"], strict=True):
+                if held and row >> GROUP_BITS != last:
+                    yield asked(last, held)
+                    held = []
+                last = row >> GROUP_BITS
+                held.append(bytes(text).decode("utf-8", "replace") if text is not None else "")
+        if held:
+            yield asked(last, held)
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left):
+            kind, shard, use = int(left["kind"].iloc[0]), int(left["shard"].iloc[0]), "abcde" if left["kind"].iloc[0] else "a"
+            known = unstepped(bytes(right["keys"].iloc[0])) if len(right) else np.zeros(0, np.uint64)
+            value = [unpacked(bytes(right[c].iloc[0])) if len(right) else np.zeros(0, np.uint64) for c in use]
+            for group, raw in zip(left["group"].tolist(), left["keys"], strict=True):
+                keys = unstepped(bytes(raw))
+                place = np.searchsorted(known, keys)
+                hit = place < len(known)
+                hit[hit] = known[place[hit]] == keys[hit]
+                got = [np.zeros(len(keys), np.uint64) for _ in use]
+                for x, v in zip(got, value, strict=True):
+                    x[hit] = v[place[hit]]
+                out.append((group, kind, shard, *map(packed, got), *[None] * (5 - len(use))))
+        return pd.DataFrame(out, columns=["group", "kind", "shard", *"abcde"])
+
+    asked = numbered(docs).select("row", "text").mapInPandas(ask, "kind int, shard int, group long, keys binary")
+    known = pairs.union(words).select("kind", "shard", "keys", *"abcde")
+    return written(asked.groupBy("kind", "shard").cogroup(known.groupBy("kind", "shard")).applyInPandas(answer, "group long, kind int, shard int, a binary, b binary, c binary, d binary, e binary"), "answers")
+
+
+def document_bits(p: Pairs, n: np.ndarray, by_word: list[np.ndarray], spell: np.ndarray, d1: list[float], d2: list[float], one: list[int], mine: np.ndarray) -> np.ndarray:
+    """Bits of each text; those that mine marks are left out of the counts that judge them."""
+    cont, total, f1, f2, f3 = by_word
+    off = d2[0] * f1 + d2[1] * f2 + d2[2] * f3
+    n1, n2, _, _, kinds, every = one
+    base = np.exp2(-spell) * (d1[0] * n1 + d1[1] * n2 + d1[2] * (kinds - n1 - n2)) / max(every, 1)
+
+    def take(x: np.ndarray, less: list[float]) -> np.ndarray:
+        return x - np.array([0, *less])[np.minimum(x, 3)]
+
+    def bits(n, cont, total, off, base):
+        lower = take(cont, d1) / max(every, 1) + base
+        return -np.log2(np.maximum(np.where(total > 0, (take(n, d2) + off * lower) / np.maximum(total, 1), lower), 1e-300))
+
+    shared = bits(n, cont[p.last], total[p.before], off[p.before], base[p.last])
+    out = np.bincount(p.doc, shared[p.pair], len(mine))
+    own = np.flatnonzero(mine[p.doc])
+    if len(own):
+        code, c = np.unique(p.doc[own] * len(p.keys) + p.pair[own], return_counts=True)
+        doc, pair = np.divmod(code, len(p.keys))
+        left = np.maximum(n[pair] - c, 0)
+        gone = (left == 0).astype(np.float64)
+        u, at = np.unique(doc * len(p.words) + p.before[pair], return_inverse=True)
+        v, to = np.unique(doc * len(p.words) + p.last[pair], return_inverse=True)
+        rest = np.maximum(total[p.before[pair]] - np.bincount(at, c, len(u))[at], 0)
+        less = np.maximum(off[p.before[pair]] - d2[0] * np.bincount(at, gone, len(u))[at], 0)
+        seen = np.maximum(cont[p.last[pair]] - np.bincount(to, gone, len(v))[to].astype(np.int64), 0)
+        out[mine] = np.bincount(doc, c * bits(left, seen, rest, less, base[p.last[pair]]), len(mine))[mine]
+    return out
+
+
+def rates(docs: DataFrame, good: DataFrame, lengths: np.ndarray) -> DataFrame:
+    """row, doc_id, lang, trust, chars and bits for each row of docs."""
+    free(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-int(size) // SHARD_BYTES))
+    chosen = written(trusted_rows(docs, good), "trusted")
+    pairs, words = word_counts(docs, chosen, shards)
+    (d2, _), (d1, one) = discounts(pairs), discounts(words)
+    free(docs)
+    replies = answers(docs, pairs, words, shards)
+    free(docs)
     held = docs.sparkSession.sparkContext.broadcast(lengths)
+    marks = chosen.select("group", F.lit(2).alias("kind"), F.lit(0).alias("shard"), *[F.lit(None).cast("binary").alias(c) for c in "abcde"], "rows")
+    told = replies.withColumn("rows", F.lit(None).cast("array<bigint>")).union(marks)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        size, bits = code_lengths(frame["text"].tolist(), held.value)
-        return pd.DataFrame({"doc_id": frame["doc_id"], "lang": frame["lang"], "chars": size, "bits": bits}, index=frame.index)
+    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, texts = _texts(left)
+        p = Pairs(texts)
+        right = right.sort_values("shard")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    return map_texts(asked, run, f"doc_id {kind}, lang string, chars long, bits double", 2_000_000)
+        def column(kind: int, c: str) -> np.ndarray:
+            parts = [unpacked(bytes(x)) for x in right.loc[right["kind"] == kind, c]]
+            return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+        mine = np.isin(rows, np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in right.loc[right["kind"] == 2, "rows"])]))
+        bits = document_bits(p, column(0, "a"), [column(1, c) for c in "abcde"], spelled(p.words, held.value), d1, d2, one, mine)
+        return pd.DataFrame({"row": rows, "trust": mine, "chars": p.chars, "bits": bits})
+
+    scored = _grouped(docs).cogroup(told.groupBy("group")).applyInPandas(judge, "row long, trust boolean, chars long, bits double")
+    named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("lang").cast("string").alias("lang"))
+    return named.join(scored.hint("merge"), "row")
 
 
 def quantiles(rated: DataFrame) -> dict[str | None, tuple[float, float]]:
@@ -200,15 +489,15 @@ def per_language(found: dict[str | None, tuple[float, float]], i: int):
     return F.coalesce(*[F.when(F.col("lang") == l, F.lit(q[i])) for l, q in found.items() if l is not None], F.lit(found[None][i]))
 
 
-def model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str | None, tuple[float, float]], DataFrame] | None:
-    """The table of code lengths, the quantiles of trusted documents and all rates; None without trusted text."""
+def model(docs: DataFrame, labels: DataFrame) -> tuple[dict[str | None, tuple[float, float]], DataFrame] | None:
+    """The quantiles of trusted documents and all rates; None without trusted text."""
     good = trusted(labels)
     lengths = table(docs, good)
     if lengths is None:
         return None
-    rated = written(rates(docs, lengths), "rates")
-    found = quantiles(rated.join(good.hint("merge"), "doc_id", "left_semi"))
-    return (lengths, found, rated) if None in found else None
+    rated = written(rates(docs, good, lengths), "rates")
+    found = quantiles(rated.filter("trust"))
+    return (found, rated) if None in found else None
 
 
 def judged(found: dict[str | None, tuple[float, float]]) -> tuple:
@@ -223,29 +512,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if fitted is None:
         none = F.lit(None).cast("double")
         return docs.select("doc_id", none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    _, found, rated = fitted
+    found, rated = fitted
     rate, bar = judged(found)
     return rated.select("doc_id", F.pow(F.lit(2.0), rate).alias("perplexity"), F.pow(F.lit(2.0), bar).alias("threshold"), (rate <= bar).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify keeps, with all their columns."""
+    """The rows of docs that classify keeps, with all their columns. Rejected rows' numbers meet the texts."""
     fitted = model(docs, labels)
     if fitted is None:
         return docs
-    held = docs.sparkSession.sparkContext.broadcast(fitted[:2])
-
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series, lang: pd.Series) -> pd.Series:
-        lengths, found = held.value
-        out = []
-        for lo in range(0, len(text), 256):
-            size, bits = code_lengths(text.iloc[lo : lo + 256].tolist(), lengths)
-            half, high = np.array([found.get(l, found[None]) for l in lang.iloc[lo : lo + 256]]).reshape(-1, 2).T
-            out.append((bits + SHRINK * half) / (size + SHRINK) <= 2 * high - half)
-        return pd.Series(np.concatenate(out) if out else [], dtype=bool)
-
-    return docs.filter(good("text", F.col("lang").cast("string")))
+    found, rated = fitted
+    rate, bar = judged(found)
+    bad = rated.filter(rate > bar).select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(bad.hint("merge"), "_row", "left_anti").drop("_row")
 
 
 def op8_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,59 @@ def test_model_is_kneser_ney(spark, tmp_path):
     assert np.allclose(dense.sum(1), 1, atol=0.01)  # a distribution in each context
 
 
+def plain_words(texts):
+    """Bits of a text by the word model's definition: exact counts of pairs, no hashes."""
+    cut = quality_lm.TOKEN.findall
+    two = Counter(x for t in texts for x in zip(["", *cut(t)], cut(t)))
+    one = Counter(b for _, b in two)
+
+    def less(g):
+        n = [sum(v == i for v in g.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        d = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 0.7, 3 - 4 * y * n[4] / n[3] if n[3] else 0.9]
+        return [0, *(min(max(x, 0.05), i + 0.9) for i, x in enumerate(d))]
+
+    d1, d2 = less(one), less(two)
+    total, off = Counter(), Counter()
+    for (a, _), n in two.items():
+        total[a] += n
+        off[a] += d2[min(n, 3)]
+
+    def bits(text, lengths):
+        words = cut(text)
+        spell = dict(zip(words, quality_lm.spelled(words, lengths), strict=True))
+        out = 0
+        for a, b in zip(["", *words], words):
+            p = (one[b] - d1[min(one[b], 3)] + sum(d1[min(n, 3)] for n in one.values()) * 2 ** -spell[b]) / sum(one.values())
+            out -= math.log2((two[a, b] - d2[min(two[a, b], 3)] + off[a] * p) / total[a] if total[a] else p)
+        return out
+
+    return bits
+
+
+def test_word_model_is_kneser_ney(spark, tmp_path):
+    """Words, digits and letters of other scripts count as they are; the order of words does, too; a trusted text isn't judged by itself."""
+    rng = random.Random(4)
+    cyrillic = ["мир", "дом", "река", "лес", "поле"]
+    rows = [(i, " ".join([sentence(rng, "a", 8), *(rng.choice(cyrillic) for _ in range(9))])) for i in range(60)]
+    rows += [(60, "one strange text that stands alone"), (70, "one strange text that stands alone"), (71, "мир дом река лес поле"), (72, "рми модкере сел епло"), (73, None)]
+    rows += [(74 + i, "east then west then north") for i in range(3)] + [(80, "east then west"), (81, "west east then")]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, lang string").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    good = docs.filter("doc_id <= 60 or doc_id between 74 and 76").select("doc_id")
+    lengths = quality_lm.table(docs, good)
+    got = {r["doc_id"]: r for r in quality_lm.rates(docs, good, lengths).collect()}
+    bits = plain_words([t for i, t in rows if i <= 60 or 74 <= i <= 76])
+    assert len(got) == len(rows) and all(got[i]["trust"] == (i <= 60 or 74 <= i <= 76) for i, _ in rows)
+    for i, t in rows:
+        if not got[i]["trust"]:
+            assert got[i]["bits"] == pytest.approx(bits(t or "", lengths), abs=1e-6)
+    assert got[60]["bits"] > got[70]["bits"] + 10  # without its own counts
+    assert got[72]["bits"] / got[72]["chars"] > 1.5 * got[71]["bits"] / got[71]["chars"]  # gibberish of the same letters
+    assert got[81]["bits"] > got[80]["bits"] + 1 and got[81]["chars"] == got[80]["chars"]  # the order of words
+
+
 def test_quality_on_a_corpus(spark, corpus):
     labels = spark.read.parquet(f"{corpus}/labels.parquet")
     got = quality_lm.op8_quality_lm(spark, corpus).join(labels, "doc_id").toPandas()
