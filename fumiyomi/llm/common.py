@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,42 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(docs: DataFrame) -> None:
+    """Shuffle files that nothing refers to any more leave the disk when the driver's JVM collects."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
+#: Files whose numbers are broadcast (16 bytes each); more are joined.
+FILES = 1_000_000
+
+
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of its rows' numbers: the file's number and the place in it, so a row has the same one however
+    often and in whatever pieces the files are read. docs is a read of Parquet files, filtered or projected at most;
+    what has no places in files is written to the shared folder first. Numbers don't follow any order between files."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        own = docs.select("*", F.xxhash64(at["file_path"]).alias(f"{name}_file"), at["row_index"].alias(f"{name}_at"))
+    except AnalysisException:  # not a read of files, or of files without places
+        return placed(written(docs, "rows"), name)
+    files = sorted(r[0] for r in own.select(f"{name}_file").distinct().collect())  # one number a file, of those the driver lists to read them
+    if len(files) < 2:
+        return own.withColumn(name, F.col(f"{name}_at").cast("long")).drop(f"{name}_file", f"{name}_at")
+    table = docs.sparkSession.createDataFrame(pd.DataFrame({f"{name}_file": files, f"{name}_number": range(len(files))}), f"{name}_file long, {name}_number long")
+    own = own.join(F.broadcast(table) if len(files) <= FILES else table, f"{name}_file")
+    return own.withColumn(name, F.shiftleft(f"{name}_number", 40) + F.col(f"{name}_at")).drop(f"{name}_file", f"{name}_at", f"{name}_number")
+
+
 def starts(lengths: np.ndarray) -> np.ndarray:
     """Offsets of consecutive runs of these lengths, the total at the end."""
     out = np.zeros(len(lengths) + 1, np.int64)

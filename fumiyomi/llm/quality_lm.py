@@ -1,61 +1,61 @@
 """Quality classifier (op 8): an interpolated modified Kneser-Ney model of the words of trusted text gives each document's perplexity.
 
 Tokens are words (runs of letters and digits), single marks, and single characters of scripts that write no spaces. Their
-pairs are counted over all trusted documents, whole, keyed by hash and summed by groups of 4,096 documents before they are
+pairs are counted over all trusted documents, whole, keyed by hash and summed by groups of documents before they are
 shuffled; shards merge them, and from the merged pairs come, by word, the followers, their total and the continuation
-count. Each group then asks the shards for its distinct pairs and words, packed, and the answers meet the group's text.
-So what is gathered grows with the input, and none of it comes to the driver.
+count. Each run of a group's documents then asks the shards for its distinct pairs and words, packed, and the answers meet
+the run's text. So what is gathered grows with the input, and none of it comes to the driver.
 
 A word is spelled, where the words don't tell, by four-grams of 64 classes of characters: the base distribution, of bounded
 size (64^4 entries of two bytes), is broadcast. Within a class, ASCII characters share all but 1/64 evenly.
 
 Trusted documents are scored without their own counts (leave one out), or they would look better than others do.
 
-A document's rate is its code length with SHRINK characters at its language's median rate added, which keeps short texts
-from being judged on a few characters; its perplexity is 2 to that rate. Characters are those of tokens, and one more for each. It is rejected above the language's threshold: the
-quantile HIGH of trusted documents' rates, and as far beyond it again as it lies beyond the median. Languages with fewer
-than OWN trusted documents, and null ones, share the quantiles of all.
+A document's rate is its code length with SHRINK characters at its language's median rate added, over its characters and
+SHRINK, which keeps short texts from being judged on a few characters; its perplexity is 2 to that rate. Characters are those
+of tokens, and one more for each. It is rejected above the language's threshold: the quantile HIGH of trusted documents'
+rates. Languages with fewer than OWN trusted documents, and null ones, share the quantile of all.
 
 Null and empty texts have the median rate: nothing speaks against them. Without trusted text everything is kept, at
-perplexity null. Repeated rows are judged each. A document is trusted if any of its labels has quality 1. Rows are
-numbered by their place in the scan, so docs must be read from files.
+perplexity null. Repeated rows are judged each. A document is trusted if any of its labels has quality 1.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import unicodedata
 from collections.abc import Iterator
-from hashlib import blake2b
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fumiyomi.llm.chunks import CHUNK_BITS, chunks, numbered, opened
-from fumiyomi.llm.common import documents, written
+from fumiyomi.llm.chunks import chunks, group_bits, opened, packed, runs_of, steps, unpacked, unstepped
+from fumiyomi.llm.common import begin, documents, dropped, free, placed, trim, written
 from fumiyomi.llm.fingerprints import mix
 
 BITS, ORDER = 6, 4
 CLASSES = 1 << BITS
 #: Characters at the median rate that each text gets besides its own.
 SHRINK = 60
-HIGH, OWN = 0.99, 50
+HIGH, OWN = 0.999, 50
 #: Steps of the histogram of rates, to a bit.
 STEPS = 1000
 #: A code length's unit: 1/1024 bit, in 16 bits.
 UNIT = 1024
 START = 0
+#: The column of row numbers, where docs has it already.
+ROW = "_lm_row"
 #: Words; other characters alone, as are those of scripts without spaces.
-TOKEN = re.compile(r"[^\W_\u0e00-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]+|\S")
-#: Documents of a group share all but so many bits of their row; bits of the hashes of words and of pairs.
-GROUP_BITS, WORD_BITS, PAIR_BITS = 12, 40, 48
-#: Bytes of text for each shard of pairs and words.
-SHARD_BYTES = 24_000_000
+_LETTERS = r"[^\W_\u0e00-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]+"
+TOKEN = re.compile(_LETTERS + r"|\S")
+#: Bits of the hashes of words and of pairs.
+WORD_BITS, PAIR_BITS = 40, 48
+#: Bytes of text for each shard of pairs and words, and of a run of documents that asks at once; characters of a slice.
+SHARD_BYTES, ASKED, SLICE = 24_000_000, 32_000_000, 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -104,24 +104,27 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[kind[ORDER - 1 :] != START], np.array([len(t or "") for t in texts], np.int64)
 
 
-def counts(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """code and n: four-grams of the texts of docs whose doc_id is in good, summed within chunks before the shuffle. Only ids
-    are joined with labels; chunks of documents then meet the list of their trusted rows. Both joins shuffle at every size."""
-    base = numbered(docs)
-    rows = base.select("row", "id").join(good.select(F.col("doc_id").cast("long").alias("id")).hint("merge"), "id", "left_semi")
-    chosen = rows.groupBy(F.shiftright("row", CHUNK_BITS).alias("chunk")).agg(F.collect_list("row").alias("rows"))
+def four_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different four-gram codes of the texts, ascending, and their counts."""
+    parts, held, size = [], [], 0
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for blob, rows in zip(frame["blob"], frame["rows"], strict=True):
-                own, _, size, raw = opened(bytes(blob))
-                text, first = raw.tobytes(), np.cumsum(size) - size
-                texts = [text[first[i] : first[i] + size[i]].decode("utf-8", "replace") for i in np.flatnonzero(np.isin(own, np.asarray(rows, np.int64)))]
-                code, n = np.unique(codes(texts)[0], return_counts=True)
-                yield pd.DataFrame({"code": code, "n": n})
+    def add(code: np.ndarray) -> None:
+        code, n = np.unique(code, return_counts=True)
+        parts.append((code.astype(np.uint64), [n]))
 
-    met = chunks(base).join(chosen.hint("merge"), "chunk").select("blob", "rows")
-    return met.mapInPandas(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    for text in texts:
+        for at in range(0, len(text), SLICE):  # a later slice of a long text begins with what its first context needs
+            if at:
+                add(codes([text[at - ORDER + 1 : at + SLICE]])[0][ORDER - 1 :])
+            else:
+                held.append(text[:SLICE])
+                size += len(held[-1])
+        if size > SLICE:
+            add(codes(held)[0])
+            held, size = [], 0
+    add(codes(held)[0])
+    code, (n,) = summed(parts, 1)
+    return code, n
 
 
 def kneser_ney(four: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
@@ -143,9 +146,9 @@ def kneser_ney(four: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out
 
 
-def table(docs: DataFrame, good: DataFrame) -> np.ndarray | None:
-    """Code lengths of all four-grams in units (uint16); None without any text. Its size doesn't depend on the corpus."""
-    four = written(counts(docs, good), "ngrams")
+def spelling(four: DataFrame) -> np.ndarray | None:
+    """Code lengths of all four-grams in units (uint16), from their counts (code, n); None without any. Its size doesn't
+    depend on the corpus."""
     if not four.head(1):
         return None
     shorter = np.full((1, CLASSES), 1 / CLASSES, np.float32)
@@ -197,35 +200,87 @@ def spelled(words: list[str], lengths: np.ndarray) -> np.ndarray:
     return bits + np.bincount(np.repeat(np.arange(len(words)), size - 1), inner, len(words))
 
 
-class _Index(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point 0 (white space), 1 (letter of a word) or 2 (a token alone), and a hash; by TOKEN's own classes."""
+    every = "".join(map(chr, range(0x110000)))
+    kind = np.full(0x110000, 2, np.uint8)
+    for pattern, k in ((r"\s+", 0), (_LETTERS, 1)):
+        for m in re.finditer(pattern, every):
+            kind[m.start() : m.end()] = k
+    return kind, mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+def slices(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """Parts of about SLICE characters: numbers of texts and their text; longer texts are cut before white space only."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end = len(text)
+            if end - at > SLICE:
+                cut = max(text.rfind(" ", at, at + SLICE), text.rfind("\n", at, at + SLICE))
+                end = cut if cut > at else end
+            held.append((i, text[at:end] if at or end < len(text) else text))
+            size += end - at
+            at = end
+            if size > SLICE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 class Pairs:
     """Tokens of some texts, each with the one before it; the distinct words and pairs in the order of their hashes."""
 
     def __init__(self, texts: list[str | None]):
-        index, flat, sizes = _Index({"": 0}), [], []  # the empty word begins each text
-        for t in texts:
-            now = [index[w] for w in TOKEN.findall(t)] if t else []
-            flat.append(np.array([0, *now], np.int64))
-            sizes.append(len(now))
-        words = list(index)
-        key = np.array([int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=WORD_BITS // 8).digest(), "little") for w in words], np.uint64)
-        self.word_keys, first, place = np.unique(key, return_index=True, return_inverse=True)
-        self.words = [words[i] for i in first]
-        joined = place[np.concatenate(flat)] if flat else np.zeros(0, np.int64)
-        starts = np.zeros(len(joined), bool)
-        starts[np.cumsum([0, *(n + 1 for n in sizes[:-1])])[: len(sizes)]] = True
-        inside = np.flatnonzero(~starts)
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        pair, inverse, self.n = np.unique(joined[inside - 1] * len(self.words) + joined[inside], return_inverse=True, return_counts=True)
+        table, hashes = _kinds()
+        keys, docs, first_of, spans = [], [], [], []
+        for part in slices(texts):
+            joined = " ".join(x for _, x in part)
+            point = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+            kind = table[point]
+            letter, alone = kind == 1, kind == 2
+            head, tail = letter.copy(), letter.copy()
+            head[1:] &= ~letter[:-1]
+            tail[:-1] &= ~letter[1:]
+            lo, hi = np.flatnonzero(head | alone), np.flatnonzero(tail | alone) + 1
+            if not len(lo):
+                continue
+            inside = np.arange(len(point))
+            begins = np.zeros(len(point), np.int64)
+            begins[lo] = lo
+            inside -= np.maximum.accumulate(begins)
+            inside[kind == 0] = 0
+            power = np.cumprod(np.full(int((hi - lo).max()), 0x9E3779B97F4A7C15, np.uint64))
+            term = hashes[point] * power[np.minimum(inside, len(power) - 1)]
+            term[kind == 0] = 0
+            h = mix(np.add.reduceat(term, lo) + (hi - lo).astype(np.uint64)) >> np.uint64(64 - WORD_BITS)
+            ends = np.cumsum([len(x) + 1 for _, x in part])
+            docs.append(np.array([i for i, _ in part], np.int64)[np.searchsorted(ends, lo, "right")])
+            place, known = pd.factorize(h)
+            first = np.zeros(len(known), np.int64)
+            first[place[::-1]] = np.arange(len(h) - 1, -1, -1)
+            keys.append((known, place))
+            spans.append((lo[first], hi[first], joined))
+        # the empty word begins each text
+        every = np.concatenate([np.zeros(1, np.uint64), *(np.maximum(k, 1) for k, _ in keys)])
+        self.word_keys, source, back = np.unique(every, return_index=True, return_inverse=True)
+        edge = np.cumsum([1, *(len(k) for k, _ in keys)])
+        part_of = np.searchsorted(edge, source, "right") - 1
+        self.words = [""] + [spans[p][2][spans[p][0][j] : spans[p][1][j]] for p, j in zip(part_of[1:].tolist(), (source[1:] - edge[part_of[1:]]).tolist(), strict=True)]
+        word = np.concatenate([np.zeros(0, np.int64), *(back[edge[i] : edge[i + 1]][place] for i, (_, place) in enumerate(keys))])
+        self.doc = np.concatenate([np.zeros(0, np.int64), *docs])
+        before = np.zeros(len(word), np.int64)
+        before[1:] = np.where(self.doc[1:] == self.doc[:-1], word[:-1], 0)
+        inverse, pair = pd.factorize(before * len(self.words) + word)
+        n = np.bincount(inverse, minlength=len(pair))
         a, b = np.divmod(pair, len(self.words))
         hashed = mix(self.word_keys[a] * np.uint64(0x9E3779B97F4A7C15) + mix(self.word_keys[b])) >> np.uint64(64 - PAIR_BITS)
         order = np.argsort(hashed, kind="stable")
-        self.keys, self.before, self.last, self.n = hashed[order], a[order], b[order], self.n[order]
+        self.keys, self.before, self.last, self.n = hashed[order], a[order], b[order], n[order]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.pair = back[inverse]
@@ -233,28 +288,6 @@ class Pairs:
         self.chars = np.bincount(self.doc, size[self.last[self.pair]], len(texts)).astype(np.int64)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, compressed."""
-    x = np.ascontiguousarray(x, np.uint64)
-    wide = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
-    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes())
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(raw[1:])), np.uint8).reshape(raw[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : raw[0]] = planes.T
-    return out.view(np.uint64).ravel()
-
-
-def steps(keys: np.ndarray) -> bytes:
-    return packed(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unstepped(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(raw), dtype=np.uint64)
-
-
 def cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
     """Where sorted keys pass from one shard to the next."""
     return np.searchsorted(keys, np.array([-(-(s << bits) // shards) for s in range(shards)] + [1 << bits], np.uint64))
@@ -269,60 +302,83 @@ def summed(parts: list[tuple[np.ndarray, list[np.ndarray]]], columns: int) -> tu
 
 
 def _texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Rows and texts of a group's chunks."""
-    rows, texts = [], []
-    for blob in frame.sort_values("chunk")["blob"]:
+    """Rows and texts of a group's chunks, by row."""
+    rows, texts = [np.zeros(0, np.int64)], []
+    for blob in frame["blob"]:
         own, _, size, raw = opened(bytes(blob))
         text, first = raw.tobytes(), np.cumsum(size) - size
         rows.append(own)
         texts += [text[f : f + n].decode("utf-8", "replace") for f, n in zip(first.tolist(), size.tolist(), strict=True)]
-    return np.concatenate(rows) if rows else np.zeros(0, np.int64), texts
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return row[order], [texts[i] for i in order.tolist()]
+
+
+def _chosen(frame: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in frame["rows"])])
 
 
 _TABLE = "kind int, shard int, keys binary, a binary, b binary, c binary, d binary, e binary, n1 long, n2 long, n3 long, n4 long, kinds long, total long"
+_NAMES = [c.split()[0] for c in _TABLE.split(", ")]
+_REPLY = "group long, lo long, hi long, kind int, shard int, a binary, b binary, c binary, d binary, e binary"
 
 
 def _of(n: np.ndarray) -> list[int]:
     return [*np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist(), int(np.count_nonzero(n)), int(n.sum())]
 
 
-def free(docs: DataFrame) -> None:
-    """Shuffle files that nothing refers to any more leave the disk when the driver's JVM collects."""
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-
+@dataclass
+class Learned:
+    """docs with their rows; bits of a group; how many shards; trusted rows by group; shards of pairs, words and four-grams."""
 
-def trusted_rows(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """group and rows: the rows of documents whose doc_id is in good."""
-    rows = numbered(docs).select("row", "id").join(good.select(F.col("doc_id").cast("long").alias("id")).hint("merge"), "id", "left_semi")
-    return rows.groupBy(F.shiftright("row", GROUP_BITS).alias("group")).agg(F.collect_list("row").alias("rows"))
+    keyed: DataFrame
+    bits: int
+    shards: int
+    chosen: DataFrame
+    pairs: DataFrame
+    words: DataFrame
+    four: DataFrame
 
+    def base(self) -> DataFrame:
+        return self.keyed.select("row", F.lit(0).cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
 
-def _grouped(docs: DataFrame):
-    return chunks(numbered(docs)).withColumn("group", F.shiftright("chunk", GROUP_BITS - CHUNK_BITS)).groupBy("group")
+    def grouped(self):
+        return chunks(self.base(), self.bits).groupBy("group")
 
 
-def word_counts(docs: DataFrame, chosen: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Shards of the pairs of trusted text (keys; a: count), and of its words (keys; a: words before, b: occurrences before
-    a word, c to e: followers seen once, twice, more often), with counts of counts."""
+def learn(docs: DataFrame, good: DataFrame) -> Learned:
+    """Counts of the texts of docs (doc_id, text, lang) whose doc_id is in good, as written tables."""
+    keyed = (docs if ROW in docs.columns else placed(docs, ROW)).select(F.col(ROW).alias("row"), "doc_id", F.col("lang").cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"), "text")
+    bits, size = group_bits(keyed)
+    shards = max(1, -(-size // SHARD_BYTES))
+    rows = keyed.select("row", F.col("doc_id").cast("long").alias("id")).join(good.select(F.col("doc_id").cast("long").alias("id")).hint("merge"), "id", "left_semi")
+    chosen = written(rows.groupBy(F.shiftright("row", bits).alias("group")).agg(F.collect_list("row").alias("rows")), "trusted")
+    learned = Learned(keyed, bits, shards, chosen, chosen, chosen, chosen)
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        begin("quality_lm")
         out = []
         if len(left) and len(right):
             rows, texts = _texts(left)
-            mine = np.isin(rows, np.concatenate([np.asarray(r, np.int64) for r in right["rows"]]))
-            p = Pairs([t for t, m in zip(texts, mine, strict=True) if m])
+            texts = [t for t, m in zip(texts, np.isin(rows, _chosen(right)).tolist(), strict=True) if m]
+            p = Pairs(texts)
             edge = cuts(p.keys, PAIR_BITS, shards)
             for s in range(shards):
                 at = slice(edge[s], edge[s + 1])
                 if edge[s] < edge[s + 1]:  # the order by the first word leaves less to write
                     order = np.argsort(p.before[at], kind="stable")
                     first = p.word_keys[p.before[at][order]]
-                    out.append((s, steps(first), packed(p.word_keys[p.last[at][order]]), packed(p.n[at][order])))
-        return pd.DataFrame(out, columns=["shard", "a", "b", "n"])
+                    out.append((0, s, steps(first), packed(p.word_keys[p.last[at][order]]), packed(p.n[at][order])))
+            code, n = four_grams(texts)
+            edge = cuts(code, BITS * ORDER, min(shards, 64))
+            out += [(2, s, steps(code[u:v]), None, packed(n[u:v])) for s, (u, v) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if u < v]
+        return pd.DataFrame(out, columns=["kind", "shard", "a", "b", "n"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(frame["shard"].iloc[0])
+        kind, shard = int(frame["kind"].iloc[0]), int(frame["shard"].iloc[0])
+        if kind == 2:
+            code, (n,) = summed([(unstepped(bytes(a)), [unpacked(bytes(n))]) for a, n in zip(frame["a"], frame["n"], strict=True)], 1)
+            return pd.DataFrame([(2, shard, steps(code), packed(n), *[None] * 4, *_of(n))], columns=_NAMES)
         a, b, n = (np.concatenate([f(bytes(x)) for x in frame[c]]) for c, f in (("a", unstepped), ("b", unpacked), ("n", unpacked)))
         key = mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b)) >> np.uint64(64 - PAIR_BITS)
         keys, first, place = np.unique(key, return_index=True, return_inverse=True)
@@ -335,17 +391,30 @@ def word_counts(docs: DataFrame, chosen: DataFrame, shards: int) -> tuple[DataFr
             if edge[s] < edge[s + 1]:
                 at = slice(edge[s], edge[s + 1])
                 out.append((1, s, steps(words[at]), *(packed(x[at]) for x in sums), 0, 0, 0, 0, 0, 0))
-        return pd.DataFrame(out, columns=names)
+        return pd.DataFrame(out, columns=_NAMES)
 
     def words(frame: pd.DataFrame) -> pd.DataFrame:
         parts = [(unstepped(bytes(k)), [unpacked(bytes(x)) for x in rest]) for k, *rest in zip(*(frame[c] for c in ("keys", *"abcde")), strict=True)]
         keys, sums = summed(parts, 5)
-        return pd.DataFrame([(1, int(frame["shard"].iloc[0]), steps(keys), *(packed(x) for x in sums), *_of(sums[0]))], columns=names)
+        return pd.DataFrame([(1, int(frame["shard"].iloc[0]), steps(keys), *(packed(x) for x in sums), *_of(sums[0]))], columns=_NAMES)
+
+    def opened_codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for keys, n in zip(frame["keys"], frame["a"], strict=True):
+                yield pd.DataFrame({"code": unstepped(bytes(keys)).astype(np.int32), "n": unpacked(bytes(n)).astype(np.int64)})
+
+    dealt = learned.grouped().cogroup(chosen.groupBy("group")).applyInPandas(count, "kind int, shard int, a binary, b binary, n binary")
+    merged = written(dealt.groupBy("kind", "shard").applyInPandas(merge, _TABLE), "pairs")
+    learned.pairs = merged.filter("kind = 0")
+    learned.words = written(merged.filter("kind = 1").groupBy("shard").applyInPandas(words, _TABLE), "words")
+    learned.four = merged.filter("kind = 2").select("keys", "a").mapInPandas(opened_codes, "code int, n long")
+    free(docs)
+    return learned
 
-    names = [c.split()[0] for c in _TABLE.split(", ")]
-    dealt = _grouped(docs).cogroup(chosen.groupBy("group")).applyInPandas(count, "shard int, a binary, b binary, n binary")
-    merged = written(dealt.groupBy("shard").applyInPandas(merge, _TABLE), "pairs")
-    return merged.filter("kind = 0"), written(merged.filter("kind = 1").groupBy("shard").applyInPandas(words, _TABLE), "words")
+
+def table(docs: DataFrame, good: DataFrame) -> np.ndarray | None:
+    """Code lengths of four-grams of trusted texts; None without any."""
+    return spelling(learn(docs, good).four)
 
 
 def discounts(found: DataFrame) -> tuple[list[float], list[int]]:
@@ -357,27 +426,21 @@ def discounts(found: DataFrame) -> tuple[list[float], list[int]]:
     return [min(max(d, 0.05), i + 0.9) for i, d in enumerate(less)], n
 
 
-def answers(docs: DataFrame, pairs: DataFrame, words: DataFrame, shards: int) -> DataFrame:
-    """group, kind, shard and columns a to e of what the group's distinct pairs (kind 0) and words (1) have in trusted text."""
+def answers(learned: Learned) -> DataFrame:
+    """For each run of a group's documents (rows lo to hi), kind and shard: columns a to e of what its distinct pairs (kind 0)
+    and words (1) have in trusted text."""
+    bits, shards = learned.bits, learned.shards
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def asked(group: int, texts: list) -> pd.DataFrame:
-            p, out = Pairs(texts), []
-            for kind, keys, bits in ((0, p.keys, PAIR_BITS), (1, p.word_keys, WORD_BITS)):
-                edge = cuts(keys, bits, shards)
-                out += [(kind, s, group, steps(keys[edge[s] : edge[s + 1]])) for s in range(shards) if edge[s] < edge[s + 1]]
-            return pd.DataFrame(out, columns=["kind", "shard", "group", "keys"])
-
-        held, last = [], None
-        for frame in frames:
-            for row, text in zip(frame["row"].tolist(), frame["text"], strict=True):
-                if held and row >> GROUP_BITS != last:
-                    yield asked(last, held)
-                    held = []
-                last = row >> GROUP_BITS
-                held.append(bytes(text).decode("utf-8", "replace") if text is not None else "")
-        if held:
-            yield asked(last, held)
+        begin("quality_lm")
+        for group, rows, _, texts in runs_of(frames, bits, 1 << 62, ASKED):
+            p, out = Pairs([bytes(t).decode("utf-8", "replace") if t is not None else "" for t in texts]), []
+            for kind, keys, wide in ((0, p.keys, PAIR_BITS), (1, p.word_keys, WORD_BITS)):
+                edge = cuts(keys, wide, shards)
+                out += [(kind, s, group, rows[0], rows[-1], steps(keys[edge[s] : edge[s + 1]])) for s in range(shards) if edge[s] < edge[s + 1]]
+            del p, texts
+            yield pd.DataFrame(out, columns=["kind", "shard", "group", "lo", "hi", "keys"])
+        trim()
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -385,7 +448,7 @@ def answers(docs: DataFrame, pairs: DataFrame, words: DataFrame, shards: int) ->
             kind, shard, use = int(left["kind"].iloc[0]), int(left["shard"].iloc[0]), "abcde" if left["kind"].iloc[0] else "a"
             known = unstepped(bytes(right["keys"].iloc[0])) if len(right) else np.zeros(0, np.uint64)
             value = [unpacked(bytes(right[c].iloc[0])) if len(right) else np.zeros(0, np.uint64) for c in use]
-            for group, raw in zip(left["group"].tolist(), left["keys"], strict=True):
+            for group, lo, hi, raw in zip(left["group"].tolist(), left["lo"].tolist(), left["hi"].tolist(), left["keys"], strict=True):
                 keys = unstepped(bytes(raw))
                 place = np.searchsorted(known, keys)
                 hit = place < len(known)
@@ -393,12 +456,12 @@ def answers(docs: DataFrame, pairs: DataFrame, words: DataFrame, shards: int) ->
                 got = [np.zeros(len(keys), np.uint64) for _ in use]
                 for x, v in zip(got, value, strict=True):
                     x[hit] = v[place[hit]]
-                out.append((group, kind, shard, *map(packed, got), *[None] * (5 - len(use))))
-        return pd.DataFrame(out, columns=["group", "kind", "shard", *"abcde"])
+                out.append((group, lo, hi, kind, shard, *map(packed, got), *[None] * (5 - len(use))))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _REPLY.split(", ")])
 
-    asked = numbered(docs).select("row", "text").mapInPandas(ask, "kind int, shard int, group long, keys binary")
-    known = pairs.union(words).select("kind", "shard", "keys", *"abcde")
-    return written(asked.groupBy("kind", "shard").cogroup(known.groupBy("kind", "shard")).applyInPandas(answer, "group long, kind int, shard int, a binary, b binary, c binary, d binary, e binary"), "answers")
+    asked = learned.base().mapInPandas(ask, "kind int, shard int, group long, lo long, hi long, keys binary")
+    known = learned.pairs.union(learned.words).select("kind", "shard", "keys", *"abcde")
+    return written(asked.groupBy("kind", "shard").cogroup(known.groupBy("kind", "shard")).applyInPandas(answer, _REPLY), "answers")
 
 
 def document_bits(p: Pairs, n: np.ndarray, by_word: list[np.ndarray], spell: np.ndarray, d1: list[float], d2: list[float], one: list[int], mine: np.ndarray) -> np.ndarray:
@@ -432,50 +495,55 @@ def document_bits(p: Pairs, n: np.ndarray, by_word: list[np.ndarray], spell: np.
     return out
 
 
-def rates(docs: DataFrame, good: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """row, doc_id, lang, trust, chars and bits for each row of docs."""
-    free(docs)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-int(size) // SHARD_BYTES))
-    chosen = written(trusted_rows(docs, good), "trusted")
-    pairs, words = word_counts(docs, chosen, shards)
-    (d2, _), (d1, one) = discounts(pairs), discounts(words)
-    free(docs)
-    replies = answers(docs, pairs, words, shards)
-    free(docs)
-    held = docs.sparkSession.sparkContext.broadcast(lengths)
-    marks = chosen.select("group", F.lit(2).alias("kind"), F.lit(0).alias("shard"), *[F.lit(None).cast("binary").alias(c) for c in "abcde"], "rows")
+def scored(learned: Learned, lengths: np.ndarray) -> DataFrame:
+    """row, doc_id, lang, trust, chars and bits for each row of docs, as a written table."""
+    (d2, _), (d1, one) = discounts(learned.pairs), discounts(learned.words)
+    replies = answers(learned)
+    dropped(replies.sparkSession, learned.pairs, learned.words)
+    free(replies)
+    held = replies.sparkSession.sparkContext.broadcast(lengths)
+    marks = learned.chosen.select("group", *[F.lit(0).cast("long").alias(c) for c in ("lo", "hi")], F.lit(2).alias("kind"), F.lit(0).alias("shard"), *[F.lit(None).cast("binary").alias(c) for c in "abcde"], "rows")
     told = replies.withColumn("rows", F.lit(None).cast("array<bigint>")).union(marks)
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        begin("quality_lm")
         rows, texts = _texts(left)
-        p = Pairs(texts)
-        right = right.sort_values("shard")
+        trusted_ = np.isin(rows, _chosen(right[right["kind"] == 2]))
+        out = [pd.DataFrame({"row": [], "trust": [], "chars": [], "bits": []})]
+        for (lo, hi), part in right[right["kind"] < 2].sort_values("shard").groupby(["lo", "hi"]):
+            u, v = np.searchsorted(rows, lo), np.searchsorted(rows, hi, "right")
+            p = Pairs(texts[u:v])
+
+            def column(kind: int, c: str) -> np.ndarray:
+                parts = [unpacked(bytes(x)) for x in part.loc[part["kind"] == kind, c]]  # noqa: B023
+                return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
-        def column(kind: int, c: str) -> np.ndarray:
-            parts = [unpacked(bytes(x)) for x in right.loc[right["kind"] == kind, c]]
-            return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+            mine = trusted_[u:v]
+            bits = document_bits(p, column(0, "a"), [column(1, c) for c in "abcde"], spelled(p.words, held.value), d1, d2, one, mine)
+            out.append(pd.DataFrame({"row": rows[u:v], "trust": mine, "chars": p.chars, "bits": bits}))
+        return pd.concat(out).astype({"row": "int64", "trust": "bool", "chars": "int64", "bits": "float64"})
 
-        mine = np.isin(rows, np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in right.loc[right["kind"] == 2, "rows"])]))
-        bits = document_bits(p, column(0, "a"), [column(1, c) for c in "abcde"], spelled(p.words, held.value), d1, d2, one, mine)
-        return pd.DataFrame({"row": rows, "trust": mine, "chars": p.chars, "bits": bits})
+    found = learned.grouped().cogroup(told.groupBy("group")).applyInPandas(judge, "row long, trust boolean, chars long, bits double")
+    rated = written(learned.keyed.select("row", "doc_id", "lang").join(found.hint("merge"), "row"), "rates")
+    dropped(replies.sparkSession, replies)
+    free(replies)
+    return rated
 
-    scored = _grouped(docs).cogroup(told.groupBy("group")).applyInPandas(judge, "row long, trust boolean, chars long, bits double")
-    named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("lang").cast("string").alias("lang"))
-    return named.join(scored.hint("merge"), "row")
+
+def rates(docs: DataFrame, good: DataFrame, lengths: np.ndarray) -> DataFrame:
+    return scored(learn(docs, good), lengths)
 
 
-def quantiles(rated: DataFrame) -> dict[str | None, tuple[float, float]]:
-    """Median and high quantile of the rate by language, and of all under None: from histograms of bounded size."""
-    rated = rated.filter("chars > 0").select("lang", F.round(F.col("bits") / F.col("chars") * STEPS).cast("int").alias("bin"))
-    bins = rated.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    out: dict[str | None, tuple[float, float]] = {}
+def quantiles(rate: DataFrame, q: float) -> dict[str | None, float]:
+    """A quantile of rate by lang, and of all under None: from histograms of bounded size, rounded up to their steps."""
+    bins = rate.select("lang", F.ceil(F.col("rate") * STEPS).cast("int").alias("bin")).groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    out: dict[str | None, float] = {}
     for lang, part in [*bins.groupby("lang"), (None, bins)]:
         part = part.groupby("bin")["n"].sum().sort_index()
         if part.sum() < OWN and lang is not None or not len(part):
             continue
         reach = part.cumsum().to_numpy() / part.sum()
-        out[lang] = tuple(float(part.index[np.searchsorted(reach, q)]) / STEPS for q in (0.5, HIGH))
+        out[lang] = float(part.index[np.searchsorted(reach, q)]) / STEPS
     return out
 
 
@@ -484,48 +552,45 @@ def trusted(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
-def per_language(found: dict[str | None, tuple[float, float]], i: int):
-    """A column: a quantile of the row's language, or that of all."""
-    return F.coalesce(*[F.when(F.col("lang") == l, F.lit(q[i])) for l, q in found.items() if l is not None], F.lit(found[None][i]))
+def per_language(found: dict[str | None, float]):
+    """A column: the value of the row's language, or that of all."""
+    return F.coalesce(*[F.when(F.col("lang") == l, F.lit(q)) for l, q in found.items() if l is not None], F.lit(found[None]))
 
 
-def model(docs: DataFrame, labels: DataFrame) -> tuple[dict[str | None, tuple[float, float]], DataFrame] | None:
-    """The quantiles of trusted documents and all rates; None without trusted text."""
-    good = trusted(labels)
-    lengths = table(docs, good)
+def model(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """row, doc_id, rate and bar of each row of docs; None without trusted text."""
+    learned = learn(docs, trusted(labels))
+    lengths = spelling(written(learned.four, "four_grams"))
     if lengths is None:
         return None
-    rated = written(rates(docs, good, lengths), "rates")
-    found = quantiles(rated.filter("trust"))
-    return (found, rated) if None in found else None
-
-
-def judged(found: dict[str | None, tuple[float, float]]) -> tuple:
-    """Columns rate and bar, from lang, chars and bits."""
-    rate = (F.col("bits") + SHRINK * per_language(found, 0)) / (F.col("chars") + SHRINK)
-    return rate, 2 * per_language(found, 1) - per_language(found, 0)
+    rated = scored(learned, lengths)
+    good = rated.filter("trust and chars > 0")
+    middle = quantiles(good.select("lang", (F.col("bits") / F.col("chars")).alias("rate")), 0.5)
+    if None not in middle:
+        return None
+    rate = (F.col("bits") + SHRINK * per_language(middle)) / (F.col("chars") + SHRINK)
+    high = quantiles(good.select("lang", rate.alias("rate")), HIGH)
+    return rated.select("row", "doc_id", rate.alias("rate"), per_language(high).alias("bar"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, perplexity, threshold (a perplexity) and kept for each row of docs (doc_id, text, lang)."""
-    fitted = model(docs, labels)
-    if fitted is None:
+    rated = model(docs, labels)
+    if rated is None:
         none = F.lit(None).cast("double")
         return docs.select("doc_id", none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    found, rated = fitted
-    rate, bar = judged(found)
-    return rated.select("doc_id", F.pow(F.lit(2.0), rate).alias("perplexity"), F.pow(F.lit(2.0), bar).alias("threshold"), (rate <= bar).alias("kept"))
+    power = lambda c: F.pow(F.lit(2.0), F.col(c))
+    return rated.select("doc_id", power("rate").alias("perplexity"), power("bar").alias("threshold"), (F.col("rate") <= F.col("bar")).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that classify keeps, with all their columns. Rejected rows' numbers meet the texts."""
-    fitted = model(docs, labels)
-    if fitted is None:
+    keyed = placed(docs, ROW)
+    rated = model(keyed, labels)
+    if rated is None:
         return docs
-    found, rated = fitted
-    rate, bar = judged(found)
-    bad = rated.filter(rate > bar).select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(bad.hint("merge"), "_row", "left_anti").drop("_row")
+    bad = rated.filter("rate > bar").select(F.col("row").alias(ROW))
+    return keyed.join(bad.hint("merge"), ROW, "left_anti").drop(ROW)
 
 
 def op8_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

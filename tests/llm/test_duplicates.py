@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fumiyomi.llm import common, fingerprints, jaccard_join, suffix_dedup
+from fumiyomi.llm import chunks, common, fingerprints, jaccard_join, suffix_dedup
 
 
 def covered_by_hand(rows, span=50):
@@ -40,9 +40,10 @@ def test_repeated_strings(docs):
     assert got == covered_by_hand(rows)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeated_strings_of_few_letters(spark, tmp_path, seed):
-    """Much overlap: texts cut from a few sources over two letters, with runs."""
+@pytest.mark.parametrize("seed, most", [(0, 150_000), (1, 150_000), (2, 12), (3, 12), (4, 40)])
+def test_repeated_strings_of_few_letters(spark, tmp_path, monkeypatch, seed, most):
+    """Much overlap: texts cut from a few sources over two letters, with runs; small ranges make k-grams hot, which are parted."""
+    monkeypatch.setattr(suffix_dedup, "RANGE", most)
     rng = random.Random(seed)
     source = ["".join(rng.choice("ab" if k % 2 else "abcdefgh") for _ in range(400)) + "z" * 150 for k in range(4)]
     rows = []
@@ -58,13 +59,39 @@ def test_repeated_strings_of_few_letters(spark, tmp_path, seed):
     assert got == covered_by_hand(rows)
 
 
-def test_common_k_grams_need_no_count(docs, monkeypatch):
-    """The same result where nearly all k-grams are taken for common ones."""
+def test_small_slices_groups_and_ranges(docs, monkeypatch):
+    """The same result whatever is done at once: few documents a group, many ranges, hash buckets and buckets within ranges."""
     whole = sorted((tuple(r) for r in suffix_dedup.digests(docs).collect()), key=str)
-    monkeypatch.setattr(suffix_dedup, "COMMON", 1e-9)
+    for name, value in (("RANGE", 20), ("RANGES", 4), ("BUCKET_BYTES", 9_000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    monkeypatch.setattr(chunks, "GROUP_BITS", 2)
     assert sorted((tuple(r) for r in suffix_dedup.digests(docs).collect()), key=str) == whole
 
 
+def test_anchors_in_slices(monkeypatch):
+    rng = random.Random(3)
+    raw, first, size = suffix_dedup.joined(["".join(rng.choice("abc ") for _ in range(n)).encode() for n in (900, 20, 51, 0, 400, 50, 2000)])
+    whole = suffix_dedup.anchors(raw, first, size)
+    for n in (64, 77, 1000):
+        monkeypatch.setattr(suffix_dedup, "SLICE", n)
+        assert all((a == b).all() for a, b in zip(suffix_dedup.anchors(raw, first, size), whole, strict=True))
+
+
+def test_row_numbers_do_not_depend_on_the_cut(spark, docs):
+    """Row numbers are those of files: the same under other splits, after filters, and in several files."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    pick = lambda d: sorted((r["_row"], str(r["doc_id"]), str(r["text"])) for r in common.placed(d, "_row").collect())
+    whole = pick(docs)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        assert pick(docs) == whole and len({r[0] for r in whole}) == len(whole)
+        assert set(pick(docs.filter("doc_id > 20"))) <= set(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    made = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    assert len({r[0] for r in pick(made)}) == 2
+
+
 @given(st.lists(st.binary(min_size=0, max_size=12), min_size=1, max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_multikey_order(rows):
