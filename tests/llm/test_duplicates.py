@@ -262,3 +262,27 @@ def test_empty_and_clashing(empty, clashing, docs):
     assert pick(clashing) == pick(docs)
     assert jaccard_join.deduplicate(clashing).columns == clashing.columns and suffix_dedup.remove_repeats(clashing).columns == clashing.columns
     assert fingerprints.with_edits(clashing).count() == clashing.select(F.lit(1)).count()
+
+
+@given(st.integers(0, 10**6), st.integers(2, 30), st.booleans())
+@settings(max_examples=60, deadline=None)
+def test_links_of_a_band_span_its_pairs(seed, count, halves):
+    """Components of the links are those of all pairs that the pruning leaves."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 256, (3, 160))
+    low = np.stack([np.where(rng.random(160) < rng.choice([0, 0.1, 0.4]), rng.integers(0, 256, 160), base[rng.integers(3)]) for _ in range(count)]).astype(np.uint8)
+    n, bars = rng.integers(80, 120, count), jaccard_join.least_matches()
+    left = rng.random(count) < 0.5 if halves else None
+
+    def components(pairs):
+        comp = list(range(count))
+        for i, j in pairs:
+            comp = [min(comp[i], comp[j]) if c in (comp[i], comp[j]) else c for c in comp]
+        return comp
+
+    def stays(i, j):
+        one = lambda x: x[None]
+        return len(jaccard_join.unpruned(one(low[i]), one(low[j]), one(n[i]), one(n[j]), 0.8, bars)) == 1
+
+    every = [(i, j) for i in range(count) for j in range(i + 1, count) if (left is None or left[i] != left[j]) and stays(i, j)]
+    assert components(jaccard_join.band_links(low, n, left, 0.8, bars)) == components(every)
