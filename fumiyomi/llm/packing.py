@@ -2,9 +2,10 @@
 
 A document's tokens end with one separator. Longer documents than a sequence are cut into full pieces, the first of
 which may be shorter; only the shorter one is left to place. Documents are dealt by hash to shards of bounded size,
-each packed in one task: best fit by decreasing length, then local search: from the emptiest bins, documents move to
+each packed in one task: best fit by decreasing length, then local search: from the emptiest bins on, documents move to
 another underfull bin, or are exchanged one for one or two for one, wherever the sum of squared fills grows, until
-bins are empty. The search ends at the lower bound, when no step is left, or when some rounds emptied no bin.
+bins are empty. All underfull bins and all their documents take part, and the search goes on until it meets the lower bound or
+no step is left; a bin from which no step led is only held against bins that have changed since.
 
 Null texts are empty: a piece of the separator alone. Repeated rows are packed each; of equal lengths the first in
 the shard's order goes first. Other columns than id and text are not read. An empty table gives no rows.
@@ -30,8 +31,6 @@ from fumiyomi.llm.common import begin, by_bytes, cached, documents
 CAPACITY = 2048
 #: Documents that a shard holds, about.
 SHARD = 8192
-#: Bins that a round of the search tries to empty, and rounds in which none becomes empty before it ends.
-TRIED, PATIENCE = 256, 4
 
 
 @lru_cache(maxsize=2)
@@ -50,8 +49,8 @@ def _encoder(path: str):
     def encode(text: str) -> np.ndarray:
         try:
             return fast.encode_to_numpy(text, allowed_special="all")
-        except BaseException as e:  # the pattern's engine gives up on some very long runs, as a panic
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+        except BaseException as e:  # the pattern's engine gives up on some very long runs, as a panic, which is no Exception
+            if type(e).__name__ != "PanicException":
                 raise
             from tokenizers import Tokenizer
 
@@ -114,63 +113,82 @@ class Bins:
         return [int(sum(self.lengths[i] for i in b)) for b in self.bins]
 
     def search(self) -> None:
-        """Rounds over the emptiest bins until the lower bound is met or nothing more comes of it."""
-        bound, stale = lower_bound(self.lengths, self.capacity), 0
-        while len(self.bins) > bound and stale < PATIENCE:
-            fills = self.fills()
-            tried = sorted((b for b in range(len(self.bins)) if fills[b] < self.capacity), key=fills.__getitem__)[:TRIED]
-            before, steps = len(self.bins), self.steps
-            for b in tried:
-                self._empty(b, fills)
-            self.bins = [b for b in self.bins if b]
-            if self.steps == steps:
+        """Rounds over the underfull bins, the emptiest first, until the lower bound is met or no step is left."""
+        bound = lower_bound(self.lengths, self.capacity)
+        fills = self.fills()
+        count = sum(map(bool, self.bins))
+        changed = np.zeros(len(self.bins), np.int64)  # the step that changed a bin last
+        tried = np.full(len(self.bins), -1, np.int64)  # the step up to which no step leads from a bin
+        while count > bound:
+            before = self.steps
+            for b in sorted((b for b in range(len(self.bins)) if self.bins[b] and fills[b] < self.capacity), key=fills.__getitem__):
+                while self.bins[b] and (step := self._best(b, fills, changed, tried[b])):
+                    self._take(b, step, fills, changed)
+                    tried[b] = -1
+                if self.bins[b]:
+                    tried[b] = self.steps
+                else:
+                    count -= 1
+                    if count <= bound:
+                        break
+            if self.steps == before:
                 break
-            stale = 0 if len(self.bins) < before else stale + 1
-
-    def _empty(self, b: int, fills: list[int]) -> None:
-        """Moves what it can out of bin b, each step growing the sum of squared fills."""
-        size = self.lengths
-        others = [c for c in range(len(self.bins)) if c != b and self.bins[c] and fills[c] < self.capacity]
-        if not self.bins[b] or not others:
-            return
-        # flat view of the other underfull bins' documents
-        while self.bins[b]:
-            fill = np.array([fills[c] for c in others])
-            room = self.capacity - fill
-            item = np.array([i for c in others for i in self.bins[c]])
-            home = np.repeat(np.arange(len(others)), [len(self.bins[c]) for c in others])
-            best: tuple = (0, None)  # growth of the sum of squared fills, step
-            mine = self.bins[b]
-            pairs = [[mine[u], mine[v]] for u in range(len(mine)) for v in range(u + 1, len(mine))] if len(mine) <= 12 else []
-            for out in [[x] for x in mine] + pairs:
-                n = int(size[out].sum())
-                if len(out) == 1:  # move
-                    growth = np.where(room >= n, 2 * n * (fill - fills[b] + n), 0)
-                    c = int(np.argmax(growth))
-                    if growth[c] > best[0]:
-                        best = (int(growth[c]), (out, c, []))
-                gain = n - size[item]  # exchange for one
-                growth = np.where((gain > 0) & (gain <= room[home]), 2 * gain * (fill[home] - fills[b] + gain), 0)
-                k = int(np.argmax(growth))
-                if growth[k] > best[0]:
-                    best = (int(growth[k]), (out, int(home[k]), [int(item[k])]))
-            if best[1] is None:
-                return
-            self.steps += 1
-            out, k, back = best[1]
-            c = others[k]
-            for x in out:
-                self.bins[b].remove(x)
-                self.bins[c].append(x)
-            for y in back:
-                self.bins[c].remove(y)
-                self.bins[b].append(y)
-            moved = int(sum(size[x] for x in out) - sum(size[y] for y in back))
-            fills[b] -= moved
-            fills[c] += moved
-            others = [o for o in others if fills[o] < self.capacity]
-            if not others:
-                return
+        self.bins = [b for b in self.bins if b]
+
+    def _best(self, b: int, fills: list[int], changed: np.ndarray, since: int) -> tuple[list[int], int, list[int]] | None:
+        """The step from bin b that makes the sum of squared fills grow most: documents that leave it, the other bin, and
+        documents that come back; only to bins that changed after step `since`."""
+        size, capacity = self.lengths, self.capacity
+        others = [c for c in range(len(self.bins)) if c != b and self.bins[c] and fills[c] < capacity and changed[c] > since]
+        if not others:
+            return None
+        fill = np.array([fills[c] for c in others])
+        room = capacity - fill
+        item = np.array([i for c in others for i in self.bins[c]])
+        home = np.repeat(np.arange(len(others)), [len(self.bins[c]) for c in others])
+        wide = np.int64(2 * capacity)
+        key = home * wide + size[item]
+        order = np.argsort(key, kind="stable")
+        key, item = key[order], item[order]  # each bin's documents by length
+        mine = {}  # what can leave, one of each sum of lengths; alone before in twos
+        for u, x in enumerate(self.bins[b]):
+            mine.setdefault((int(size[x]), True), [x])
+        for u, x in enumerate(self.bins[b]):
+            for y in self.bins[b][u + 1 :]:
+                mine.setdefault((int(size[x] + size[y]), False), [x, y])
+        out = list(mine)
+        n = np.array([k[0] for k in out])
+        growth = 2 * n[:, None] * (fill - fills[b] + n[:, None])  # moves of one
+        growth[(room < n[:, None]) | ~np.array([k[1] for k in out])[:, None]] = 0
+        k = int(growth.argmax())
+        best, step = int(growth.flat[k]), (k // len(others), k % len(others), -1)
+        # exchanges: the shortest document of the other bin that leaves no more than its room grows it most
+        low = np.maximum(n[:, None] - room, 1)
+        place = np.searchsorted(key, np.arange(len(others)) * wide + low)
+        at = np.minimum(place, len(key) - 1)
+        back = key[at] - np.arange(len(others)) * wide
+        gain = n[:, None] - back
+        growth = np.where((place < len(key)) & (back < wide) & (back > 0) & (gain > 0), 2 * gain * (fill - fills[b] + gain), 0)
+        k = int(growth.argmax())
+        if int(growth.flat[k]) > best:
+            best, step = int(growth.flat[k]), (k // len(others), k % len(others), int(at.flat[k]))
+        if best <= 0:
+            return None
+        return mine[out[step[0]]], others[step[1]], [] if step[2] < 0 else [int(item[step[2]])]
+
+    def _take(self, b: int, step: tuple[list[int], int, list[int]], fills: list[int], changed: np.ndarray) -> None:
+        self.steps += 1
+        out, c, back = step
+        for x in out:
+            self.bins[b].remove(x)
+            self.bins[c].append(x)
+        for y in back:
+            self.bins[c].remove(y)
+            self.bins[b].append(y)
+        moved = int(sum(self.lengths[x] for x in out) - sum(self.lengths[y] for y in back))
+        fills[b] -= moved
+        fills[c] += moved
+        changed[b] = changed[c] = self.steps
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:

@@ -111,6 +111,51 @@ def test_local_search_beats_best_fit():
     assert len(start.bins) <= before and len(packing.pack(np.array([5, 4, 4, 3, 2, 2]), 10)) == 2
 
 
+def fewest(lengths, capacity):
+    """Bins of the best packing there is, by trying all."""
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            place(i + 1, [r - lengths[i] if j == k else r for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9))
+@settings(max_examples=150, deadline=None)
+def test_packing_of_few_against_all_packings(lengths):
+    bins, best = packing.pack(np.array(lengths), 30), fewest(sorted(lengths, reverse=True), 30)
+    assert best <= len(bins) <= best + 1
+    assert packing.lower_bound(np.array(lengths), 30) <= best
+
+
+@given(st.lists(st.integers(3, 60), min_size=5, max_size=40), st.integers(60, 80))
+@settings(max_examples=100, deadline=None)
+def test_no_step_is_left(lengths, capacity):
+    """Above the lower bound no move and no exchange of one or two documents for one makes the sum of squared fills grow."""
+    size = np.array(lengths)
+    bins = packing.pack(size, capacity)
+    if len(bins) == packing.lower_bound(size, capacity):
+        return
+    fill = [int(size[b].sum()) for b in bins]
+    for b in range(len(bins)):
+        for c in range(len(bins)):
+            if b != c and fill[b] < capacity and fill[c] < capacity:
+                ones = [[int(size[x])] for x in bins[b]]
+                twos = [[int(size[x]), int(size[y])] for k, x in enumerate(bins[b]) for y in bins[b][k + 1 :]]
+                for out, back in [(o, 0) for o in ones] + [(o, int(size[y])) for o in ones + twos for y in bins[c]]:
+                    gain = sum(out) - back
+                    assert gain <= 0 or fill[c] + gain > capacity or (fill[c] + gain) ** 2 + (fill[b] - gain) ** 2 <= fill[c] ** 2 + fill[b] ** 2
+
+
 def test_packed_documents(docs, texts, library):
     rows = packing.pack_documents(docs, BYTES, with_ids=True).collect()
     plain = packing.pack_documents(docs, BYTES).collect()
