@@ -95,29 +95,35 @@ class Bpe:
             known = self.fits[a, b] = self._compatible(a, b)
         return known
 
+    def _spine(self, r: int, inner: list[int]) -> list[tuple[int, int]]:
+        """Tokens that stand at one edge of rank r while it is merged, from its single byte on: each with the rank of the merge
+        that ends it. inner gives the part at that edge."""
+        out, end = [], len(self.id_of_rank)
+        while True:
+            out.append((r, end))
+            if inner[r] == r:
+                return out[::-1]
+            r, end = inner[r], r
+
     def _compatible(self, a: int, b: int) -> bool:
-        """Undoes merges, the later of the two sides first; a merge across the border before that time forbids the pair."""
-        joined, left, right = self.joined, self.left, self.right
-        before = len(left)
+        """By definition: merges are taken by rank, so the two texts are merged apart as long as no merge across their border comes
+        before the next one at the border. The tokens at the border are those of two spines; a pair of them stands there from the
+        rank of the later one's making until the first of them is merged further. Equal ranks go left to right: a merge across the
+        border comes before one of the same rank that lies right of it."""
+        left, right = self._spine(a, self.right), self._spine(b, self.left)
+        i = j = 0
         while True:
-            if joined.get((a, b), before) < before:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            across = self.joined.get((x, y))
+            if across is not None and across < x_ends and across <= y_ends:
                 return False
-            if a > b:
-                before = a
-                a = right[a]
-                if a == before:
-                    before = b + 1
-                    b = left[b]
-                    if b + 1 == before:
-                        return True
+            if i + 1 == len(left) and j + 1 == len(right):
+                return True
+            if x_ends <= y_ends:  # of equal ranks the left one comes first
+                i += 1
             else:
-                before = b + 1
-                b = left[b]
-                if b + 1 == before:
-                    before = a
-                    a = right[a]
-                    if a == before:
-                        return True
+                j += 1
+
 
     def word(self, text: bytes) -> list[int]:
         """Ranks of one pre-token."""
