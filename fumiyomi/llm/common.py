@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that the driver and all executors share; sets one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/fumiyomi-checkpoints"
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
@@ -92,9 +94,9 @@ def starts(lengths: np.ndarray) -> np.ndarray:
 
 
 def by_bytes(frames: Iterator[pd.DataFrame], column: str, most: int) -> Iterator[pd.DataFrame]:
-    """Cuts frames so that the texts of each have at most so many characters (one longer text stands alone)."""
+    """Cuts frames so that the texts of each have at most so many bytes, by the column n_bytes, or else characters (one longer text stands alone)."""
     for frame in frames:
-        size = frame[column].str.len().fillna(0).to_numpy(np.int64)
+        size = (frame["n_bytes"] if "n_bytes" in frame.columns else frame[column].str.len()).fillna(0).to_numpy(np.int64)
         begin, total = 0, 0
         for i, n in enumerate(size):
             if total and total + n > most:

@@ -24,6 +24,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 400, 1_500_000
 DEPTH = 3
 #: Entries of the table of code lengths, at most: rare contexts go first.
 TABLE = 16_000_000
+#: Bytes whose code lengths are added at once.
+SLICE = 1_000_000
 PAD = b"\n" * DEPTH
 
 
@@ -116,12 +118,15 @@ class ContextTrees:
         row *= self.kinds
         row += x[3:]
         out = np.zeros((len(texts), len(self.langs)))
-        full = np.flatnonzero(size)
-        if len(full):
-            edges = np.stack([begin[full] - DEPTH, begin[full] - DEPTH + size[full]], 1).ravel()
-            if edges[-1] == len(row):
-                edges = edges[:-1]
-            out[full] = np.add.reduceat(self.cost[row], edges, axis=0, dtype=np.float64)[::2]
+        for at in range(0, len(row), SLICE):  # sums add up: a long text takes no more memory than short ones
+            part = row[at : at + SLICE]
+            lo, hi = np.maximum(begin - DEPTH - at, 0), np.minimum(begin - DEPTH + size - at, len(part))
+            full = np.flatnonzero(lo < hi)
+            if len(full):
+                edges = np.stack([lo[full], hi[full]], 1).ravel()
+                if edges[-1] == len(part):
+                    edges = edges[:-1]
+                out[full] += np.add.reduceat(self.cost[part], edges, axis=0, dtype=np.float64)[::2]
         return out
 
 
@@ -135,16 +140,21 @@ def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMP
         return {}
     below = F.coalesce(*[F.when(F.col("lang") == l, F.lit(int(s * (1 << 32)))) for l, s in share.items()])
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    thinned = able.select("lang", "doc_id", key.alias("key"), below.alias("below")).filter("key <= below")
-    chosen = thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most_docs)
-    ids = chosen.select("doc_id").distinct()
-    rows = able.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", "text").collect()
+    thinned = able.select("lang", "doc_id", F.octet_length("text").alias("n"), key.alias("key"), below.alias("below")).filter("key <= below")
+    ranked = thinned.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most_docs).select("lang", "doc_id", "n").collect()
+    left: dict[str, int] = {}
+    chosen = []  # what doesn't fit in the bytes left is passed over; sizes are known before a text is read
+    for r in ranked:
+        if r["n"] <= left.setdefault(r["lang"], most_bytes):
+            left[r["lang"]] -= r["n"]
+            chosen.append((r["lang"], r["doc_id"], r["n"]))
+    for lang in {r["lang"] for r in ranked} - {c[0] for c in chosen}:  # only longer ones: the shortest of them
+        chosen.append(min(((r["lang"], r["doc_id"], r["n"]) for r in ranked if r["lang"] == lang), key=lambda c: c[2]))
+    ids = docs.sparkSession.createDataFrame(chosen, able.select("lang", "doc_id", F.octet_length("text").alias("n")).schema)
+    rows = able.withColumn("n", F.octet_length("text")).join(F.broadcast(ids.distinct()), ["lang", "doc_id", "n"], "left_semi").select("lang", "doc_id", "text").collect()
     out: dict[str, list[str]] = {}
-    used: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if used.get(r["lang"], 0) < most_bytes:
-            out.setdefault(r["lang"], []).append(r["text"])
-            used[r["lang"]] = used.get(r["lang"], 0) + len(r["text"].encode())
+        out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fumiyomi.llm.common import documents, map_texts, words, written
+from fumiyomi.llm.common import documents, map_texts, placed, words, written
 
 #: Documents of a host that may hold the same line.
 MAX_DOCS = 100
@@ -103,15 +103,22 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST,
 
 def clean(docs: DataFrame, max_docs: int = MAX_DOCS, host: str = "source") -> DataFrame:
     """docs with the lines above the limit cut out of text; all other columns and rows stay."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    hashed = F.udf(lambda text: [h for h in dict.fromkeys(map(line_hash, text.split("\n"))) if h is not None] if text else [], "array<long>")
+    keyed = placed(docs, "_row")
+
+    @F.pandas_udf("array<long>")
+    def hashed(text: pd.Series) -> pd.Series:
+        return pd.Series([[h for h in dict.fromkeys(map(line_hash, t.split("\n"))) if h is not None] if t else [] for t in text], dtype=object)
+
     lines = keyed.select("_row", F.col(host).cast("string").alias("h"), F.explode(hashed("text")).alias("l"))
     frequent = lines.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_docs).withColumnsRenamed({"h": "h2", "l": "l2"})
     bad = lines.join(frequent, F.col("h").eqNullSafe(F.col("h2")) & (F.col("l") == F.col("l2"))).groupBy("_row").agg(F.collect_set("l").alias("_bad"))
 
+    def rest(text: str, bad: set) -> str:
+        return "\n".join(x for x in text.split("\n") if line_hash(x) not in bad)
+
     @F.pandas_udf("string")
     def without(text: pd.Series, bad: pd.Series) -> pd.Series:
-        return pd.Series([t if b is None or t is None else "\n".join(x for x in t.split("\n") if line_hash(x) not in set(b)) for t, b in zip(text, bad, strict=True)], dtype=object)
+        return pd.Series([t if b is None or t is None else rest(t, set(b)) for t, b in zip(text, bad, strict=True)], dtype=object)
 
     return keyed.join(bad, "_row", "left").withColumn("text", without("text", "_bad")).drop("_row", "_bad")
 

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from fumiyomi.llm.common import cached, documents, map_texts
 from fumiyomi.llm.pieces import Pieces
 
-#: Characters of text that a batch holds at most (a longer text is a batch of its own).
-BATCH_CHARS = 2_000_000
+#: Bytes of text that a batch holds at most (a longer text is a batch of its own).
+BATCH_BYTES = 2_000_000
 LIMIT = 2048
 
 
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         return pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": frame["n_bytes"], "n_tokens": counts, "over_limit": counts > limit})
 
     sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return map_texts(sized, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean", BATCH_CHARS, "token_counts")
+    return map_texts(sized, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean", BATCH_BYTES, "token_counts")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

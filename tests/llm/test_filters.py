@@ -87,6 +87,62 @@ def test_best_cut():
     assert toxicity.best_cut(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == pytest.approx(0.5)
 
 
+def test_gradient_against_differences():
+    """One step of training moves each weight as finite differences of the loss say; a plain loop gives the same scores."""
+    rng = np.random.default_rng(2)
+    model = toxicity.Cnn(3)
+    texts = [np.array([toxicity.code(f"w{rng.integers(9)}") for _ in range(n)], np.int64) for n in (1, 4, 9, 2)]
+
+    def plain(text):
+        rows = [np.zeros(toxicity.DIM)] * 2 + [sum(model.rows[r] for r in model.words(np.array([c]))[1][0]).astype(float) for c in text] + [np.zeros(toxicity.DIM)] * 2
+        pooled = []
+        for w, f in zip(toxicity.WIDTHS, model.filters, strict=True):
+            at = range(3 - w, 2 + len(text))
+            pooled += [max(sum(rows[i + j] @ f[j][:, k] for j in range(w)) for i in at) for k in range(toxicity.FILTERS)]
+        return np.maximum(np.array(pooled) + model.offset, 0) @ model.out + model.bias[0]
+
+    assert np.allclose(model.logits(texts), [plain(t) for t in texts], atol=1e-4)
+
+
+def test_slices_do_not_change_scores(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = toxicity.Cnn(1)
+    texts = [np.array([toxicity.code(f"w{rng.integers(50)}") for _ in range(n)], np.int64) for n in (400, 0, 1, 37, 900)]
+    whole = model.logits(texts)
+    trees = langid.ContextTrees({"a": ["some words of a text " * 9], "b": ["других слов здесь нет " * 9]})
+    raw = [b"", "words of другой текст ".encode() * 30, b"x", b"a text " * 50]
+    bits = trees.bits(raw)
+    for n in (3, 50, 211):
+        monkeypatch.setattr(toxicity, "SLICE", n)
+        monkeypatch.setattr(langid, "SLICE", n)
+        assert np.allclose(model.logits(texts), whole, atol=1e-5) and np.allclose(trees.bits(raw), bits)
+
+
+def test_a_long_labelled_text_does_not_empty_the_sample():
+    n = np.array([5, 900, 7, 8, 2000, 6])
+    kind = np.array([0, 0, 1, 0, 1, 1])
+    assert toxicity.fitting(n, kind, 40).tolist() == [True, False, True, True, False, True]
+    assert toxicity.fitting(np.array([90, 80, 3]), np.array([0, 0, 1]), 20).tolist() == [False, True, True]
+
+
+def test_tokens_of_pairs_are_those_of_the_pattern(monkeypatch):
+    """Words, marks and characters of scripts without spaces as TOKEN parts them, also where a long text is cut."""
+    texts = ["Ein Satz, 12 Wörter_und mehr. " * 20, None, "", "日本語のテキスト and words", "a", "x" * 90 + " y", "one  two\n\nthree \u00a0 four", "😀😀 мир1 ๑๒"]
+    for n in (1_000_000, 40):
+        monkeypatch.setattr(quality_lm, "SLICE", n)
+        p = quality_lm.Pairs(texts)
+        for i, t in enumerate(texts):
+            own = np.flatnonzero(p.doc == i)
+            found = quality_lm.TOKEN.findall(t or "")
+            assert [p.words[p.last[k]] for k in p.pair[own]] == found
+            assert [p.words[p.before[k]] for k in p.pair[own]] == ["", *found][: len(found)]
+            assert p.chars[i] == sum(len(w) + 1 for w in found)
+        grams = quality_lm.four_grams([t for t in texts if t])
+        if n == 1_000_000:
+            whole = grams
+        assert all((a == b).all() for a, b in zip(grams, whole, strict=True))
+
+
 def test_no_labels(spark, docs, labels):
     assert toxicity.fit(toxicity.sample(docs, labels)) is None  # one class alone
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
