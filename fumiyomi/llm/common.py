@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,9 +61,13 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def free(docs: DataFrame) -> None:
-    """Shuffle files that nothing refers to any more leave the disk when the driver's JVM collects."""
+    """Shuffle files that nothing refers to any more leave the disk when the driver's JVM collects; the query that ran last
+    is still referred to, so a small one runs first."""
+    spark = docs.sparkSession
+    spark.range(1).collect()
     gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works beside us
 
 
 #: Files whose numbers are broadcast (16 bytes each); more are joined.
