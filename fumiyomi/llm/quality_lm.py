@@ -55,7 +55,7 @@ TOKEN = re.compile(_LETTERS + r"|\S")
 #: Bits of the hashes of words and of pairs.
 WORD_BITS, PAIR_BITS = 40, 48
 #: Bytes of text for each shard of pairs and words, and of a run of documents that asks at once; characters of a slice.
-SHARD_BYTES, ASKED, SLICE = 24_000_000, 32_000_000, 1_000_000
+SHARD_BYTES, ASKED, SLICE = 24_000_000, 32_000_000, 500_000
 
 
 @lru_cache(maxsize=1)
@@ -203,11 +203,12 @@ def spelled(words: list[str], lengths: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _kinds() -> tuple[np.ndarray, np.ndarray]:
     """For each code point 0 (white space), 1 (letter of a word) or 2 (a token alone), and a hash; by TOKEN's own classes."""
-    every = "".join(map(chr, range(0x110000)))
     kind = np.full(0x110000, 2, np.uint8)
-    for pattern, k in ((r"\s+", 0), (_LETTERS, 1)):
-        for m in re.finditer(pattern, every):
-            kind[m.start() : m.end()] = k
+    for base in range(0, 0x110000, 0x8000):
+        every = "".join(map(chr, range(base, base + 0x8000)))
+        for pattern, k in ((r"\s+", 0), (_LETTERS, 1)):
+            for m in re.finditer(pattern, every):
+                kind[base + m.start() : base + m.end()] = k
     return kind, mix(np.arange(1, 0x110001, dtype=np.uint64))
 
 
@@ -249,8 +250,8 @@ class Pairs:
             lo, hi = np.flatnonzero(head | alone), np.flatnonzero(tail | alone) + 1
             if not len(lo):
                 continue
-            inside = np.arange(len(point))
-            begins = np.zeros(len(point), np.int64)
+            inside = np.arange(len(point), dtype=np.int32)
+            begins = np.zeros(len(point), np.int32)
             begins[lo] = lo
             inside -= np.maximum.accumulate(begins)
             inside[kind == 0] = 0
@@ -259,11 +260,11 @@ class Pairs:
             term[kind == 0] = 0
             h = mix(np.add.reduceat(term, lo) + (hi - lo).astype(np.uint64)) >> np.uint64(64 - WORD_BITS)
             ends = np.cumsum([len(x) + 1 for _, x in part])
-            docs.append(np.array([i for i, _ in part], np.int64)[np.searchsorted(ends, lo, "right")])
+            docs.append(np.array([i for i, _ in part], np.int32)[np.searchsorted(ends, lo, "right")])
             place, known = pd.factorize(h)
             first = np.zeros(len(known), np.int64)
             first[place[::-1]] = np.arange(len(h) - 1, -1, -1)
-            keys.append((known, place))
+            keys.append((known, place.astype(np.int32)))
             spans.append((lo[first], hi[first], joined))
         # the empty word begins each text
         every = np.concatenate([np.zeros(1, np.uint64), *(np.maximum(k, 1) for k, _ in keys)])
@@ -271,18 +272,22 @@ class Pairs:
         edge = np.cumsum([1, *(len(k) for k, _ in keys)])
         part_of = np.searchsorted(edge, source, "right") - 1
         self.words = [""] + [spans[p][2][spans[p][0][j] : spans[p][1][j]] for p, j in zip(part_of[1:].tolist(), (source[1:] - edge[part_of[1:]]).tolist(), strict=True)]
-        word = np.concatenate([np.zeros(0, np.int64), *(back[edge[i] : edge[i + 1]][place] for i, (_, place) in enumerate(keys))])
-        self.doc = np.concatenate([np.zeros(0, np.int64), *docs])
-        before = np.zeros(len(word), np.int64)
-        before[1:] = np.where(self.doc[1:] == self.doc[:-1], word[:-1], 0)
-        inverse, pair = pd.factorize(before * len(self.words) + word)
+        back = back.astype(np.int32)
+        word = np.concatenate([np.zeros(0, np.int32), *(back[edge[i] : edge[i + 1]][place] for i, (_, place) in enumerate(keys))])
+        del keys, spans
+        self.doc = np.concatenate([np.zeros(0, np.int32), *docs])
+        code = word.astype(np.int64)
+        code[1:] += np.where(self.doc[1:] == self.doc[:-1], word[:-1], 0) * np.int64(len(self.words))
+        inverse, pair = pd.factorize(code)
+        del code, word
+        inverse = inverse.astype(np.int32)
         n = np.bincount(inverse, minlength=len(pair))
         a, b = np.divmod(pair, len(self.words))
         hashed = mix(self.word_keys[a] * np.uint64(0x9E3779B97F4A7C15) + mix(self.word_keys[b])) >> np.uint64(64 - PAIR_BITS)
         order = np.argsort(hashed, kind="stable")
         self.keys, self.before, self.last, self.n = hashed[order], a[order], b[order], n[order]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
         self.pair = back[inverse]
         size = np.array([len(w) + 1 for w in self.words])
         self.chars = np.bincount(self.doc, size[self.last[self.pair]], len(texts)).astype(np.int64)
@@ -372,6 +377,8 @@ def learn(docs: DataFrame, good: DataFrame) -> Learned:
             code, n = four_grams(texts)
             edge = cuts(code, BITS * ORDER, min(shards, 64))
             out += [(2, s, steps(code[u:v]), None, packed(n[u:v])) for s, (u, v) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if u < v]
+            del p, texts
+            trim()
         return pd.DataFrame(out, columns=["kind", "shard", "a", "b", "n"])
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -391,6 +398,8 @@ def learn(docs: DataFrame, good: DataFrame) -> Learned:
             if edge[s] < edge[s + 1]:
                 at = slice(edge[s], edge[s + 1])
                 out.append((1, s, steps(words[at]), *(packed(x[at]) for x in sums), 0, 0, 0, 0, 0, 0))
+        del a, b, n, key, keys, first, place, words, sums
+        trim()
         return pd.DataFrame(out, columns=_NAMES)
 
     def words(frame: pd.DataFrame) -> pd.DataFrame:
@@ -439,8 +448,8 @@ def answers(learned: Learned) -> DataFrame:
                 edge = cuts(keys, wide, shards)
                 out += [(kind, s, group, rows[0], rows[-1], steps(keys[edge[s] : edge[s + 1]])) for s in range(shards) if edge[s] < edge[s + 1]]
             del p, texts
+            trim()
             yield pd.DataFrame(out, columns=["kind", "shard", "group", "lo", "hi", "keys"])
-        trim()
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -482,7 +491,7 @@ def document_bits(p: Pairs, n: np.ndarray, by_word: list[np.ndarray], spell: np.
     out = np.bincount(p.doc, shared[p.pair], len(mine))
     own = np.flatnonzero(mine[p.doc])
     if len(own):
-        code, c = np.unique(p.doc[own] * len(p.keys) + p.pair[own], return_counts=True)
+        code, c = np.unique(p.doc[own].astype(np.int64) * len(p.keys) + p.pair[own], return_counts=True)
         doc, pair = np.divmod(code, len(p.keys))
         left = np.maximum(n[pair] - c, 0)
         gone = (left == 0).astype(np.float64)
@@ -521,6 +530,8 @@ def scored(learned: Learned, lengths: np.ndarray) -> DataFrame:
             mine = trusted_[u:v]
             bits = document_bits(p, column(0, "a"), [column(1, c) for c in "abcde"], spelled(p.words, held.value), d1, d2, one, mine)
             out.append(pd.DataFrame({"row": rows[u:v], "trust": mine, "chars": p.chars, "bits": bits}))
+            del p
+        trim()
         return pd.concat(out).astype({"row": "int64", "trust": "bool", "chars": "int64", "bits": "float64"})
 
     found = learned.grouped().cogroup(told.groupBy("group")).applyInPandas(judge, "row long, trust boolean, chars long, bits double")
