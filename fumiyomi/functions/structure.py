@@ -97,6 +97,16 @@ def structure(text):
     return F.pandas_udf(_structure, f"array<{LINE}>")(text)
 
 
+def _uncommented(text: pd.Series) -> pd.Series:
+    return pd.Series([without_comments(t) if t is not None else None for t in text], dtype=object)
+
+
+def uncommented(text):
+    """A text column with comments as blanks; only texts that have any meet the function of Python."""
+    blank = F.pandas_udf(_uncommented, "string")
+    return F.when(F.contains(text, F.lit("<!--")), blank(F.when(F.contains(text, F.lit("<!--")), text))).otherwise(text)
+
+
 def structured(docs: DataFrame) -> DataFrame:
     """docs with one row a line: line, raw, masked and kind take the place of text."""
     rest = [c for c in docs.columns if c != "text"]

@@ -8,6 +8,7 @@ and can be another one; whatever it lacks is a noun, by its script. With a large
 
 from __future__ import annotations
 
+import bisect
 import csv
 import re
 import unicodedata
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "struct<surface:string,byte_start:int,byte_end:int,pos1:string,pos2:string,pos3:string,lemma:string,norm:string,reading:string>"
-#: Bytes of a text that is tokenized; longer ones give no tokens and are counted by oversize().
+#: Bytes of a text that is tokenized at once; longer ones are cut, before a blank or after a comma where there is one.
 MOST_BYTES = 49149
 DEFAULT = Path(__file__).with_name("lexicon.csv")
 
@@ -155,11 +156,22 @@ def lexicon(path: str) -> Lexicon:
 
 
 def tokens_of(text: str | None, path: str = str(DEFAULT)) -> list[dict]:
-    if not text or len(text.encode()) > MOST_BYTES:
+    if not text:
         return []
     byte = [0]
     for c in text:
         byte.append(byte[-1] + len(c.encode()))
+    if byte[-1] > MOST_BYTES:
+        out: list[dict] = []
+        at = 0
+        while at < len(text):
+            end = bisect.bisect_right(byte, byte[at] + MOST_BYTES) - 1
+            if end < len(text):
+                cut = max(text.rfind(" ", at + 1, end), *(text.rfind(c, at, end - 1) + 1 for c in "、，,"))
+                end = cut if cut > at else end
+            out += [t | {"byte_start": t["byte_start"] + byte[at], "byte_end": t["byte_end"] + byte[at]} for t in tokens_of(text[at:end], path)]
+            at = end
+        return out
     return [
         {"surface": w.surface, "byte_start": byte[at], "byte_end": byte[at + len(w.surface)], "pos1": w.pos[0], "pos2": w.pos[1], "pos3": w.pos[2], "lemma": w.lemma, "norm": normalized(w.lemma), "reading": w.reading}
         for at, w in lexicon(path).tokenize(text)
@@ -183,5 +195,5 @@ def token_frame(sentences: DataFrame, path: str = str(DEFAULT)) -> DataFrame:
 
 
 def oversize(sentences: DataFrame) -> DataFrame:
-    """Sentences too long to tokenize."""
+    """Sentences too long to tokenize at once: they are cut."""
     return sentences.filter(F.octet_length("sentence") > MOST_BYTES).select("doc_id", "line", F.octet_length("sentence").alias("bytes"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fumiyomi.functions import text as t
+
 _ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')]
 
 
@@ -30,11 +32,27 @@ def article(html: Column) -> Column:
     return F.when(found[0] != "", found[0]).when(found[1] != "", found[1]).otherwise(html)
 
 
+def _heading_text(x: Column) -> Column:
+    """Text of a heading's HTML: no tags, white space as single blanks."""
+    return t.u_trim(F.regexp_replace(unescaped(F.regexp_replace(x, "<[^>]+>", "")), r"(?U)\s+", " "))
+
+
+def with_marks(html: Column) -> Column:
+    """Headings as lines with marks; those without text are left out."""
+    pattern = r"(?is)<h([1-6])[^>]*>.*?</h\1>"
+    found, parts = F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), F.split(html, pattern, -1)
+
+    def turned(x: Column) -> Column:
+        text = _heading_text(x)
+        return F.when(text == "", "").otherwise(F.concat(F.lit("\n\n"), F.repeat(F.lit("#"), F.substring(x, 3, 1).cast("int")), F.lit(" "), text, F.lit("\n\n")))
+
+    rest = F.concat(F.transform(found, turned), F.array(F.lit("")))
+    return F.when(F.size(found) == 0, html).otherwise(F.array_join(F.zip_with(parts, rest, lambda p, x: F.concat(p, x)), ""))
+
+
 def stripped(html: Column) -> Column:
     """Text of HTML: no scripts and styles, headings with marks, breaks and paragraphs as lines, no tags; lines trimmed, one blank line between."""
-    c = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", "")
-    for level in range(1, 7):
-        c = F.regexp_replace(c, rf"(?is)<h{level}[^>]*>\s*(.*?)\s*</h{level}>", "\n\n" + "#" * level + " $1\n\n")
+    c = with_marks(F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", ""))
     c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
     c = F.regexp_replace(c, "(?i)</p>", "\n\n")
     c = unescaped(F.regexp_replace(c, "<[^>]+>", ""))
@@ -51,17 +69,21 @@ def title(html: Column) -> Column:
 
 
 def headings(pages: DataFrame) -> DataFrame:
-    """page_id, nth, level, text of the headings of each page."""
-    pattern = r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"
+    """page_id, nth, level, text of the headings of each page that have a text."""
+    pattern = r"(?is)<h([1-6])[^>]*>.*?</h\1>"
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("nth", "x"))
-    body = unescaped(F.regexp_replace("x", "<[^>]+>", ""))
-    return rows.select("page_id", "nth", F.substring("x", 3, 1).cast("int").alias("level"), F.regexp_replace(F.regexp_replace(body, r"(?U)\s+", " "), "^ | \\z", "").alias("text"))
+    return rows.select("page_id", "nth", F.substring("x", 3, 1).cast("int").alias("level"), _heading_text(F.col("x")).alias("text")).filter("text <> ''")
+
+
+# Fixed value: lines of page numbers.
+PAGE_NUMBER = r"[-‐―ー0-9０-９ページPage/\s.]{1,10}"
 
 
 def without_running_lines(pages: DataFrame) -> DataFrame:
-    """Lines of a book's pages but for running heads, page numbers: short lines that stand on a third of the pages, three at
-    least, of a book of over two. pages: book, page, line, text."""
+    """Lines of a book's pages, trimmed, but for blank ones, page numbers and running heads: lines of 40 characters at most that
+    stand on half of the pages (rounded down), three at least, of a book of over two. pages: book, page, line, text."""
     n = pages.groupBy("book").agg(F.count_distinct("page").alias("pages"))
-    often = pages.filter(F.length("text") <= 40).groupBy("book", "text").agg(F.count_distinct("page").alias("on")).join(n, "book")
-    running = often.filter((F.col("pages") > 2) & (F.col("on") >= F.greatest(F.lit(3.0), F.col("pages") / 2)))
-    return pages.join(running.select("book", "text"), ["book", "text"], "left_anti").filter(~F.col("text").rlike(r"^\s*[-–—]?\s*[0-9]+\s*[-–—]?\s*\z"))
+    own = pages.withColumn("text", t.u_trim(F.col("text"))).filter("text <> ''")
+    often = own.filter(F.length("text") <= 40).groupBy("book", "text").agg(F.count_distinct("page").alias("on")).join(n, "book")
+    running = often.filter((F.col("pages") > 2) & (F.col("on") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2))))
+    return own.join(running.select("book", "text"), ["book", "text"], "left_anti").filter(~F.col("text").rlike(rf"(?U)^{PAGE_NUMBER}\z"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
+from fumiyomi.functions.structure import uncommented
 from fumiyomi.operators.tokens import SENTENCE, order
 
 ACRONYM = "(?<![A-Za-z0-9])[A-Z]{2,}[0-9]*(?![A-Za-z0-9])"
@@ -46,15 +47,23 @@ def registered(found: DataFrame) -> DataFrame:
 
 
 def with_context(terms: DataFrame, docs: DataFrame, around: int = 80) -> DataFrame:
-    """n occurrences in the whole text, the text around the first one, and whether a gloss stands there. docs: doc_id, text."""
-    rows = terms.join(docs.select("doc_id", "text"), "doc_id")
-    at = F.expr("instr(text, term)")
+    """n occurrences in the whole text, the text around the place where a term was seen, and whether a gloss stands there.
+    Comments count as blanks. The place is the first one of the term's line (of the text, where terms has no line); a line that
+    doesn't hold it is the context itself. docs: doc_id, text."""
+    rows = terms.join(docs.select("doc_id", uncommented(F.col("text")).alias("text")), "doc_id")
+    if "line" in terms.columns:
+        own = F.split("text", "\n", -1)
+        rows = rows.withColumns({"_line": F.coalesce(F.get(own, F.col("line") - 1), F.lit("")), "_skip": F.length(F.array_join(F.slice(own, F.lit(1), F.greatest(F.lit(0), F.col("line") - 1)), "\n")) + (F.col("line") > 1).cast("int")})
+    else:
+        rows = rows.withColumns({"_line": F.col("text"), "_skip": F.lit(0)})
     n = ((F.length("text") - F.length(F.expr("replace(text, term, '')"))) / F.length("term")).cast("long")
+    seen = F.expr("instr(_line, term)")
+    at = F.col("_skip") + seen
     start = F.greatest(F.lit(1), at - around)
-    context = F.substring("text", start, at - start + F.length("term") + around)
+    context = F.when(seen > 0, F.substring("text", start, at - start + F.length("term") + around)).otherwise(F.col("_line"))
     next_char = F.substring("text", at + F.length("term"), F.lit(1))
-    gloss = next_char.isin("(", "（") | context.rlike(t.any_of(m.GLOSS))
-    return rows.filter(at > 0).select(*terms.columns, n.alias("n"), context.alias("context"), gloss.alias("has_gloss"))
+    gloss = ((seen > 0) & next_char.isin("(", "（")) | context.rlike(t.any_of(m.GLOSS))
+    return rows.select(*terms.columns, n.alias("n"), t.u_trim(context).alias("context"), gloss.alias("has_gloss"))
 
 
 def audit(terms: DataFrame) -> DataFrame:

@@ -279,8 +279,9 @@ def _strip_sql() -> str:
     x = "CASE WHEN regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) <> '' THEN regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) WHEN regexp_extract(html, '(?s)<main[^>]*>(.*?)</main>', 1) <> '' THEN regexp_extract(html, '(?s)<main[^>]*>(.*?)</main>', 1) ELSE html END"
     for tag in ("script", "style", "noscript"):
         x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
-    for k in range(1, 7):
-        x = rf"regexp_replace({x}, '(?is)<h{k}[^>]*>\s*(.*?)\s*</h{k}>', chr(10) || chr(10) || '{'#' * k} \1' || chr(10) || chr(10), 'g')"
+    for k in range(1, 7):  # headings without a text go; white space inside them is one blank
+        x = rf"regexp_replace({x}, '(?is)<h{k}[^>]*>(?:\s|<[^>]+>|&nbsp;)*</h{k}>', '', 'g')"
+        x = rf"array_to_string(list_transform(string_split(regexp_replace({x}, '(?is)<h{k}[^>]*>(.*?)</h{k}>', chr(1) || chr(2) || '\1' || chr(1), 'g'), chr(1)), lambda s: CASE WHEN s[1] = chr(2) THEN chr(10) || chr(10) || '{'#' * k} ' || regexp_replace(regexp_replace(regexp_replace(s[2:], '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g') || chr(10) || chr(10) ELSE s END), '')"
     x = rf"regexp_replace(regexp_replace({x}, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g')"
     x = ENTITIES.format(f"regexp_replace({x}, '<[^>]+>', '', 'g')")
     return rf"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> ''), chr(10) || chr(10))"
@@ -291,17 +292,18 @@ def html_body_text(spark, sf):
     return extract.page_text(table(spark, sf, "pages")).select("page_id", "url", F.sha2("text", 256).alias("hash"), F.length("text").cast("long").alias("chars"))
 
 
-@query(r"""SELECT page_id, (nth - 1)::BIGINT AS nth, substring(x, 3, 1)::INT AS level, regexp_replace(regexp_replace(""" + ENTITIES.format("regexp_replace(x, '<[^>]+>', '', 'g')") + r""", '\s+', ' ', 'g'), '^ | $', '', 'g') AS text
-FROM (SELECT page_id, unnest(h) AS x, generate_subscripts(h, 1) AS nth FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS h FROM pages))""")
+@query(r"""SELECT * FROM (SELECT page_id, (nth - 1)::BIGINT AS nth, substring(x, 3, 1)::INT AS level, regexp_replace(regexp_replace(""" + ENTITIES.format("regexp_replace(x, '<[^>]+>', '', 'g')") + r""", '\s+', ' ', 'g'), '^ | $', '', 'g') AS text
+FROM (SELECT page_id, unnest(h) AS x, generate_subscripts(h, 1) AS nth FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>.*?</h1>|<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>|<h4[^>]*>.*?</h4>|<h5[^>]*>.*?</h5>|<h6[^>]*>.*?</h6>') AS h FROM pages))) WHERE text <> ''""")
 def html_headings(spark, sf):
     return extract.headings(table(spark, sf, "pages")).withColumn("nth", long("nth"))
 
 
 @query(r"""
-WITH l AS (SELECT source AS book, doc_id AS page, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents)),
-n AS (SELECT book, count(DISTINCT page) AS pages FROM l GROUP BY book),
-o AS (SELECT book, text FROM (SELECT book, text, count(DISTINCT page) AS k FROM l WHERE length(text) <= 40 GROUP BY ALL) JOIN n USING (book) WHERE pages > 2 AND k >= greatest(3.0, pages / 2))
-SELECT book, page, line::BIGINT AS line, sha256(text) AS hash FROM l ANTI JOIN o USING (book, text) WHERE NOT regexp_full_match(text, '\s*[-–—]?\s*[0-9]+\s*[-–—]?\s*')
+WITH a AS (SELECT source AS book, doc_id AS page, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents)),
+n AS (SELECT book, count(DISTINCT page) AS pages FROM a GROUP BY book),
+l AS (SELECT book, page, line, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM a WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+o AS (SELECT book, text FROM (SELECT book, text, count(DISTINCT page) AS k FROM l WHERE length(text) <= 40 GROUP BY ALL) JOIN n USING (book) WHERE pages > 2 AND k >= greatest(3, pages // 2))
+SELECT book, page, line::BIGINT AS line, sha256(text) AS hash FROM l ANTI JOIN o USING (book, text) WHERE NOT regexp_full_match(text, '[-‐―ー0-9０-９ページPage/\s.]{1,10}')
 """)
 def running_lines(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")

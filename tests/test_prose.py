@@ -235,3 +235,42 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, "a", 2.0), (2, "a", 4.0)], "k int, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("k") * 60))
     assert drift(events).first()["mean"] == 3.0
     spark.catalog.clearCache()
+
+
+def test_running_lines_of_a_book(spark):
+    """Heads on half of the pages, rounded down; lines trimmed; blank lines and page numbers of several forms are gone."""
+    from fumiyomi.operators import extract
+
+    rows = [("b", p, k, x) for p in range(7) for k, x in enumerate([" Head " if p < 3 else f"own {p}", "", f"{p}/40", "１２ページ", "Page 3", "Only twice" if p < 2 else f"body {p}"])]
+    got = extract.without_running_lines(spark.createDataFrame(rows, "book string, page int, line int, text string")).collect()
+    assert sorted(r["text"] for r in got) == sorted([f"own {p}" for p in range(3, 7)] + [f"body {p}" for p in range(2, 7)] + ["Only twice"] * 2)
+
+
+def test_headings_of_html(spark):
+    from fumiyomi.operators import extract
+
+    html = "<article><h2 class='x'> A <b>b</b>\n &amp;  c </h2><p>text</p><h3> <i></i> </h3><h1>T</h1></article>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert extract.page_text(df).collect()[0]["text"] == "## A b & c\n\ntext\n\n# T"
+    assert [(r["level"], r["text"]) for r in extract.headings(df).orderBy("nth").collect()] == [(2, "A b & c"), (1, "T")]
+
+
+def test_context_of_a_term_is_that_of_its_line(spark):
+    from fumiyomi.operators import terms
+
+    text = "# no API(x)\n<!-- API API -->API here\nplain ABC line"
+    docs = spark.createDataFrame([("d", text), ("e", None)], "doc_id string, text string")
+    seen = spark.createDataFrame([("d", 2, "API"), ("d", 1, "ABC")], "doc_id string, line int, term string")
+    got = {r["term"]: r for r in terms.with_context(seen, docs, around=5).collect()}
+    assert (got["API"]["n"], got["API"]["context"], got["API"]["has_gloss"]) == (2, "API here", False)
+    assert (got["ABC"]["n"], got["ABC"]["context"]) == (1, "# no API(x)")
+
+
+def test_long_texts_are_tokenized_in_parts():
+    from fumiyomi.functions import tokenizer
+
+    text = "これは長い文で、とても続く。" * 1500 + "x" * 60_000
+    found = tokenizer.tokens_of(text)
+    raw = text.encode()
+    assert len(raw) > 2 * tokenizer.MOST_BYTES and "".join(t["surface"] for t in found) == text
+    assert all(raw[t["byte_start"] : t["byte_end"]].decode() == t["surface"] for t in found)
