@@ -56,6 +56,8 @@ TOKEN = re.compile(_LETTERS + r"|\S")
 WORD_BITS, PAIR_BITS = 40, 48
 #: Bytes of text for each shard of pairs and words, and of a run of documents that asks at once; characters of a slice.
 SHARD_BYTES, ASKED, SLICE = 24_000_000, 32_000_000, 500_000
+#: Pairs, or tokens, that are weighed at once.
+PART = 100_000
 
 
 @lru_cache(maxsize=1)
@@ -278,14 +280,24 @@ class Pairs:
         self.doc = np.concatenate([np.zeros(0, np.int32), *docs])
         code = word.astype(np.int64)
         code[1:] += np.where(self.doc[1:] == self.doc[:-1], word[:-1], 0) * np.int64(len(self.words))
-        inverse, pair = pd.factorize(code)
-        del code, word
-        inverse = inverse.astype(np.int32)
-        n = np.bincount(inverse, minlength=len(pair))
-        a, b = np.divmod(pair, len(self.words))
-        hashed = mix(self.word_keys[a] * np.uint64(0x9E3779B97F4A7C15) + mix(self.word_keys[b])) >> np.uint64(64 - PAIR_BITS)
+        del word, docs
+        by = np.argsort(code)  # takes less memory than a hash table
+        code = code[by]
+        edge = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+        pair, n = code[edge], np.diff(np.append(edge, len(code)))
+        del code
+        inverse = np.empty(len(by), np.int32)
+        inverse[by] = np.repeat(np.arange(len(pair), dtype=np.int32), n)
+        del by
+        a, b = (pair // len(self.words)).astype(np.int32), (pair % len(self.words)).astype(np.int32)
+        del pair, edge
+        second, hashed = mix(self.word_keys), np.empty(len(a), np.uint64)
+        for at in range(0, len(a), PART):
+            x = slice(at, at + PART)
+            hashed[x] = mix(self.word_keys[a[x]] * np.uint64(0x9E3779B97F4A7C15) + second[b[x]]) >> np.uint64(64 - PAIR_BITS)
         order = np.argsort(hashed, kind="stable")
-        self.keys, self.before, self.last, self.n = hashed[order], a[order], b[order], n[order]
+        self.keys, self.before, self.last, self.n = hashed[order], a[order], b[order], n[order].astype(np.int32)
+        del hashed, a, b, n
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
         self.pair = back[inverse]
@@ -487,20 +499,37 @@ def document_bits(p: Pairs, n: np.ndarray, by_word: list[np.ndarray], spell: np.
         lower = take(cont, d1) / max(every, 1) + base
         return -np.log2(np.maximum(np.where(total > 0, (take(n, d2) + off * lower) / np.maximum(total, 1), lower), 1e-300))
 
-    shared = bits(n, cont[p.last], total[p.before], off[p.before], base[p.last])
-    out = np.bincount(p.doc, shared[p.pair], len(mine))
-    own = np.flatnonzero(mine[p.doc])
-    if len(own):
-        code, c = np.unique(p.doc[own].astype(np.int64) * len(p.keys) + p.pair[own], return_counts=True)
-        doc, pair = np.divmod(code, len(p.keys))
-        left = np.maximum(n[pair] - c, 0)
-        gone = (left == 0).astype(np.float64)
-        u, at = np.unique(doc * len(p.words) + p.before[pair], return_inverse=True)
-        v, to = np.unique(doc * len(p.words) + p.last[pair], return_inverse=True)
-        rest = np.maximum(total[p.before[pair]] - np.bincount(at, c, len(u))[at], 0)
-        less = np.maximum(off[p.before[pair]] - d2[0] * np.bincount(at, gone, len(u))[at], 0)
-        seen = np.maximum(cont[p.last[pair]] - np.bincount(to, gone, len(v))[to].astype(np.int64), 0)
-        out[mine] = np.bincount(doc, c * bits(left, seen, rest, less, base[p.last[pair]]), len(mine))[mine]
+    shared = np.empty(len(p.keys))
+    for at in range(0, len(shared), PART):  # in parts, for the memory
+        x = slice(at, at + PART)
+        a, b = p.before[x], p.last[x]
+        shared[x] = bits(n[x], cont[b], total[a], off[a], base[b])
+    out = np.zeros(len(mine))
+    for at in range(0, len(p.pair), PART):
+        out += np.bincount(p.doc[at : at + PART], shared[p.pair[at : at + PART]], len(mine))
+    del shared
+    edge = np.searchsorted(p.doc, np.arange(len(mine) + 1))
+    own, size = [], 0
+    for i in np.append(np.flatnonzero(mine), len(mine)).tolist():  # trusted documents, some at once
+        if own and (size > PART or i == len(mine)):
+            tokens = np.concatenate([np.arange(edge[j], edge[j + 1]) for j in own])
+            if len(tokens):
+                code, c = np.unique(p.doc[tokens].astype(np.int64) * len(p.keys) + p.pair[tokens], return_counts=True)
+                doc, pair = np.divmod(code, len(p.keys))
+                a, b = p.before[pair], p.last[pair]
+                left = np.maximum(n[pair] - c, 0)
+                gone = (left == 0).astype(np.float64)
+                u, ua = np.unique(doc * len(p.words) + a, return_inverse=True)
+                v, vb = np.unique(doc * len(p.words) + b, return_inverse=True)
+                rest = np.maximum(total[a] - np.bincount(ua, c, len(u))[ua], 0)
+                less = np.maximum(off[a] - d2[0] * np.bincount(ua, gone, len(u))[ua], 0)
+                seen = np.maximum(cont[b] - np.bincount(vb, gone, len(v))[vb].astype(np.int64), 0)
+                found = np.bincount(doc, c * bits(left, seen, rest, less, base[b]), len(mine))
+                out[own] = found[own]
+            own, size = [], 0
+        if i < len(mine):
+            own.append(i)
+            size += int(edge[i + 1] - edge[i])
     return out
 
 
@@ -522,6 +551,8 @@ def scored(learned: Learned, lengths: np.ndarray) -> DataFrame:
         for (lo, hi), part in right[right["kind"] < 2].sort_values("shard").groupby(["lo", "hi"]):
             u, v = np.searchsorted(rows, lo), np.searchsorted(rows, hi, "right")
             p = Pairs(texts[u:v])
+            texts[u:v] = [""] * (v - u)
+            trim()
 
             def column(kind: int, c: str) -> np.ndarray:
                 parts = [unpacked(bytes(x)) for x in part.loc[part["kind"] == kind, c]]  # noqa: B023
