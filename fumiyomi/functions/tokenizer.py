@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import csv
+import itertools
 import re
 import unicodedata
 from functools import lru_cache
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "struct<surface:string,byte_start:int,byte_end:int,pos1:string,pos2:string,pos3:string,lemma:string,norm:string,reading:string>"
-#: Bytes of a text that is tokenized at once; longer ones are cut, before a blank or after a comma where there is one.
+#: Bytes of a text that is tokenized at once; all_tokens cuts longer ones.
 MOST_BYTES = 49149
 DEFAULT = Path(__file__).with_name("lexicon.csv")
 
@@ -155,23 +156,30 @@ def lexicon(path: str) -> Lexicon:
     return Lexicon(path)
 
 
+def _places(text: str) -> list[int]:
+    """The byte at which each character begins, and the end."""
+    return [0, *itertools.accumulate(len(c.encode()) for c in text)]
+
+
+def all_tokens(text: str | None, path: str) -> list[dict]:
+    """Tokens of a text of any length: one over MOST_BYTES is cut, before a blank or after a comma where there is one."""
+    if not text or len(text.encode()) <= MOST_BYTES:
+        return tokens_of(text, path)
+    byte, out, at = _places(text), [], 0
+    while at < len(text):
+        end = bisect.bisect_right(byte, byte[at] + MOST_BYTES) - 1
+        if end < len(text):
+            cut = max(text.rfind(" ", at + 1, end), *(text.rfind(c, at, end - 1) + 1 for c in "、，,"))
+            end = cut if cut > at else end
+        out += [t | {"byte_start": t["byte_start"] + byte[at], "byte_end": t["byte_end"] + byte[at]} for t in tokens_of(text[at:end], path)]
+        at = end
+    return out
+
+
 def tokens_of(text: str | None, path: str = str(DEFAULT)) -> list[dict]:
-    if not text:
+    if not text or len(text.encode()) > MOST_BYTES:
         return []
-    byte = [0]
-    for c in text:
-        byte.append(byte[-1] + len(c.encode()))
-    if byte[-1] > MOST_BYTES:
-        out: list[dict] = []
-        at = 0
-        while at < len(text):
-            end = bisect.bisect_right(byte, byte[at] + MOST_BYTES) - 1
-            if end < len(text):
-                cut = max(text.rfind(" ", at + 1, end), *(text.rfind(c, at, end - 1) + 1 for c in "、，,"))
-                end = cut if cut > at else end
-            out += [t | {"byte_start": t["byte_start"] + byte[at], "byte_end": t["byte_end"] + byte[at]} for t in tokens_of(text[at:end], path)]
-            at = end
-        return out
+    byte = _places(text)
     return [
         {"surface": w.surface, "byte_start": byte[at], "byte_end": byte[at + len(w.surface)], "pos1": w.pos[0], "pos2": w.pos[1], "pos3": w.pos[2], "lemma": w.lemma, "norm": normalized(w.lemma), "reading": w.reading}
         for at, w in lexicon(path).tokenize(text)
@@ -183,7 +191,7 @@ def tokenize(path: str = str(DEFAULT)):
 
     @F.pandas_udf(f"array<{TOKEN}>")
     def run(text: pd.Series) -> pd.Series:
-        return pd.Series([tokens_of(t, path) for t in text])
+        return pd.Series([all_tokens(t, path) for t in text])
 
     return run
 

@@ -270,7 +270,7 @@ def test_long_texts_are_tokenized_in_parts():
     from fumiyomi.functions import tokenizer
 
     text = "これは長い文で、とても続く。" * 1500 + "x" * 60_000
-    found = tokenizer.tokens_of(text)
+    found = tokenizer.all_tokens(text, str(tokenizer.DEFAULT))
     raw = text.encode()
     assert len(raw) > 2 * tokenizer.MOST_BYTES and "".join(t["surface"] for t in found) == text
     assert all(raw[t["byte_start"] : t["byte_end"]].decode() == t["surface"] for t in found)
