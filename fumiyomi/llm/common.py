@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,12 +141,18 @@ def begin(name: str) -> None:
             if other != name:
                 clear()
         _owner[0] = name
+        try:  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD: large arrays go back to the system when they are freed
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20), libc.mallopt(-1, 1 << 20)
+        except (OSError, AttributeError):  # another C library
+            pass
         trim()
 
 
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

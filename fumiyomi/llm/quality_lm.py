@@ -106,7 +106,7 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[kind[ORDER - 1 :] != START], np.array([len(t or "") for t in texts], np.int64)
 
 
-def four_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def four_grams(texts: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The different four-gram codes of the texts, ascending, and their counts."""
     parts, held, size = [], [], 0
 
@@ -114,7 +114,7 @@ def four_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         code, n = np.unique(code, return_counts=True)
         parts.append((code.astype(np.uint64), [n]))
 
-    for text in texts:
+    for text in map(decoded, texts):
         for at in range(0, len(text), SLICE):  # a later slice of a long text begins with what its first context needs
             if at:
                 add(codes([text[at - ORDER + 1 : at + SLICE]])[0][ORDER - 1 :])
@@ -214,13 +214,18 @@ def _kinds() -> tuple[np.ndarray, np.ndarray]:
     return kind, mix(np.arange(1, 0x110001, dtype=np.uint64))
 
 
-def slices(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+def decoded(text: str | bytes | None) -> str:
+    """A text that may be bytes yet: as bytes it takes the least memory, so it stays so until it is read."""
+    return "" if text is None else text if isinstance(text, str) else bytes(text).decode("utf-8", "replace")
+
+
+def slices(texts: list[str | bytes | None]) -> Iterator[list[tuple[int, str]]]:
     """Parts of about SLICE characters: numbers of texts and their text; longer texts are cut before white space only."""
     held: list[tuple[int, str]] = []
     size = 0
-    for i, text in enumerate(texts):
-        at = 0
-        while text and at < len(text):
+    for i, raw in enumerate(texts):
+        at, text = 0, decoded(raw)
+        while at < len(text):
             end = len(text)
             if end - at > SLICE:
                 cut = max(text.rfind(" ", at, at + SLICE), text.rfind("\n", at, at + SLICE))
@@ -238,9 +243,10 @@ def slices(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
 class Pairs:
     """Tokens of some texts, each with the one before it; the distinct words and pairs in the order of their hashes."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | bytes | None]):
         table, hashes = _kinds()
-        keys, docs, first_of, spans = [], [], [], []
+        keys, docs = [], []
+        spelling: dict[int, str] = {}
         for part in slices(texts):
             joined = " ".join(x for _, x in part)
             point = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
@@ -263,46 +269,58 @@ class Pairs:
             h = mix(np.add.reduceat(term, lo) + (hi - lo).astype(np.uint64)) >> np.uint64(64 - WORD_BITS)
             ends = np.cumsum([len(x) + 1 for _, x in part])
             docs.append(np.array([i for i, _ in part], np.int32)[np.searchsorted(ends, lo, "right")])
-            place, known = pd.factorize(h)
+            place, known = pd.factorize(np.maximum(h, 1))  # 0 is the empty word's
             first = np.zeros(len(known), np.int64)
             first[place[::-1]] = np.arange(len(h) - 1, -1, -1)
             keys.append((known, place.astype(np.int32)))
-            spans.append((lo[first], hi[first], joined))
+            for k, u, v in zip(known.tolist(), lo[first].tolist(), hi[first].tolist(), strict=True):
+                if k not in spelling:  # so no part's text has to be kept
+                    spelling[k] = joined[u:v]
         # the empty word begins each text
-        every = np.concatenate([np.zeros(1, np.uint64), *(np.maximum(k, 1) for k, _ in keys)])
-        self.word_keys, source, back = np.unique(every, return_index=True, return_inverse=True)
+        every = np.concatenate([np.zeros(1, np.uint64), *(k for k, _ in keys)])
+        self.word_keys, back = np.unique(every, return_inverse=True)
+        self.words = [""] + [spelling[k] for k in self.word_keys[1:].tolist()]
+        del spelling, every
         edge = np.cumsum([1, *(len(k) for k, _ in keys)])
-        part_of = np.searchsorted(edge, source, "right") - 1
-        self.words = [""] + [spans[p][2][spans[p][0][j] : spans[p][1][j]] for p, j in zip(part_of[1:].tolist(), (source[1:] - edge[part_of[1:]]).tolist(), strict=True)]
         back = back.astype(np.int32)
         word = np.concatenate([np.zeros(0, np.int32), *(back[edge[i] : edge[i + 1]][place] for i, (_, place) in enumerate(keys))])
-        del keys, spans
+        del keys, back
         self.doc = np.concatenate([np.zeros(0, np.int32), *docs])
-        code = word.astype(np.int64)
-        code[1:] += np.where(self.doc[1:] == self.doc[:-1], word[:-1], 0) * np.int64(len(self.words))
-        del word, docs
+        del docs
+        code = np.zeros(len(word), np.int64)
+        code[1:] = np.where(self.doc[1:] == self.doc[:-1], word[:-1], 0)
+        code *= len(self.words)
+        code += word
+        del word
         by = np.argsort(code)  # takes less memory than a hash table
         code = code[by]
         edge = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-        pair, n = code[edge], np.diff(np.append(edge, len(code)))
+        pair = code[edge]
         del code
+        n = np.diff(np.append(edge, len(by))).astype(np.int32)
+        del edge
         inverse = np.empty(len(by), np.int32)
         inverse[by] = np.repeat(np.arange(len(pair), dtype=np.int32), n)
         del by
         a, b = (pair // len(self.words)).astype(np.int32), (pair % len(self.words)).astype(np.int32)
-        del pair, edge
+        del pair
         second, hashed = mix(self.word_keys), np.empty(len(a), np.uint64)
         for at in range(0, len(a), PART):
             x = slice(at, at + PART)
             hashed[x] = mix(self.word_keys[a[x]] * np.uint64(0x9E3779B97F4A7C15) + second[b[x]]) >> np.uint64(64 - PAIR_BITS)
         order = np.argsort(hashed, kind="stable")
-        self.keys, self.before, self.last, self.n = hashed[order], a[order], b[order], n[order].astype(np.int32)
-        del hashed, a, b, n
+        self.keys = hashed[order]
+        del hashed
+        self.before, self.last, self.n = a[order], b[order], n[order]
+        del a, b, n
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
         self.pair = back[inverse]
-        size = np.array([len(w) + 1 for w in self.words])
-        self.chars = np.bincount(self.doc, size[self.last[self.pair]], len(texts)).astype(np.int64)
+        del back, inverse, order
+        size = np.array([len(w) + 1 for w in self.words])[self.last]
+        self.chars = np.zeros(len(texts), np.int64)
+        for at in range(0, len(self.pair), PART):
+            self.chars += np.bincount(self.doc[at : at + PART], size[self.pair[at : at + PART]], len(texts)).astype(np.int64)
 
 
 def cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
@@ -318,14 +336,14 @@ def summed(parts: list[tuple[np.ndarray, list[np.ndarray]]], columns: int) -> tu
     return keys, [np.bincount(place, np.concatenate([c[i] for _, c in parts]).astype(np.float64), len(keys)).astype(np.int64) for i in range(columns)]
 
 
-def _texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
-    """Rows and texts of a group's chunks, by row."""
+def _texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
+    """Rows and texts (bytes) of a group's chunks, by row."""
     rows, texts = [np.zeros(0, np.int64)], []
     for blob in frame["blob"]:
         own, _, size, raw = opened(bytes(blob))
         text, first = raw.tobytes(), np.cumsum(size) - size
         rows.append(own)
-        texts += [text[f : f + n].decode("utf-8", "replace") for f, n in zip(first.tolist(), size.tolist(), strict=True)]
+        texts += [text[f : f + n] for f, n in zip(first.tolist(), size.tolist(), strict=True)]
     row = np.concatenate(rows)
     order = np.argsort(row, kind="stable")
     return row[order], [texts[i] for i in order.tolist()]
@@ -455,7 +473,7 @@ def answers(learned: Learned) -> DataFrame:
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         begin("quality_lm")
         for group, rows, _, texts in runs_of(frames, bits, 1 << 62, ASKED):
-            p, out = Pairs([bytes(t).decode("utf-8", "replace") if t is not None else "" for t in texts]), []
+            p, out = Pairs(texts), []
             for kind, keys, wide in ((0, p.keys, PAIR_BITS), (1, p.word_keys, WORD_BITS)):
                 edge = cuts(keys, wide, shards)
                 out += [(kind, s, group, rows[0], rows[-1], steps(keys[edge[s] : edge[s + 1]])) for s in range(shards) if edge[s] < edge[s + 1]]
@@ -551,7 +569,7 @@ def scored(learned: Learned, lengths: np.ndarray) -> DataFrame:
         for (lo, hi), part in right[right["kind"] < 2].sort_values("shard").groupby(["lo", "hi"]):
             u, v = np.searchsorted(rows, lo), np.searchsorted(rows, hi, "right")
             p = Pairs(texts[u:v])
-            texts[u:v] = [""] * (v - u)
+            texts[u:v] = [b""] * (v - u)
             trim()
 
             def column(kind: int, c: str) -> np.ndarray:
