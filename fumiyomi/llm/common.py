@@ -141,11 +141,6 @@ def begin(name: str) -> None:
             if other != name:
                 clear()
         _owner[0] = name
-        try:  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD: large arrays go back to the system when they are freed
-            libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 1 << 20), libc.mallopt(-1, 1 << 20)
-        except (OSError, AttributeError):  # another C library
-            pass
         trim()
 
 
