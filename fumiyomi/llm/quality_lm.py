@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,8 @@ WORD_BITS, PAIR_BITS = 40, 48
 SHARD_BYTES, ASKED, SLICE = 24_000_000, 32_000_000, 500_000
 #: Pairs, or tokens, that are weighed at once.
 PART = 100_000
+#: Words that are spelled at once.
+WORDS = 20_000
 
 
 @lru_cache(maxsize=1)
@@ -195,7 +198,11 @@ def _within() -> np.ndarray:
 
 
 def spelled(words: list[str], lengths: np.ndarray) -> np.ndarray:
-    """Bits of each word by its characters, with the space that ends it."""
+    """Bits of each word by its characters, with the space that ends it; in parts, for the memory."""
+    return np.concatenate([np.zeros(0), *(_spelled(words[at : at + WORDS], lengths) for at in range(0, len(words), WORDS))])
+
+
+def _spelled(words: list[str], lengths: np.ndarray) -> np.ndarray:
     size, bits = code_lengths([w + " " for w in words], lengths)
     point = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
     inner = np.where(point < 1 << 16, _within()[np.minimum(point, 0xFFFF)], 20)
@@ -336,11 +343,11 @@ def summed(parts: list[tuple[np.ndarray, list[np.ndarray]]], columns: int) -> tu
     return keys, [np.bincount(place, np.concatenate([c[i] for _, c in parts]).astype(np.float64), len(keys)).astype(np.int64) for i in range(columns)]
 
 
-def _texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
+def _texts(frame: pd.DataFrame | pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """Rows and texts (bytes) of a group's chunks, by row."""
     rows, texts = [np.zeros(0, np.int64)], []
     for blob in frame["blob"]:
-        own, _, size, raw = opened(bytes(blob))
+        own, _, size, raw = opened(blob.as_py() if isinstance(blob, pa.Scalar) else bytes(blob))
         text, first = raw.tobytes(), np.cumsum(size) - size
         rows.append(own)
         texts += [text[f : f + n] for f, n in zip(first.tolist(), size.tolist(), strict=True)]
@@ -349,7 +356,7 @@ def _texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
     return row[order], [texts[i] for i in order.tolist()]
 
 
-def _chosen(frame: pd.DataFrame) -> np.ndarray:
+def _chosen(frame: pd.DataFrame | dict[str, list]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in frame["rows"])])
 
 
@@ -561,19 +568,21 @@ def scored(learned: Learned, lengths: np.ndarray) -> DataFrame:
     marks = learned.chosen.select("group", *[F.lit(0).cast("long").alias(c) for c in ("lo", "hi")], F.lit(2).alias("kind"), F.lit(0).alias("shard"), *[F.lit(None).cast("binary").alias(c) for c in "abcde"], "rows")
     told = replies.withColumn("rows", F.lit(None).cast("array<bigint>")).union(marks)
 
-    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:  # as Arrow tables, whose packed columns needn't be copied
         begin("quality_lm")
         rows, texts = _texts(left)
-        trusted_ = np.isin(rows, _chosen(right[right["kind"] == 2]))
+        key = right.select(["lo", "hi", "kind", "shard"]).to_pandas()
+        trusted_ = np.isin(rows, _chosen({"rows": right["rows"].filter(pa.array(key["kind"] == 2)).to_pylist()}))
         out = [pd.DataFrame({"row": [], "trust": [], "chars": [], "bits": []})]
-        for (lo, hi), part in right[right["kind"] < 2].sort_values("shard").groupby(["lo", "hi"]):
+        for (lo, hi), part in key[key["kind"] < 2].sort_values("shard").groupby(["lo", "hi"]):
             u, v = np.searchsorted(rows, lo), np.searchsorted(rows, hi, "right")
-            p = Pairs(texts[u:v])
-            texts[u:v] = [b""] * (v - u)
+            own, texts[u:v] = texts[u:v], [b""] * (v - u)
+            p = Pairs(own)
+            del own
             trim()
 
             def column(kind: int, c: str) -> np.ndarray:
-                parts = [unpacked(bytes(x)) for x in part.loc[part["kind"] == kind, c]]  # noqa: B023
+                parts = [unpacked(right[c][i].as_py()) for i in part.index[part["kind"] == kind].tolist()]  # noqa: B023
                 return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
             mine = trusted_[u:v]
@@ -581,9 +590,9 @@ def scored(learned: Learned, lengths: np.ndarray) -> DataFrame:
             out.append(pd.DataFrame({"row": rows[u:v], "trust": mine, "chars": p.chars, "bits": bits}))
             del p
         trim()
-        return pd.concat(out).astype({"row": "int64", "trust": "bool", "chars": "int64", "bits": "float64"})
+        return pa.Table.from_pandas(pd.concat(out).astype({"row": "int64", "trust": "bool", "chars": "int64", "bits": "float64"}), preserve_index=False)
 
-    found = learned.grouped().cogroup(told.groupBy("group")).applyInPandas(judge, "row long, trust boolean, chars long, bits double")
+    found = learned.grouped().cogroup(told.groupBy("group")).applyInArrow(judge, "row long, trust boolean, chars long, bits double")
     rated = written(learned.keyed.select("row", "doc_id", "lang").join(found.hint("merge"), "row"), "rates")
     dropped(replies.sparkSession, replies)
     free(replies)
