@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fumiyomi.llm.bpe import op10_bpe
 from fumiyomi.llm.fingerprints import op4_fingerprints
+from fumiyomi.llm.hard_negatives import op11_hard_negatives
 from fumiyomi.llm.jaccard_join import op9_jaccard_join
 from fumiyomi.llm.langid import op5_language_id
 from fumiyomi.llm.packing import op6_best_fit_packing
@@ -13,7 +14,7 @@ from fumiyomi.llm.suffix_dedup import op3_suffix_dedup
 from fumiyomi.llm.token_counts import op7_token_counts
 from fumiyomi.llm.toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op8_quality_lm, op9_jaccard_join, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op8_quality_lm, op9_jaccard_join, op10_bpe, op11_hard_negatives)}
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: The models and searches of the other operators are beyond SQL; tests hold them against brute force.
@@ -30,5 +31,14 @@ c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words FROM d LEFT JOIN r USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0.5 * n_words OR n_words - n_removed_words < 10) AS kept FROM c
+""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id, list_dot_product(a.v, r.v)::BIGINT AS score FROM e a JOIN e r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
 """,
 }
