@@ -13,8 +13,9 @@ from fumiyomi.llm.quality_rules import op2_quality_rules
 from fumiyomi.llm.suffix_dedup import op3_suffix_dedup
 from fumiyomi.llm.token_counts import op7_token_counts
 from fumiyomi.llm.toxicity import op1_toxicity
+from fumiyomi.llm.warc import op12_warc
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op8_quality_lm, op9_jaccard_join, op10_bpe, op11_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op8_quality_lm, op9_jaccard_join, op10_bpe, op11_hard_negatives, op12_warc)}
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: The models and searches of the other operators are beyond SQL; tests hold them against brute force.
@@ -40,5 +41,10 @@ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE
 SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+""",
+    "op12_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """,
 }
