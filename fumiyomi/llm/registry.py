@@ -10,12 +10,13 @@ from fumiyomi.llm.langid import op5_language_id
 from fumiyomi.llm.packing import op6_best_fit_packing
 from fumiyomi.llm.quality_lm import op8_quality_lm
 from fumiyomi.llm.quality_rules import op2_quality_rules
+from fumiyomi.llm.spelling_variants import op13_spelling_variants
 from fumiyomi.llm.suffix_dedup import op3_suffix_dedup
 from fumiyomi.llm.token_counts import op7_token_counts
 from fumiyomi.llm.toxicity import op1_toxicity
 from fumiyomi.llm.warc import op12_warc
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op8_quality_lm, op9_jaccard_join, op10_bpe, op11_hard_negatives, op12_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_suffix_dedup, op4_fingerprints, op5_language_id, op6_best_fit_packing, op7_token_counts, op8_quality_lm, op9_jaccard_join, op10_bpe, op11_hard_negatives, op12_warc, op13_spelling_variants)}
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: The models and searches of the other operators are beyond SQL; tests hold them against brute force.
