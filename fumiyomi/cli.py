@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from fumiyomi.functions.structure import structured
+from fumiyomi.operators.blocks import structured
 from fumiyomi.functions.tokenizer import token_frame
 from fumiyomi.operators import compare, outline, terms
 from fumiyomi.operators.frames import sentences

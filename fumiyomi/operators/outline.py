@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
-from fumiyomi.functions.structure import structured
+from fumiyomi.operators.blocks import structured
 
 
 def block_kind(c: Column) -> Column:

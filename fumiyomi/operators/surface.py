@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
+from fumiyomi.operators.blocks import uncommented
 
 FINDING = ["doc_id", "line", "category", "severity", "excerpt", "start_byte", "end_byte", "value"]
 
@@ -100,8 +101,8 @@ def cleft_because(sentences: DataFrame) -> DataFrame:
 
 
 def structure_counts(docs: DataFrame) -> DataFrame:
-    """Counts of Markdown structure of each document, comments taken out; lines without the empty one after a final break."""
-    text = F.regexp_replace("text", r"(?s)<!--.*?(?:-->|\z)", "")
+    """Counts of Markdown structure of each document, comments as blanks; lines without the empty one after a final break."""
+    text = uncommented(F.col("text"))
     body = F.regexp_replace(text, r"\r?\n\z", "")
     rows = F.transform(F.split(body, "\n", -1), lambda x: F.regexp_replace(x, r"\r\z", ""))
     count = lambda test: F.size(F.filter(rows, test)).cast("long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
-from fumiyomi.functions.structure import uncommented
+from fumiyomi.operators.blocks import uncommented
 from fumiyomi.operators.tokens import SENTENCE, order
 
 ACRONYM = "(?<![A-Za-z0-9])[A-Z]{2,}[0-9]*(?![A-Za-z0-9])"

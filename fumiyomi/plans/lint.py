@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fumiyomi import model as m
-from fumiyomi.functions.structure import structured
+from fumiyomi.operators.blocks import structured
 from fumiyomi.functions.tokenizer import DEFAULT, token_frame, tokenize
 from fumiyomi.operators import measures, surface, tokens
 from fumiyomi.operators.frames import paragraphs, sentences

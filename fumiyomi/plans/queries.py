@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
-from fumiyomi.functions.structure import structured
 from fumiyomi.operators import calibrate, compare, extract, measures, outline, surface, terms, tokens
+from fumiyomi.operators.blocks import structured, uncommented
 from fumiyomi.operators.frames import lines, paragraphs, sentence_rows, sentences
-from fumiyomi.plans import fixtures as fx
+from fumiyomi.plans import derived as dv
 from fumiyomi.plans.lint import lint
 
 QUERIES: dict = {}
@@ -311,24 +311,22 @@ def running_lines(spark, sf):
     return extract.without_running_lines(rows).select("book", "page", long("line"), F.sha2("text", 256).alias("hash"))
 
 
-# ---- inline documents
+# ---- articles: documents whose lines have become Markdown and Japanese
 
-FIXL = f"l AS (SELECT doc_id, genre, unnest(l) AS raw, generate_subscripts(l, 1) AS line FROM (SELECT doc_id, genre, string_split(text, chr(10)) AS l FROM {fx.DOCS_SQL}))"
-#: Lines that rules read, for documents without fences, front matter and comments.
-FIXM = FIXL + r""", x AS (SELECT doc_id, genre, line, raw, CASE WHEN regexp_matches(raw, '^\s*#{1,6}([\t\f\r ]|$)') OR regexp_matches(raw, '^\s*([-*+] |[0-9]+[.)][\t\f\r ])') OR regexp_matches(raw, '^\s*>') OR regexp_matches(raw, '^\s*\|[^|]*\|')
-  OR regexp_matches(raw, '^\s*#[A-Z] ') OR regexp_matches(raw, '^\s*\[([0-9]+\][ \t:]|\^[^\]]+\]:)') THEN '' ELSE raw END AS masked FROM l WHERE doc_id NOT IN ('d09', 'd13'))"""
-PLAIN = "doc_id NOT IN ('d09', 'd13')"
+FIXL = dv.ARTICLES + ", l AS (SELECT doc_id, genre, unnest(l) AS raw, generate_subscripts(l, 1) AS line FROM (SELECT doc_id, genre, string_split(text, chr(10)) AS l FROM articles))"
+#: Lines that rules read, masked; "WITH " + FIXM needs RECURSIVE.
+FIXM = "RECURSIVE " + dv.ARTICLES + ", " + dv.blocks_sql() + ", x AS (SELECT * FROM bl)"
 
 
-def _fixture(spark) -> DataFrame:
-    """Structured lines of the inline documents; two of them have fences and front matter, and queries of their own."""
-    return structured(fx.docs(spark))
+def _lines(spark, sf) -> DataFrame:
+    """Structured lines of the articles."""
+    return structured(dv.articles(spark, sf))
 
 
 @query("WITH " + FIXL + r""" SELECT doc_id, line::BIGINT AS line, length(regexp_extract(raw, '^\s*(#{1,6})([\t\f\r ]|$)', 1))::BIGINT AS level,
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^\s*#{1,6}', ''), '^\s+|\s+$', '', 'g'), '#+$', ''), '^\s+|\s+$', '', 'g') AS text FROM l WHERE regexp_matches(raw, '^\s*#{1,6}([\t\f\r ]|$)')""")
 def headings(spark, sf):
-    rows = lines(fx.docs(spark)).filter(t.is_heading(F.col("raw")))
+    rows = lines(dv.articles(spark, sf)).filter(t.is_heading(F.col("raw")))
     return rows.select("doc_id", long("line"), t.heading_level(F.col("raw")).cast("long").alias("level"), t.heading_text(F.col("raw")).alias("text"))
 
 
@@ -337,13 +335,20 @@ def headings(spark, sf):
   count(*) FILTER (regexp_matches(raw, '^\s*\|[^|]*\|') OR (contains(raw, '|') AND regexp_full_match(raw, '[\s|:-]*'))) AS tables FROM l GROUP BY doc_id""")
 def block_lines(spark, sf):
     c, n = F.col("raw"), F.count_if
-    return lines(fx.docs(spark)).groupBy("doc_id").agg(n(t.is_list_item(c)).alias("items"), n(t.is_quote(c)).alias("quotes"), n(t.is_reference(c)).alias("reference_lines"), n(t.is_code_note(c)).alias("notes"), n(t.is_table(c)).alias("tables"))
+    return lines(dv.articles(spark, sf)).groupBy("doc_id").agg(n(t.is_list_item(c)).alias("items"), n(t.is_quote(c)).alias("quotes"), n(t.is_reference(c)).alias("reference_lines"), n(t.is_code_note(c)).alias("notes"), n(t.is_table(c)).alias("tables"))
 
 
-@query("SELECT * FROM (VALUES ('front_matter', 3), ('text', 2), ('table', 2), ('reference', 2), ('code_note', 1), ('embed', 1), ('fence', 3)) AS v(kind, n)")
+@query("WITH " + FIXM + " SELECT doc_id, line::BIGINT AS line, kind, sha256(masked) AS hash FROM bl")
 def line_kinds(spark, sf):
-    """A document with every kind of line; what each is was counted by hand."""
-    return _fixture(spark).filter("doc_id = 'd13'").groupBy("kind").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    """Every line of every article: its block or kind, and what is left of it."""
+    return _lines(spark, sf).select("doc_id", long("line"), "kind", F.sha2("masked", 256).alias("hash"))
+
+
+@query("WITH RECURSIVE " + dv.blocks_sql("pages", "page_id", "html") + " SELECT page_id, kind, count(*) AS n, sum(strlen(masked))::BIGINT AS bytes, sum(strlen(regexp_replace(masked, '\\s', '', 'g')))::BIGINT AS left FROM bl GROUP BY page_id, kind")
+def page_line_kinds(spark, sf):
+    rows = structured(table(spark, sf, "pages").select("page_id", F.col("html").alias("text")))
+    left = F.octet_length(F.regexp_replace("masked", r"[ \t\n\f\r]", ""))
+    return rows.groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("masked")).alias("bytes"), F.sum(left).alias("left"))
 
 
 def _phrase_sql(words: list[str]) -> str:
@@ -356,13 +361,13 @@ def _count_sql(c: str = "masked") -> str:
 
 @query("WITH " + FIXM + f" SELECT doc_id, line::BIGINT AS line, phrase, {_count_sql()}::BIGINT AS n, phrase IN {tuple(m.WEAK_PHRASES)!r} AS weak FROM x, {_phrase_sql(m.PHRASES)} WHERE contains(masked, phrase)")
 def forbidden_phrases(spark, sf):
-    found = surface.forbidden_phrase(_fixture(spark).filter(PLAIN))
+    found = surface.forbidden_phrase(_lines(spark, sf))
     return found.groupBy("doc_id", long("line"), F.col("excerpt").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("severity") == "info").alias("weak"))
 
 
 @query("WITH " + FIXM + f" SELECT doc_id, line::BIGINT AS line, p AS pattern, len(regexp_extract_all(masked, p))::BIGINT AS n FROM x, (SELECT unnest({m.TRANSLATIONESE!r}) AS p) WHERE regexp_matches(masked, p)")
 def translationese(spark, sf):
-    found = surface.translationese(_fixture(spark).filter(PLAIN))
+    found = surface.translationese(_lines(spark, sf))
     pattern = t.first_of(F.col("excerpt"), m.TRANSLATIONESE, lambda c, p: c.rlike(f"^(?:{p})\\z"))
     return found.groupBy("doc_id", long("line"), pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -372,14 +377,14 @@ s AS (SELECT doc_id, sum(len(list_filter(string_split_regex(masked, '[。！？!
 SELECT doc_id, min(line)::BIGINT AS line, round(sum(k) / any_value(n), 6) AS ratio, CASE WHEN sum(k) / any_value(n) < 0.02 THEN 'info' WHEN sum(k) / any_value(n) >= 0.03 THEN 'critical' ELSE 'warn' END AS severity
 FROM h JOIN s USING (doc_id) WHERE k > 0 GROUP BY doc_id HAVING sum(k) >= 3""")
 def antithesis(spark, sf):
-    masked = _fixture(spark).filter(PLAIN)
-    counts = sentences(masked).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences")).join(fx.docs(spark).select("doc_id", "genre"), "doc_id")
+    masked = _lines(spark, sf)
+    counts = sentences(masked).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences")).join(dv.articles(spark, sf).select("doc_id", "genre"), "doc_id")
     return surface.antithesis_repetition(masked, counts).select("doc_id", long("line"), r6(F.col("value")).alias("ratio"), "severity")
 
 
 @query("WITH " + FIXM + f" SELECT doc_id, line::BIGINT AS line, count(*) AS n FROM (SELECT doc_id, line, unnest(regexp_extract_all(masked, p)) FROM x, (SELECT unnest({[p.replace(chr(92) + chr(92), chr(92)) for p in m.INANIMATE]!r}) AS p)) GROUP BY ALL".replace("\\\\n", "\\n"))
 def inanimate_subjects(spark, sf):
-    return surface.inanimate_subject(_fixture(spark).filter(PLAIN)).groupBy("doc_id", long("line")).agg(F.count(F.lit(1)).alias("n"))
+    return surface.inanimate_subject(_lines(spark, sf)).groupBy("doc_id", long("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 FIXS = FIXM + r""", s AS (SELECT doc_id, genre, line, row_number() OVER (PARTITION BY doc_id ORDER BY line, pos) AS k, regexp_replace(seg, '^\s+|\s+$', '', 'g') AS sentence FROM (
@@ -389,46 +394,48 @@ FIXS = FIXM + r""", s AS (SELECT doc_id, genre, line, row_number() OVER (PARTITI
 @query("WITH " + FIXS + r""" SELECT doc_id, line::BIGINT AS line, sentence FROM (SELECT *, lead(sentence) OVER (PARTITION BY doc_id ORDER BY k) AS after FROM s)
 WHERE regexp_matches(sentence, '^(それ|これ|この)は[^\n]{0,60}(である|だ)$') AND regexp_matches(after, '^(なぜなら|というのも)')""")
 def cleft_because(spark, sf):
-    return surface.cleft_because(sentences(_fixture(spark).filter(PLAIN))).select("doc_id", long("line"), F.col("excerpt").alias("sentence"))
+    return surface.cleft_because(sentences(_lines(spark, sf))).select("doc_id", long("line"), F.col("excerpt").alias("sentence"))
 
 
-@query(f"SELECT doc_id, line, phrase, count(*) AS n FROM (VALUES ('d09', 1::BIGINT, '革命的'), ('d09', 1, '圧倒的な'), ('d09', 1, '劇的に'), ('d09', 6, '最強の')) AS v(doc_id, line, phrase) GROUP BY ALL")
+@query("WITH " + FIXM + f" SELECT doc_id, line::BIGINT AS line, phrase, {_count_sql('raw')}::BIGINT AS n FROM x, {_phrase_sql(m.HYPE)} WHERE contains(raw, phrase) AND kind NOT IN ('fence', 'quote')")
 def hype(spark, sf):
-    """Outside fences and quotes, in a document with both; found by hand."""
-    bare = _fixture(spark).filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))
+    """Outside fences and quotes."""
+    bare = _lines(spark, sf).filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))
     return surface.hype_expression(bare).groupBy("doc_id", long("line"), F.col("excerpt").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH " + FIXL + r""" SELECT doc_id, line::BIGINT AS line, 1::BIGINT AS n FROM l WHERE regexp_matches(raw, '^\s*#{1,6}([\t\f\r ]|$)')
 AND regexp_replace(regexp_replace(raw, '^\s*#{1,6}\s*', ''), '\s+$', '') IN ('まとめ', 'おわりに', '終わりに', 'さいごに', '最後に', '結論', '総括', 'conclusion')""")
 def boilerplate_headings(spark, sf):
-    return surface.boilerplate_heading(_fixture(spark)).groupBy("doc_id", long("line")).agg(F.count(F.lit(1)).alias("n"))
+    return surface.boilerplate_heading(_lines(spark, sf)).groupBy("doc_id", long("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""
-WITH c AS (SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '\*\*[^*\n]+\*\*')) AS bold, len(regexp_extract_all(text, '(?:フェーズ|ステップ|段階|ステージ)\s*[0-9０-９]')) AS phases,
+@query("WITH " + dv.ARTICLES + r""", c AS (SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '\*\*[^*\n]+\*\*')) AS bold, len(regexp_extract_all(text, '(?:フェーズ|ステップ|段階|ステージ)\s*[0-9０-９]')) AS phases,
   len(regexp_extract_all(text, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B50}\x{2B55}\x{203C}]')) AS emoji,
   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*([-*+] |[0-9]+[.)][\t\f\r ])'))) AS bullets, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '\s*'))) AS filled
-  FROM """ + fx.DOCS_SQL + """)
+  FROM (SELECT doc_id, regexp_replace(""" + dv._blanked_sql("text", r"(?s)<!--.*?(?:-->|\z)") + r""", '\n$', '') AS text FROM articles))
 SELECT doc_id, 'high_bold_density' AS category, round(bold * 1000 / chars, 6) AS value FROM c WHERE bold >= 3 AND bold * 1000 / chars >= 3
 UNION ALL SELECT doc_id, 'high_bullet_ratio', round(bullets / filled, 6) FROM c WHERE filled >= 10 AND bullets / filled >= 0.35
 UNION ALL SELECT doc_id, 'numbered_phase_structure', phases FROM c WHERE phases >= 3
 UNION ALL SELECT doc_id, 'high_emoji_symbol_density', round(emoji * 1000 / chars, 6) FROM c WHERE emoji >= 3 AND emoji * 1000 / chars >= 2""")
 def structural_rules(spark, sf):
-    return surface.structural(fx.docs(spark)).select("doc_id", "category", r6(F.col("value")).alias("value"))
+    return surface.structural(dv.articles(spark, sf)).select("doc_id", "category", r6(F.col("value")).alias("value"))
 
 
-@query("WITH " + FIXL + r""", i AS (SELECT doc_id, line, regexp_replace(raw, '^\s*([-*+]|[0-9]+[.)])\s+', '') AS c FROM l WHERE doc_id <> 'd09' AND regexp_matches(raw, '^\s*([-*+] |[0-9]+[.)][\t\f\r ])'))
+@query("WITH " + FIXM + r""", i AS (SELECT doc_id, line, regexp_replace(raw, '^\s*([-*+]|[0-9]+[.)])\s+', '') AS c FROM x WHERE kind NOT IN ('fence', 'quote') AND regexp_matches(raw, '^\s*([-*+] |[0-9]+[.)][\t\f\r ])'))
 SELECT doc_id, 'bullet_bold_label' AS category, min(line)::BIGINT AS line, count(*) AS n FROM i WHERE regexp_matches(c, '^\*\*[^*\n]+\*\*\s*[:：]') GROUP BY doc_id
 UNION ALL SELECT doc_id, 'bullet_emoji', min(line)::BIGINT, count(*) FROM i WHERE regexp_matches(c, '^[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]') GROUP BY doc_id""")
 def bullet_styles(spark, sf):
-    return surface.bullet_styles(_fixture(spark)).select("doc_id", "category", long("line"), F.col("value").cast("long").alias("n"))
+    return surface.bullet_styles(_lines(spark, sf)).select("doc_id", "category", long("line"), F.col("value").cast("long").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('d10', 'paragraph_lead_conjunction', 1::BIGINT, 0.5::DOUBLE), ('d10', 'paragraph_lead_conjunction', 3, 0.5), ('d10', 'uniform_paragraph_structure', 1, 0.0)) AS v(doc_id, category, line, value)""")
+@query("WITH " + FIXM + r""", g AS (SELECT *, sum((regexp_full_match(masked, '\s*'))::INT) OVER (PARTITION BY doc_id ORDER BY line) AS gap FROM x),
+p AS (SELECT doc_id, gap, min(line) AS line, arg_min(regexp_replace(masked, '^\s+|\s+$', '', 'g'), line) AS head, sum(len(list_filter(string_split_regex(masked, '[。！？!?]'), lambda q: NOT regexp_full_match(q, '\s*')))) AS k FROM g WHERE NOT regexp_full_match(masked, '\s*') GROUP BY ALL),
+d AS (SELECT doc_id, count(*) AS n, avg(regexp_matches(head, '^(""" + alt(m.CONJUNCTIONS) + r""")')::INT) AS share, stddev_pop(k) / avg(k) AS cv FROM p GROUP BY doc_id)
+SELECT doc_id, 'paragraph_lead_conjunction' AS category, line::BIGINT AS line, round(share, 6) AS value FROM p JOIN d USING (doc_id) WHERE n >= 3 AND share >= 0.30 AND regexp_matches(head, '^(""" + alt(m.CONJUNCTIONS) + r""")')
+UNION ALL SELECT doc_id, 'uniform_paragraph_structure', 1, round(cv, 6) FROM d WHERE n >= 4 AND cv < 0.15""")
 def paragraph_rules(spark, sf):
-    """Four paragraphs of two sentences, two of which begin with a conjunction."""
-    stats = measures.paragraph_stats(paragraphs(_fixture(spark)))
+    stats = measures.paragraph_stats(paragraphs(_lines(spark, sf)))
     return measures.paragraph_rules(stats).select("doc_id", "category", long("line"), r6(F.col("value")).alias("value"))
 
 
@@ -436,16 +443,27 @@ def paragraph_rules(spark, sf):
 SELECT doc_id, line::BIGINT AS line, 'sentence_too_long' AS category, n::DOUBLE AS value FROM n WHERE n > CASE WHEN genre = 'essay' THEN 110 ELSE 90 END
 UNION ALL SELECT doc_id, line::BIGINT, 'no_comma_sentence', n::DOUBLE FROM n WHERE n >= 60 AND len(regexp_extract_all(sentence, '[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]')) * 2 >= n AND NOT regexp_matches(sentence, '[、，,]')""")
 def reading_load(spark, sf):
-    sents = sentences(_fixture(spark).filter(PLAIN)).join(fx.docs(spark).select("doc_id", "genre"), "doc_id")
+    sents = sentences(_lines(spark, sf)).join(dv.articles(spark, sf).select("doc_id", "genre"), "doc_id")
     return measures.reading_load(sents).select("doc_id", long("line"), "category", "value")
 
 
 # ---- outline and terms
 
-@query("""SELECT * FROM (VALUES ('d06', 1::BIGINT, 'heading', 'はじめに'), ('d06', 2, 'lead', '本文である。'), ('d06', 3, 'heading', 'まとめ'), ('d06', 4, 'lead', '**要点**と**課題**と**方法**を書く。'), ('d06', 5, 'heading', '1. 結論'),
-('d06', 6, 'bullets', '(箇条書き 4 項目)'), ('d09', 1, 'lead', '革命的な方法だ。'), ('d09', 6, 'lead', '最強の本だ。')) AS v(doc_id, line, kind, text)""")
+OUTLINE = r"""
+b0 AS (SELECT *, kind IN ('heading', 'fence', 'front_matter', 'blank') OR regexp_full_match(raw, '\s*') AS apart, CASE WHEN regexp_matches(raw, '^\s*([-*+] |[0-9]+[.)][\t\f\r ])') THEN 'bullets' WHEN regexp_matches(raw, '^\s*>') THEN 'quote'
+  WHEN regexp_matches(raw, '^\s*\|[^|]*\|') OR (contains(raw, '|') AND regexp_full_match(raw, '[\s|:-]*')) THEN 'table' ELSE 'lead' END AS own FROM bl),
+b1 AS (SELECT *, CASE WHEN apart THEN NULL WHEN own = 'lead' AND regexp_matches(raw, '^\s') AND NOT lag(apart) OVER w AND lag(own) OVER w = 'bullets' THEN 'bullets' ELSE own END AS block FROM b0 WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+bn AS (SELECT *, apart OR coalesce(lag(apart) OVER w, true) OR coalesce(block <> lag(block) OVER w, true) AS new FROM b1 WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+b2 AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY line) AS nth FROM bn),
+b3 AS (SELECT doc_id, nth, block, min(line) AS line, arg_min(raw, line) AS raw, count(*) FILTER (own = 'bullets') AS items FROM b2 WHERE NOT apart GROUP BY ALL)
+SELECT doc_id, line::BIGINT AS line, 'heading' AS kind, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^\s*#{1,6}', ''), '^\s+|\s+$', '', 'g'), '#+$', ''), '^\s+|\s+$', '', 'g') AS text FROM bl WHERE kind = 'heading'
+UNION ALL SELECT doc_id, line::BIGINT, block, text FROM (SELECT *, CASE WHEN block = 'bullets' THEN '(箇条書き ' || items || ' 項目)' ELSE regexp_replace(regexp_extract(raw, '^([^。！？]*[。！？]?)', 1), '^\s+|\s+$', '', 'g') END AS text FROM b3 WHERE block IN ('bullets', 'lead')) WHERE text <> ''
+"""
+
+
+@query("WITH RECURSIVE " + dv.ARTICLES + ", " + dv.blocks_sql() + ", " + OUTLINE)
 def outline_rows(spark, sf):
-    return outline.outline(fx.docs(spark).filter(F.col("doc_id").isin("d06", "d09"))).select("doc_id", long("line"), "kind", "text")
+    return outline.outline(dv.articles(spark, sf)).select("doc_id", long("line"), "kind", "text")
 
 
 HEADS = FIXL + r""", h AS (SELECT doc_id, length(regexp_extract(raw, '^\s*(#{1,6})', 1)) AS level, regexp_replace(regexp_replace(regexp_replace(raw, '^\s*#{1,6}\s*', ''), '\s*#*\s*$', ''), '\s+$', '') AS text FROM l WHERE regexp_matches(raw, '^\s*#{1,6}([\t\f\r ]|$)')),
@@ -456,37 +474,42 @@ k AS (SELECT doc_id, level, length(text) AS n, regexp_matches(regexp_replace(tex
 @query("WITH " + HEADS + """ SELECT doc_id, level::BIGINT AS level, count(*) AS headings, floor(avg(n) * 100 + 0.5) / 100 AS mean_length, CASE WHEN count(*) > 1 THEN floor(stddev_pop(n) / avg(n) * 1000 + 0.5) / 1000 ELSE 0.0 END AS cv,
 count(*) FILTER (template) AS templates, floor(avg(structural::INT) * 1000 + 0.5) / 1000 AS structural_ratio FROM k GROUP BY GROUPING SETS ((doc_id, level), (doc_id))""")
 def heading_stats(spark, sf):
-    heads = lines(fx.docs(spark)).filter(t.is_heading(F.col("raw"))).select("doc_id", t.heading_level(F.col("raw")).cast("long").alias("level"), t.heading_text(F.col("raw")).alias("text"))
+    heads = lines(dv.articles(spark, sf)).filter(t.is_heading(F.col("raw"))).select("doc_id", t.heading_level(F.col("raw")).cast("long").alias("level"), t.heading_text(F.col("raw")).alias("text"))
     return outline.heading_stats(heads)
 
 
-TERMS = [("d14", "API"), ("d14", "HTTP2"), ("d14", "コンピューター"), ("d14", "サーバー")]
+TERMS = f"""tx AS (SELECT doc_id, {dv._blanked_sql('text', '(?s)<!--.*?(?:-->|' + chr(92) + 'z)')} AS text FROM articles),
+tm AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all('  ' || regexp_replace(text, '([^A-Za-z0-9])', '{chr(92)}1{chr(92)}1', 'g') || '  ', '[^A-Za-z0-9][A-Z]{{2,}}[0-9]*[^A-Za-z0-9]'), lambda x: substring(x, 2, length(x) - 2))) AS term FROM tx)),
+pl AS (SELECT *, instr(text, term) AS ix FROM tx JOIN tm USING (doc_id))"""
 
 
-@query("SELECT doc_id, term, ((length(text) - length(replace(text, term, ''))) // length(term))::BIGINT AS n, substring(text, instr(text, term) + length(term), 1) IN ('(', '（') OR regexp_matches(substring(text, greatest(1, instr(text, term) - 80), 160), 'とは|と呼ぶ|という|、つまり') AS has_gloss FROM "
-       + fx.values(TERMS, "doc_id, term") + " JOIN " + fx.DOCS_SQL + " d USING (doc_id)")
+@query("WITH " + dv.ARTICLES + ", " + TERMS + """ SELECT doc_id, term, ((length(text) - length(replace(text, term, ''))) // length(term))::BIGINT AS n,
+  substring(text, ix + length(term), 1) IN ('(', '（') OR regexp_matches(substring(text, greatest(1, ix - 80), ix - greatest(1, ix - 80) + length(term) + 80), 'とは|と呼ぶ|という|、つまり') AS has_gloss FROM pl""")
 def term_contexts(spark, sf):
-    rows = terms.with_context(spark.createDataFrame(TERMS, "doc_id string, term string"), fx.docs(spark))
-    return rows.select("doc_id", "term", "n", "has_gloss")
+    docs = dv.articles(spark, sf)
+    found = terms.acronyms(lines(docs.select("doc_id", uncommented(F.col("text")).alias("text")))).select("doc_id", "term").distinct()
+    return terms.with_context(found, docs).select("doc_id", "term", "n", "has_gloss")
 
 
 @query()
 def document_terms(spark, sf):
-    """Acronyms and token runs of the inline documents: needs the tokenizer."""
+    """Acronyms and token runs of the articles: needs the tokenizer."""
     from fumiyomi.functions.tokenizer import token_frame
 
-    masked = _fixture(spark)
+    masked = _lines(spark, sf)
     found = terms.acronyms(masked.withColumn("raw", F.col("masked"))).withColumns({"turn": F.lit(0), "byte_start": F.lit(0)})
     runs = terms.token_terms(token_frame(sentences(masked))).withColumn("turn", F.lit(1))
-    return terms.with_context(terms.registered(found.unionByName(runs)), fx.docs(spark)).select("doc_id", "line", "term", "n", "has_gloss")
+    return terms.with_context(terms.registered(found.unionByName(runs)), dv.articles(spark, sf)).select("doc_id", "line", "term", "n", "has_gloss")
 
 
-AUDITED = fx.values(fx.VARIANTS, "term, norm, total")
+AUDITED = "aud AS (SELECT term, lower(regexp_replace(term, '[.,;:!?]+$', '')) AS norm, count(*) AS total FROM (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS term FROM documents) GROUP BY term)"
 
 
-@query(f"SELECT norm, count(DISTINCT term) AS spellings, sum(total)::BIGINT AS total, array_to_string(list_sort(list(DISTINCT term)), ',') AS terms FROM {AUDITED} GROUP BY norm HAVING count(DISTINCT term) >= 2")
+@query(f"WITH {AUDITED} SELECT norm, count(DISTINCT term) AS spellings, sum(total)::BIGINT AS total, array_to_string(list_sort(list(DISTINCT term)), ',') AS terms FROM aud GROUP BY norm HAVING count(DISTINCT term) >= 2")
 def term_variants(spark, sf):
-    return terms.variants(spark.createDataFrame(fx.VARIANTS, "term string, norm string, total long"))
+    """Spellings that differ in case or in marks after them."""
+    found = documents(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    return terms.variants(found.withColumn("norm", F.lower(F.regexp_replace("term", "[.,;:!?]+$", ""))))
 
 
 @query("WITH " + SENT + "SELECT word AS term, sum(n)::BIGINT AS total, count(*) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(sentence, '[A-Z]{2,}')) AS word, 1 AS one FROM sent) JOIN (SELECT 1 AS n) ON one = n GROUP BY word".replace("count(*) AS docs", "count(DISTINCT doc_id) AS docs"))
@@ -497,40 +520,36 @@ def term_audit(spark, sf):
 
 # ---- comparison
 
-BAG_COLUMNS = "file, ord, category, excerpt"
-
-
 def _key_sql() -> str:
     return f"CASE WHEN category IN {tuple(m.DOCUMENT_RULES)!r} THEN '' ELSE left(regexp_replace(excerpt, '\\s', '', 'g'), 20) END"
 
 
-def _bag_sql(rows: list) -> str:
-    return f"(SELECT file, category, {_key_sql()} AS key, row_number() OVER (PARTITION BY file, category, {_key_sql()} ORDER BY ord) AS nth FROM {fx.values(rows, BAG_COLUMNS)})"
+def _bag_sql(now: bool) -> str:
+    return f"(SELECT file, category, {_key_sql()} AS key, row_number() OVER (PARTITION BY file, category, {_key_sql()} ORDER BY ord) AS nth FROM {dv.findings_sql(now)})"
 
 
-def _bags(spark):
-    schema = "file string, ord int, category string, excerpt string"
-    return spark.createDataFrame(fx.NOW, schema), spark.createDataFrame(fx.BEFORE, schema)
+def _bags(spark, sf):
+    return dv.findings(spark, sf, True), dv.findings(spark, sf, False)
 
 
-@query(f"SELECT coalesce(n.file, b.file) AS file, coalesce(n.category, b.category) AS category, coalesce(n.key, b.key) AS key, coalesce(n.nth, b.nth) AS nth, CASE WHEN b.file IS NULL THEN 'new' WHEN n.file IS NULL THEN 'resolved' ELSE 'persisting' END AS status FROM {_bag_sql(fx.NOW)} n FULL JOIN {_bag_sql(fx.BEFORE)} b ON n.file = b.file AND n.category = b.category AND n.key = b.key AND n.nth = b.nth")
+@query(f"SELECT coalesce(n.file, b.file) AS file, coalesce(n.category, b.category) AS category, coalesce(n.key, b.key) AS key, coalesce(n.nth, b.nth) AS nth, CASE WHEN b.file IS NULL THEN 'new' WHEN n.file IS NULL THEN 'resolved' ELSE 'persisting' END AS status FROM {_bag_sql(True)} n FULL JOIN {_bag_sql(False)} b ON n.file = b.file AND n.category = b.category AND n.key = b.key AND n.nth = b.nth")
 def bag_match(spark, sf):
-    return compare.bag_match(*_bags(spark)).withColumn("nth", long("nth"))
+    return compare.bag_match(*_bags(spark, sf)).withColumn("nth", long("nth"))
 
 
-@query(f"SELECT coalesce(n.file, b.file) AS file, CASE WHEN b.file IS NULL THEN 'added' WHEN n.file IS NULL THEN 'missing' ELSE 'compared' END AS status FROM (SELECT DISTINCT file FROM {fx.values(fx.NOW, BAG_COLUMNS)}) n FULL JOIN (SELECT DISTINCT file FROM {fx.values(fx.BEFORE, BAG_COLUMNS)}) b USING (file)".replace("coalesce(n.file, b.file) AS file", "file"))
+@query(f"SELECT file, CASE WHEN b.file IS NULL THEN 'added' WHEN n.file IS NULL THEN 'missing' ELSE 'compared' END AS status FROM (SELECT DISTINCT file FROM {dv.findings_sql(True)}) n FULL JOIN (SELECT DISTINCT file FROM {dv.findings_sql(False)}) b USING (file)")
 def file_status(spark, sf):
-    return compare.file_status(*_bags(spark))
+    return compare.file_status(*_bags(spark, sf))
 
 
-@query(f"SELECT file, ord, category, excerpt FROM {fx.values(fx.BEFORE, BAG_COLUMNS)} WHERE category <> 'hype_expression' AND NOT (category = 'low_burstiness' AND contains(excerpt, 'x'))")
+@query(f"SELECT file, ord, category, excerpt FROM {dv.findings_sql(False)} WHERE category <> 'hype_expression' AND NOT (category = 'low_burstiness' AND contains(excerpt, 'c'))")
 def suppression(spark, sf):
-    return compare.suppressed(_bags(spark)[1], ["hype_expression"], [("low_burstiness", "x")])
+    return compare.suppressed(_bags(spark, sf)[1], ["hype_expression"], [("low_burstiness", "c")])
 
 
-# ---- rules on tokens, over inline tokens
+# ---- rules on tokens, over tokens that words of documents become
 
-TOK = "tok AS (SELECT * FROM " + fx.tokens_sql() + ")"
+TOK = dv.TOKENS
 NEXT = TOK + ", n AS (SELECT *, " + ", ".join(f"{f}({c}, {k}) OVER w AS {f}{k}_{c}" for f, ks in (("lead", (1, 2, 3)), ("lag", (1,))) for k in ks for c in ("surface", "pos1", "lemma")) + " FROM tok WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx))"
 PLACE = "doc_id, sent_idx::BIGINT AS sent_idx, tok_idx::BIGINT AS tok_idx"
 
@@ -541,12 +560,12 @@ def _place(df: DataFrame, *more: str) -> DataFrame:
 
 @query("WITH " + NEXT + f" SELECT {PLACE}, CASE WHEN lag1_lemma = 'する' THEN 'することが' END AS preimage FROM n WHERE surface = 'こと' AND pos1 = '名詞' AND lead1_surface = 'が' AND lead1_pos1 = '助詞' AND lead2_pos1 = '動詞' AND lead2_surface LIKE 'でき%' AND coalesce(lag1_lemma, '') NOT IN ('せる', 'させる')")
 def koto_ga_dekiru(spark, sf):
-    return _place(tokens.koto_ga_dekiru(fx.token_frame(spark)), "preimage")
+    return _place(tokens.koto_ga_dekiru(dv.token_frame(spark, sf)), "preimage")
 
 
 @query("WITH " + NEXT + f" SELECT {PLACE}, CASE WHEN lead2_surface IN ('行う', '行なう') THEN 'する' WHEN lead2_surface IN ('行い', '行っ', '行ない', '行なっ') THEN 'し' END AS replacement FROM n WHERE pos1 = '名詞' AND pos3 IN ('サ変可能', 'サ変形状詞可能') AND lead1_surface = 'を' AND lead1_pos1 = '助詞' AND lead2_pos1 = '動詞' AND lead2_lemma IN ('行う', '行なう') AND coalesce(lead3_lemma, '') NOT IN ('れる', 'られる', 'せる', 'させる')")
 def light_verb(spark, sf):
-    return _place(tokens.light_verb(fx.token_frame(spark)), "replacement")
+    return _place(tokens.light_verb(dv.token_frame(spark, sf)), "replacement")
 
 
 @query("WITH " + NEXT + f""", s AS (SELECT *, CASE WHEN (surface = 'この' AND lead1_surface = '事実' OR surface = 'その' AND lead1_surface = 'こと') AND lead2_surface IN ('が', 'は') AND lead2_pos1 = '助詞' THEN surface || lead1_surface
@@ -554,7 +573,7 @@ def light_verb(spark, sf):
 SELECT {PLACE}, subject, (SELECT arg_min(v.lemma, v.tok_idx) FROM tok v WHERE v.doc_id = s.doc_id AND v.sent_idx = s.sent_idx AND v.tok_idx > s.tok_idx AND v.pos1 = '動詞' AND v.lemma IN {tuple(m.INANIMATE_VERBS)!r}) AS verb FROM s
 WHERE subject IS NOT NULL AND EXISTS (SELECT 1 FROM tok v WHERE v.doc_id = s.doc_id AND v.sent_idx = s.sent_idx AND v.tok_idx > s.tok_idx AND v.pos1 = '動詞' AND v.lemma IN {tuple(m.INANIMATE_VERBS)!r})""")
 def inanimate_morph(spark, sf):
-    return _place(tokens.inanimate_morph(fx.token_frame(spark)), "subject", "verb")
+    return _place(tokens.inanimate_morph(dv.token_frame(spark, sf)), "subject", "verb")
 
 
 MARKED = TOK + ", mk AS (SELECT *, sum((pos1 IN ('記号', '補助記号', '空白'))::INT) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx) AS marks FROM tok)"
@@ -563,36 +582,41 @@ MARKED = TOK + ", mk AS (SELECT *, sum((pos1 IN ('記号', '補助記号', '空
 @query("WITH " + MARKED + """, p AS (SELECT *, lead(tok_idx) OVER w AS i1, lead(tok_idx, 2) OVER w AS i2, lead(marks, 2) OVER w AS m2 FROM mk WHERE surface = 'の' AND pos1 = '助詞' WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx))
 SELECT doc_id, sent_idx::BIGINT AS sent_idx, min(tok_idx)::BIGINT AS tok_idx FROM p WHERE i1 - tok_idx <= 3 AND i2 - i1 <= 3 AND m2 = marks GROUP BY ALL""")
 def no_chain(spark, sf):
-    return _place(tokens.no_chain(fx.token_frame(spark)))
+    return _place(tokens.no_chain(dv.token_frame(spark, sf)))
 
 
 @query("WITH " + MARKED + f""", j AS (SELECT *, array_to_string(list(surface) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), '') AS tail FROM mk),
 p AS (SELECT *, lead(tok_idx) OVER w AS i1, lead(marks) OVER w AS m1 FROM j WHERE pos1 IN ('助動詞', '形容詞') AND lemma IN {tuple(m.NEGATIVES)!r} WINDOW w AS (PARTITION BY doc_id, sent_idx ORDER BY tok_idx))
 SELECT doc_id, sent_idx::BIGINT AS sent_idx, min(tok_idx)::BIGINT AS "first", arg_min(i1, tok_idx)::BIGINT AS "second" FROM p WHERE i1 - tok_idx <= 6 AND m1 = marks AND NOT regexp_matches(tail, '{alt(m.OBLIGATION)}') AND NOT regexp_matches(tail, '^(ない|なけれ|なく)(と|ば|ければ)') GROUP BY doc_id, sent_idx""")
 def double_negative(spark, sf):
-    return tokens.double_negative(fx.token_frame(spark)).select("doc_id", long("sent_idx"), long("first"), long("second"))
+    return tokens.double_negative(dv.token_frame(spark, sf)).select("doc_id", long("sent_idx"), long("first"), long("second"))
 
 
-@query("SELECT * FROM (VALUES ('t06', 1::BIGINT, 4::BIGINT), ('t06', 3, 5)) AS v(doc_id, sent_idx, items)")
+@query("WITH " + TOK + """, sg AS (SELECT *, coalesce(sum((surface = '、')::INT) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM tok),
+g AS (SELECT doc_id, sent_idx, seg, coalesce(arg_max(pos1, tok_idx) FILTER (pos1 NOT IN ('記号', '補助記号', '空白')) IN ('名詞', '代名詞'), false) AND bool_or(surface = '、') AS noun FROM sg GROUP BY ALL),
+r AS (SELECT *, sum((NOT noun)::INT) OVER (PARTITION BY doc_id, sent_idx ORDER BY seg) AS run FROM g),
+c AS (SELECT doc_id, sent_idx, run, count(*) AS k FROM r WHERE noun GROUP BY ALL HAVING count(*) >= 2)
+SELECT doc_id, sent_idx::BIGINT AS sent_idx, max(k) + 1 AS items FROM c GROUP BY ALL""")
 def buried_list(spark, sf):
-    """Three places and what follows; four nouns and what follows. Counted by hand."""
-    return tokens.buried_list(fx.token_frame(spark)).select("doc_id", long("sent_idx"), long("items"))
+    return tokens.buried_list(dv.token_frame(spark, sf)).select("doc_id", long("sent_idx"), long("items"))
 
 
-@query("WITH " + TOK + ", off AS (SELECT *, coalesce(sum(length(surface)) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM tok), r AS (SELECT doc_id, sent_idx, regexp_extract(sentence, '[一-龿々]{7,}') AS run, instr(sentence, regexp_extract(sentence, '[一-龿々]{7,}')) - 1 AS lo FROM "
-       + fx.sentences_sql() + " WHERE regexp_matches(sentence, '[一-龿々]{7,}')) SELECT doc_id, sent_idx::BIGINT AS sent_idx, run FROM r WHERE NOT EXISTS (SELECT 1 FROM off o WHERE o.doc_id = r.doc_id AND o.sent_idx = r.sent_idx AND o.pos2 = '固有名詞' AND o.a < r.lo + length(run) AND o.a + length(o.surface) > r.lo)")
+@query("WITH " + TOK + """, off AS (SELECT *, coalesce(sum(length(surface)) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM tok),
+q AS (SELECT doc_id, sent_idx, regexp_extract_all(sentence, '[一-龿々]{7,}') AS f, regexp_split_to_array(sentence, '[一-龿々]{7,}') AS p FROM sent),
+r AS (SELECT doc_id, sent_idx, f[i] AS run, length(array_to_string(p[1:i], '')) + length(array_to_string(f[1:i - 1], '')) AS lo FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM q))
+SELECT doc_id, sent_idx::BIGINT AS sent_idx, run FROM r WHERE NOT EXISTS (SELECT 1 FROM off o WHERE o.doc_id = r.doc_id AND o.sent_idx = r.sent_idx AND o.pos2 = '固有名詞' AND o.a < r.lo + length(run) AND o.a + length(o.surface) > r.lo)""")
 def kanji_runs(spark, sf):
-    return tokens.kanji_runs(fx.sentence_frame(spark), fx.token_frame(spark)).select("doc_id", long("sent_idx"), "run")
+    return tokens.kanji_runs(dv.sentence_frame(dv.token_frame(spark, sf)), dv.token_frame(spark, sf)).select("doc_id", long("sent_idx"), "run")
 
 
 @query("WITH " + TOK + ", c AS (SELECT doc_id, sent_idx, sum(length(regexp_replace(reading, '[ァィゥェォャュョヮ]', '', 'g'))) AS mora FROM tok GROUP BY ALL) SELECT doc_id, sent_idx::BIGINT AS sent_idx, mora::BIGINT AS mora FROM c")
 def mora_lengths(spark, sf):
-    rows = fx.token_frame(spark).groupBy("doc_id", "sent_idx").agg(F.sum(tokens.mora(F.col("reading"))).alias("mora"))
+    rows = dv.token_frame(spark, sf).groupBy("doc_id", "sent_idx").agg(F.sum(tokens.mora(F.col("reading"))).alias("mora"))
     return rows.select("doc_id", long("sent_idx"), "mora")
 
 
-def _ends(spark) -> DataFrame:
-    return tokens.endings(fx.token_frame(spark), fx.sentence_frame(spark).select("doc_id", "sent_idx", "line", "end_mark"))
+def _ends(spark, sf) -> DataFrame:
+    return tokens.endings(dv.token_frame(spark, sf), dv.sentence_frame(dv.token_frame(spark, sf)).select("doc_id", "sent_idx", "line", "end_mark"))
 
 
 def _suffix_sql(words: list[str]) -> str:
@@ -603,60 +627,73 @@ ENDINGS = TOK + f""", solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id
 e AS (SELECT doc_id, sent_idx, array_to_string(list(surface ORDER BY tok_idx) FILTER (back <= 8), '') AS tail, any_value(surface) FILTER (back = 1) AS last, any_value(pos1) FILTER (back = 1) AS lastpos FROM solid GROUP BY ALL),
 m AS (SELECT s.doc_id, s.sent_idx, s.line, CASE WHEN end_mark IN ('？', '?') THEN 'question' WHEN last IS NULL THEN 'other' WHEN lastpos = '助詞' AND last = 'か' THEN 'question' WHEN {_suffix_sql(m.TENTATIVE)} IS NOT NULL THEN 'tentative' WHEN lastpos IN ('名詞', '代名詞') THEN 'nominal' WHEN {_suffix_sql(m.ASSERTIVE)} IS NOT NULL THEN 'assertive' ELSE 'other' END AS mode,
   CASE WHEN end_mark IN ('？', '?') THEN 'question_mark' WHEN last IS NULL THEN 'other' WHEN lastpos = '助詞' AND last = 'か' THEN 'particle_ka' WHEN {_suffix_sql(m.TENTATIVE)} IS NOT NULL THEN {_suffix_sql(m.TENTATIVE)} WHEN lastpos IN ('名詞', '代名詞') THEN 'nominal' WHEN {_suffix_sql(m.ASSERTIVE)} IS NOT NULL THEN {_suffix_sql(m.ASSERTIVE)} ELSE 'other' END AS signature
-  FROM {fx.sentences_sql()} s LEFT JOIN e ON e.doc_id = s.doc_id AND e.sent_idx = s.sent_idx)"""
+  FROM sent s LEFT JOIN e ON e.doc_id = s.doc_id AND e.sent_idx = s.sent_idx)"""
 
 
 @query("WITH " + ENDINGS + " SELECT doc_id, sent_idx::BIGINT AS sent_idx, mode, signature FROM m")
 def sentence_endings(spark, sf):
-    return _ends(spark).select("doc_id", long("sent_idx"), "mode", "signature")
+    return _ends(spark, sf).select("doc_id", long("sent_idx"), "mode", "signature")
+
+
+def _runs_sql(change: str, extra: str = "") -> str:
+    """Islands of neighbouring sentences of one paragraph that agree in these columns."""
+    differ = " OR ".join(f"{c} <> lag({c}) OVER w" for c in change.split(", "))
+    new = f"(SELECT *, coalesce(line > lag(line) OVER w + 1 OR {differ}, true) AS new FROM mm WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx))"
+    islands = f"(SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS run FROM {new})"
+    return f"SELECT doc_id, {change}, count(*) AS n, min(line) AS line, stddev_pop(mora) / nullif(avg(mora), 0) AS cv FROM {islands} GROUP BY doc_id, run, {change}"
+
+
+MORA = """, mo AS (SELECT doc_id, sent_idx, sum(length(regexp_replace(reading, '[ァィゥェォャュョヮ]', '', 'g'))) AS mora FROM tok GROUP BY ALL), mm AS (SELECT m.*, coalesce(mora, 0) AS mora, mora >= 30 AS long, mora <= 25 AS short FROM m LEFT JOIN mo USING (doc_id, sent_idx))"""
 
 
-@query("WITH " + ENDINGS + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) - row_number() OVER (PARTITION BY doc_id, mode ORDER BY sent_idx) AS grp FROM m),
-g AS (SELECT doc_id, mode, grp, count(*) AS n FROM r GROUP BY ALL) SELECT doc_id, mode, sum(n)::BIGINT AS sentences, max(n)::BIGINT AS longest FROM g GROUP BY doc_id, mode""")
+@query("WITH " + ENDINGS + MORA + ", g AS (" + _runs_sql("mode") + ") SELECT doc_id, mode, sum(n)::BIGINT AS sentences, max(n)::BIGINT AS longest FROM g GROUP BY doc_id, mode")
 def ending_runs(spark, sf):
-    runs = tokens.ending_runs(_ends(spark), ["mode"])
+    runs = tokens.ending_runs(_ends(spark, sf), ["mode"])
     return runs.groupBy("doc_id", "mode").agg(F.sum("n").alias("sentences"), F.max("n").alias("longest"))
 
 
-@query("SELECT 't08' AS doc_id, 'consecutive_nominal_endings' AS category, 3::BIGINT AS n")
+@query("WITH " + ENDINGS + MORA + ", few AS (SELECT doc_id FROM m GROUP BY doc_id HAVING count(*) >= 6), a AS (" + _runs_sql("mode, short") + "), b AS (" + _runs_sql("mode, signature, long") + """)
+SELECT doc_id, 'consecutive_nominal_endings' AS category, n, line::BIGINT AS line FROM a SEMI JOIN few USING (doc_id) WHERE short AND mode = 'nominal' AND n >= 3
+UNION ALL SELECT doc_id, 'repeated_sentence_mode', n, line::BIGINT FROM b SEMI JOIN few USING (doc_id) WHERE long AND mode IN ('assertive', 'tentative', 'question') AND n >= 3 AND cv <= 0.15""")
 def nominal_runs(spark, sf):
-    rows = tokens.nominal_runs(_ends(spark)).select("doc_id", F.lit("consecutive_nominal_endings").alias("category"), "n")
-    return rows.unionByName(tokens.repeated_mode(_ends(spark)).select("doc_id", F.lit("repeated_sentence_mode").alias("category"), "n"))
+    rows = tokens.nominal_runs(_ends(spark, sf)).select("doc_id", F.lit("consecutive_nominal_endings").alias("category"), "n", long("line"))
+    return rows.unionByName(tokens.repeated_mode(_ends(spark, sf)).select("doc_id", F.lit("repeated_sentence_mode").alias("category"), "n", long("line")))
 
 
-LEADS = TOK + ", k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx) AS nth FROM tok)"
+LEADS = TOK + """, bg AS (SELECT *, bool_or(pos1 NOT IN ('記号', '補助記号', '空白')) OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx) AS begun FROM tok),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY tok_idx) AS nth FROM bg WHERE begun)"""
 
 
 @query("WITH " + LEADS + ", s AS (SELECT doc_id, sent_idx, any_value(surface) FILTER (nth = 1) || any_value(surface) FILTER (nth = 2) AS lead FROM k GROUP BY ALL) SELECT doc_id, lead, count(*) AS n FROM s WHERE lead IS NOT NULL GROUP BY ALL")
 def sentence_leads(spark, sf):
-    return tokens.lead_counts(fx.token_frame(spark)).select("doc_id", "lead", "n")
+    return tokens.lead_counts(dv.token_frame(spark, sf)).select("doc_id", "lead", "n")
 
 
 @query("WITH " + LEADS + """, s AS (SELECT doc_id, sent_idx, array_to_string(list(pos1 ORDER BY nth), '/') AS template FROM k WHERE nth <= 4 GROUP BY ALL HAVING count(*) = 4), c AS (SELECT doc_id, template, count(*) AS n, min(sent_idx) AS seen FROM s GROUP BY ALL),
 e AS (SELECT doc_id, sum(n)::BIGINT AS eligible FROM c GROUP BY doc_id HAVING sum(n) >= 6) SELECT doc_id, eligible, template, n, round(n / eligible, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen DESC) AS r FROM c JOIN e USING (doc_id)) WHERE r = 1""")
 def pos_templates(spark, sf):
-    return tokens.pos_templates(fx.token_frame(spark)).select("doc_id", "eligible", "template", "n", r6(F.col("share")).alias("share"))
+    return tokens.pos_templates(dv.token_frame(spark, sf)).select("doc_id", "eligible", "template", "n", r6(F.col("share")).alias("share"))
 
 
 @query("WITH " + TOK + """ SELECT doc_id, round(avg((pos1 = '動詞')::INT), 6) AS verb_ratio, round(avg((pos1 = '助詞')::INT), 6) AS particle_ratio, round(avg(regexp_full_match(surface, '[一-鿿々]+')::INT), 6) AS kanji_ratio, round(avg(regexp_full_match(surface, '[ぁ-ゟ]+')::INT), 6) AS hiragana_ratio
 FROM tok WHERE pos1 NOT IN ('記号', '補助記号', '空白') GROUP BY doc_id""")
 def readability(spark, sf):
-    rows = tokens.readability(fx.token_frame(spark))
+    rows = tokens.readability(dv.token_frame(spark, sf))
     return rows.select("doc_id", *[r6(F.col(c)).alias(c) for c in ("verb_ratio", "particle_ratio", "kanji_ratio", "hiragana_ratio")])
 
 
 @query()
 def tokenized(spark, sf):
-    """The tokenizer over the inline documents."""
+    """The tokenizer over the articles."""
     from fumiyomi.functions.tokenizer import token_frame
 
-    return token_frame(sentences(_fixture(spark))).select("doc_id", "sent_idx", "tok_idx", "surface", "pos1", "lemma", "norm")
+    return token_frame(sentences(_lines(spark, sf))).select("doc_id", "sent_idx", "tok_idx", "surface", "pos1", "lemma", "norm")
 
 
 @query()
 def lint_inline(spark, sf):
-    """All rules over the inline documents."""
-    return lint(fx.docs(spark), experimental=True)
+    """All rules over the articles."""
+    return lint(dv.articles(spark, sf), experimental=True)
 
 
 @query()

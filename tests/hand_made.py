@@ -1,4 +1,4 @@
-"""Small inline relations for rules that the tables can't fire: the same rows as a DataFrame and as SQL values."""
+"""Small documents whose findings were counted by hand."""
 
 from __future__ import annotations
 
@@ -51,27 +51,6 @@ def token_rows() -> tuple[list[tuple], list[tuple]]:
     return sents, toks
 
 
-BEFORE = [("a", 0, "forbidden_phrase", "さて、本を読む"), ("a", 1, "forbidden_phrase", "さて、本を読む"), ("a", 2, "low_burstiness", "x"), ("c", 0, "hype_expression", "革命的")]
-NOW = [("a", 0, "forbidden_phrase", "さて、 本を読む"), ("a", 1, "low_burstiness", "y"), ("a", 2, "translationese", "という点で"), ("b", 0, "no_chain", "の"), ("b", 1, "no_chain", "の")]
-VARIANTS = [("コンピューター", "コンピュータ", 3), ("コンピュータ", "コンピュータ", 2), ("サーバー", "サーバ", 1), ("ＡＰＩ", "api", 1), ("API", "api", 4)]
-
-
-def values(rows: list[tuple], names: str) -> str:
-    """Rows as an SQL relation; names of columns, by commas."""
-
-    def one(x) -> str:
-        if x is None:
-            return "NULL"
-        if isinstance(x, (int, float)):
-            return str(x)
-        return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS v({names}))"
-
-
-DOCS_SQL = values(DOCS, "doc_id, genre, text")
-
-
 def docs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DOCS, "doc_id string, genre string, text string")
 
@@ -82,11 +61,3 @@ def sentence_frame(spark: SparkSession) -> DataFrame:
 
 def token_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(token_rows()[1], "doc_id string, sent_idx int, line int, tok_idx int, surface string, pos1 string, pos2 string, pos3 string, lemma string, reading string")
-
-
-def tokens_sql() -> str:
-    return values(token_rows()[1], "doc_id, sent_idx, line, tok_idx, surface, pos1, pos2, pos3, lemma, reading")
-
-
-def sentences_sql() -> str:
-    return values(token_rows()[0], "doc_id, sent_idx, line, sentence, end_mark")

@@ -1,4 +1,4 @@
-"""Byte-exact masking of Markdown: the one thing about structure that needs a function of its own.
+"""Byte-exact masking of Markdown as a plain loop over lines: what the native expressions are held against.
 
 Masks keep every byte's place: a masked span becomes as many blanks as it has bytes, a masked line the empty line.
 """
@@ -7,11 +7,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-LINE = "struct<line:int,raw:string,masked:string,kind:string>"
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _FENCE = re.compile(r"\s*(`+|~+)")
 _TABLE = re.compile(r"\s*\|[^|]*\|")
@@ -86,28 +81,3 @@ def mask_lines(text: str, keep_headings: bool = False) -> list[tuple[int, str, s
                 masked = _URL.sub(_blanks, masked)
         out.append((i + 1, raw[i], masked, kind))
     return out
-
-
-def _structure(text: pd.Series) -> pd.Series:
-    return pd.Series([mask_lines(t) if t is not None else [] for t in text])
-
-
-def structure(text):
-    """The lines of a text column as an array. Made when used, as a function of Python needs a session."""
-    return F.pandas_udf(_structure, f"array<{LINE}>")(text)
-
-
-def _uncommented(text: pd.Series) -> pd.Series:
-    return pd.Series([without_comments(t) if t is not None else None for t in text], dtype=object)
-
-
-def uncommented(text):
-    """A text column with comments as blanks; only texts that have any meet the function of Python."""
-    blank = F.pandas_udf(_uncommented, "string")
-    return F.when(F.contains(text, F.lit("<!--")), blank(F.when(F.contains(text, F.lit("<!--")), text))).otherwise(text)
-
-
-def structured(docs: DataFrame) -> DataFrame:
-    """docs with one row a line: line, raw, masked and kind take the place of text."""
-    rest = [c for c in docs.columns if c != "text"]
-    return docs.select(*rest, F.explode(structure("text")).alias("x")).select(*rest, "x.line", "x.raw", "x.masked", "x.kind")

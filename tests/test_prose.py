@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -11,24 +12,27 @@ from pyspark.sql import functions as F
 
 from fumiyomi import cli
 from fumiyomi import model as m
-from fumiyomi.functions import structure, text, tokenizer
-from fumiyomi.operators import calibrate, compare, extract, measures, surface
-from fumiyomi.operators.frames import sentences
+from fumiyomi.functions import text, tokenizer
+from fumiyomi.operators import blocks, calibrate, compare, extract, measures, outline, surface, tokens
+from fumiyomi.operators.frames import paragraphs, sentences
 from fumiyomi.plans.lint import lint
 from fumiyomi.sources import readers, sinks
 from fumiyomi.streaming.ingest import drift, incoming, lint_stream
 
+import hand_made as fx
+import plain_structure as plain
+
 MARKUP = st.lists(st.sampled_from(["本文。", "`code`", "<b>", "](http://x)", "\n", "```\n", "# 見出し\n", "- 項目\n", "<!--", "-->", "---\n", "> 引用\n", "| a | b |\n", "~~~", "[1] 文献", "é"]), max_size=25).map("".join)
 
 
 @given(MARKUP)
 @settings(max_examples=300, deadline=None)
 def test_masks_keep_bytes(t):
-    rows = structure.mask_lines(t)
+    rows = plain.mask_lines(t)
     assert [r[1] for r in rows] == t.split("\n")
     for _, raw, masked, _ in rows:
         assert masked == "" or len(masked.encode()) == len(raw.encode())
-    bare = structure.without_comments(t)
+    bare = plain.without_comments(t)
     assert len(bare.encode()) == len(t.encode()) and bare.count("\n") == t.count("\n")
 
 
@@ -44,17 +48,57 @@ def test_masks_keep_bytes(t):
     ],
 )
 def test_kinds_of_lines(t, kinds):
-    assert [r[3] for r in structure.mask_lines(t)] == kinds
+    assert [r[3] for r in plain.mask_lines(t)] == kinds
 
 
 def test_inline_masks():
-    row = structure.mask_lines("見る`コード`と<br/>と[表](http://a)。")[0]
+    row = plain.mask_lines("見る`コード`と<br/>と[表](http://a)。")[0]
     assert row[2] == "見る" + " " * len("`コード`".encode()) + "と" + " " * 5 + "と[表](" + " " * 8 + ")。"
 
 
+def lines_of(spark, texts, keep=False):
+    got = {i: [] for i in range(len(texts))}
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, kind_of string").repartition(8)
+    for r in blocks.structured(df, keep).collect():
+        got[r["doc_id"]].append((r["line"], r["raw"], r["masked"], r["kind"]))
+    return [sorted(got[i]) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("group", [3, 512])
+def test_native_lines_are_those_of_the_loop(spark, monkeypatch, group):
+    """Marks folded in groups give what one state carried from line to line gives; texts of very many fences, too."""
+    monkeypatch.setattr(blocks, "GROUP", group)
+    rng = random.Random(group)
+    parts = ["---", "```", "````x", "~~~", "~~~~", "  ```", "`````", "本文", "", "# h", "- i", "1. x", "> q", "| a | b |", "[1] r", "[^n]: f", "#A note", "a `c` b", "x <b>y</b> [l](http://x) z", "<!-- c", "c -->", "<!-- a --> b", "日 `語` <!-- 注 -->", "--- ", "|--|", "[https://a.b/c:embed:cite]", "“`~", "``` ```"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.choice([1, 2, 5, 20, 60]))) for _ in range(300)]
+    texts += ["", "---\na\n---\nb", "---", "```", "```\n" + "\n".join(rng.choice(["```", "~~~", "````", "x"]) for _ in range(3000)), "x\n" * 20_000]
+    assert lines_of(spark, texts) == [plain.mask_lines(t) for t in texts]
+    assert lines_of(spark, texts[:50], True) == [plain.mask_lines(t, True) for t in texts[:50]]
+    assert blocks.structured(spark.createDataFrame([(1, None)], "doc_id int, text string")).count() == 0
+
+
+def test_counts_made_by_hand(spark):
+    rows = blocks.structured(fx.docs(spark))
+    kinds = {r["kind"]: r["count"] for r in rows.filter("doc_id = 'd13'").groupBy("kind").count().collect()}
+    assert kinds == {"front_matter": 3, "text": 2, "table": 2, "reference": 2, "code_note": 1, "embed": 1, "fence": 3}
+    found = outline.outline(fx.docs(spark).filter(F.col("doc_id").isin("d06", "d09"))).orderBy("doc_id", "line").collect()
+    assert [(r["line"], r["kind"], r["text"]) for r in found] == [
+        (1, "heading", "はじめに"), (2, "lead", "本文である。"), (3, "heading", "まとめ"), (4, "lead", "**要点**と**課題**と**方法**を書く。"), (5, "heading", "1. 結論"), (6, "bullets", "(箇条書き 4 項目)"),
+        (1, "lead", "革命的な方法だ。"), (6, "lead", "最強の本だ。"),
+    ]
+    bare = rows.filter("doc_id = 'd09'").filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))
+    assert sorted((r["line"], r["phrase"]) for r in surface.hype_expression(bare).withColumnRenamed("excerpt", "phrase").collect()) == [(1, "劇的に"), (1, "圧倒的な"), (1, "革命的"), (6, "最強の")]
+    even = measures.paragraph_rules(measures.paragraph_stats(paragraphs(rows.filter("doc_id = 'd10'"))))
+    assert sorted((r["category"], r["line"], r["value"]) for r in even.collect()) == [("paragraph_lead_conjunction", 1, 0.5), ("paragraph_lead_conjunction", 3, 0.5), ("uniform_paragraph_structure", 1, 0.0)]
+    toks = fx.token_frame(spark)
+    assert sorted((r["doc_id"], r["sent_idx"], r["items"]) for r in tokens.buried_list(toks).collect()) == [("t06", 1, 4), ("t06", 3, 5)]
+    ends = tokens.endings(toks, fx.sentence_frame(spark).select("doc_id", "sent_idx", "line", "end_mark"))
+    assert [(r["doc_id"], r["n"]) for r in tokens.nominal_runs(ends).collect()] == [("t08", 3)]
+
+
 def test_sentences_know_their_bytes(spark):
     docs = spark.createDataFrame([("a", "一つ。 `x`二つ！　三つ\n四つ?")], "doc_id string, text string")
-    rows = sentences(structure.structured(docs)).orderBy("sent_idx").collect()
+    rows = sentences(blocks.structured(docs)).orderBy("sent_idx").collect()
     assert [(r["sentence"], r["raw_text"], r["end_mark"], r["byte_start"], r["line"]) for r in rows] == [
         ("一つ", "一つ", "。", 0, 1), ("二つ", "`x`二つ", "！", 13, 1), ("三つ", "三つ", None, 25, 1), ("四つ", "四つ", "?", 0, 2),
     ]
@@ -62,7 +106,7 @@ def test_sentences_know_their_bytes(spark):
 
 def test_spans_of_matches(spark):
     docs = spark.createDataFrame([("a", "前にさて、さて、と言えます。")], "doc_id string, text string")
-    rows = surface.forbidden_phrase(structure.structured(docs)).orderBy("start_byte").collect()
+    rows = surface.forbidden_phrase(blocks.structured(docs)).orderBy("start_byte").collect()
     raw = "前にさて、さて、と言えます。".encode()
     assert [(raw[r["start_byte"] : r["end_byte"]].decode(), r["severity"]) for r in rows] == [("さて、", "info"), ("さて、", "info"), ("と言えます", "warn")]
     pattern = spark.createDataFrame([("xaあbaあ",)], "s string").select(surface.matches(F.col("s"), "a.").alias("m")).first()["m"]
