@@ -13,7 +13,7 @@ from fumiyomi.operators.blocks import structured
 from fumiyomi.functions.tokenizer import token_frame
 from fumiyomi.operators import compare, outline, terms
 from fumiyomi.operators.frames import sentences
-from fumiyomi.plans.lint import lint
+from fumiyomi.plans.lint import analyzed
 from fumiyomi.sources import sinks
 from fumiyomi.sources.readers import InputError, config, documents, earlier_run
 
@@ -41,10 +41,11 @@ def parser() -> argparse.ArgumentParser:
 def run_lint(spark: SparkSession, a: argparse.Namespace, out) -> int:
     conf = config(None, "/nonexistent") if a.no_config else config(a.config)
     docs = documents(spark, a.files, a.genre or conf.genre)
-    found = compare.suppressed(lint(docs, a.experimental), conf.disabled_rules, conf.allow).persist()
+    run = analyzed(docs, a.experimental)
+    found = compare.suppressed(run.findings, conf.disabled_rules, conf.allow).persist()
     kind = "json" if a.json else a.format
     if kind == "json":
-        reports = [json.loads(r["json"]) for r in sinks.json_reports(found, docs).join(docs.select("doc_id", "ord"), "doc_id").orderBy("ord").collect()]
+        reports = [json.loads(r["json"]) for r in sinks.json_reports(found, docs, run.stats).join(docs.select("doc_id", "ord"), "doc_id").orderBy("ord").collect()]
         if a.baseline:
             header, before = earlier_run(spark, a.baseline)
             now = found.select(F.col("doc_id").alias("file"), F.monotonically_increasing_id().alias("ord"), "category", "excerpt")

@@ -27,15 +27,20 @@ def length_stats(lengths: DataFrame, order: list[str], by: str = "doc_id") -> Da
     return agg.select(by, "n_sentences", "mean", "sigma", burst.alias("burstiness"), lag.alias("lag1"), F.when(F.col("mean") > 0, F.try_divide("sigma", "mean")).alias("cv"))
 
 
+def _at(stats: DataFrame) -> DataFrame:
+    """With the line of the first sentence, where it is known."""
+    return stats if "line" in stats.columns else stats.withColumn("line", F.lit(1))
+
+
 def rhythm(stats: DataFrame) -> DataFrame:
     """Findings from length_stats in mora."""
-    at = stats.withColumn("line", F.lit(1))
+    at = _at(stats)
     return several(at, {"low_burstiness": (F.col("burstiness") < m.BURSTINESS, F.col("burstiness")), "high_length_autocorrelation": (F.col("lag1") > m.AUTOCORRELATION, F.col("lag1"))})
 
 
 def low_variance(stats: DataFrame) -> DataFrame:
     """Findings from length_stats in characters."""
-    rows = stats.filter((F.col("n_sentences") >= 5) & (F.col("cv") < m.VARIANCE_CV)).withColumn("line", F.lit(1))
+    rows = _at(stats.filter((F.col("n_sentences") >= 5) & (F.col("cv") < m.VARIANCE_CV)))
     return finding(rows, "low_sentence_variance", value=F.col("cv"))
 
 
@@ -75,7 +80,7 @@ def lexical(words: DataFrame) -> DataFrame:
 
 def low_diversity(stats: DataFrame) -> DataFrame:
     """Findings from ttr, mtld and chars of a document."""
-    at = stats.filter(F.col("chars") >= m.LEXICAL_CHARS).withColumn("line", F.lit(1))
+    at = _at(stats.filter(F.col("chars") >= m.LEXICAL_CHARS))
     return several(at, {"low_lexical_diversity_ttr": (F.col("ttr") < m.TTR, F.col("ttr")), "low_lexical_diversity_mtld": (F.col("mtld") < m.MTLD, F.col("mtld"))})
 
 
@@ -107,5 +112,6 @@ def reading_load(sentences: DataFrame) -> DataFrame:
     bar = F.when(F.col("genre") == "essay", m.SENTENCE_MAX["essay"]).otherwise(m.SENTENCE_MAX[None])
     dense = (n >= 60) & (t.japanese_chars(F.col("sentence")) * 2 >= n) & ~F.col("sentence").rlike("[、，,]")
     head = F.left("sentence", F.lit(30))
-    no_comma = finding(sentences.filter(dense), "no_comma_sentence", text=head, value=n)
-    return no_comma.unionByName(finding(sentences.filter(n > bar), "sentence_too_long", text=head, value=n))
+    rows = sentences.withColumn("end_byte", F.col("byte_start") + F.octet_length("sentence")).withColumnRenamed("byte_start", "start_byte") if "byte_start" in sentences.columns else sentences
+    no_comma = finding(rows.filter(dense), "no_comma_sentence", text=head, value=n)
+    return no_comma.unionByName(finding(rows.filter(n > bar), "sentence_too_long", text=head, value=n))

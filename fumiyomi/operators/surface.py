@@ -1,6 +1,7 @@
 """Rules on the surface of lines: phrases, patterns, structure. Each takes frames and returns findings.
 
-A finding is doc_id, line, category, severity, excerpt, start_byte, end_byte (in the line) and value (what was measured)."""
+A finding is doc_id, line, category, severity, excerpt, start_byte, end_byte (in the line), value (what was measured), the columns of
+its place, and what may be put in the place of which bytes."""
 
 from __future__ import annotations
 
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
+from fumiyomi.operators import spans
 from fumiyomi.operators.blocks import uncommented
 
-FINDING = ["doc_id", "line", "category", "severity", "excerpt", "start_byte", "end_byte", "value"]
+FINDING = ["doc_id", "line", "category", "severity", "excerpt", "start_byte", "end_byte", "value", "start_column", "end_column", *spans.SUGGESTION]
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -21,37 +23,37 @@ def matches(c: Column, pattern: str) -> Column:
     return F.transform(found, lambda x, i: F.struct(x.alias("match"), (size(F.slice(parts, 1, i + 1)) + size(F.slice(found, 1, i))).alias("start_byte")))
 
 
-def excerpt(raw: Column, start: Column, end: Column, around: int = 10) -> Column:
-    """The raw bytes from start to end and so many characters on either side, trimmed."""
-    raw_bytes = F.encode(raw, "UTF-8")
-    before = F.decode(F.substring(raw_bytes, F.lit(1), start), "UTF-8")
-    rest = F.decode(F.substring(raw_bytes, start + 1, F.octet_length(raw)), "UTF-8")
-    inside = F.decode(F.substring(raw_bytes, start + 1, end - start), "UTF-8")
-    return t.u_trim(F.concat(F.right(before, F.lit(around)), F.left(rest, F.length(inside) + around)))
-
-
 def finding(df: DataFrame, category: str, *, severity: Column | None = None, line="line", text: Column | None = None, value: Column | None = None) -> DataFrame:
-    """Findings of a rule from rows that have doc_id and line, and start_byte and end_byte where the rule has a place."""
+    """Findings of a rule from rows that have doc_id and line, and start_byte and end_byte where the rule has a place. Where rows have
+    the line (raw), too, the excerpt is what stands around the place, and columns are known."""
     none = F.lit(None)
     place = "start_byte" in df.columns
-    return df.select(
+    seen = place and "raw" in df.columns
+    around = spans.excerpt(F.col("raw"), F.col("start_byte"), F.col("end_byte")) if seen else none
+    rows = spans.with_columns(df) if seen else df
+    held = lambda c, kind: (F.col(c) if c in rows.columns else none).cast(kind).alias(c)
+    return rows.select(
         F.col("doc_id"), F.col(line).cast("int").alias("line"), F.lit(category).alias("category"),
         (severity if severity is not None else F.lit(m.BY_NAME[category].severity)).alias("severity"),
-        (text if text is not None else F.lit("")).cast("string").alias("excerpt"),
-        (F.col("start_byte") if place else none).cast("int").alias("start_byte"), (F.col("end_byte") if place else none).cast("int").alias("end_byte"),
-        (value if value is not None else none).cast("double").alias("value"),
+        (text if text is not None else around if place else F.lit("")).cast("string").alias("excerpt"),
+        held("start_byte", "int"), held("end_byte", "int"), (value if value is not None else none).cast("double").alias("value"),
+        held("start_column", "int"), held("end_column", "int"), held("fix_start", "int"), held("fix_end", "int"), held("fix_start_column", "int"), held("fix_end_column", "int"), held("preimage", "string"), held("replacement", "string"),
     )
 
 
 def located(lines: DataFrame, patterns: list[str], text: str = "masked") -> DataFrame:
     """A row for each match of each pattern in a line. Patterns are matched separately, as overlapping hits of different ones all
     count, but in one pass; lines without any are dropped by a plain filter first."""
-    each = [F.transform(matches(F.col(text), p), lambda x, k=k: F.struct(F.lit(k).alias("pattern"), x["start_byte"].alias("start_byte"), x["match"].alias("match"))) for k, p in enumerate(patterns)]
+
+    def numbered(k: int, pattern: str) -> Column:  # a second parameter of the function itself would be the place in the array
+        return F.transform(matches(F.col(text), pattern), lambda x: F.struct(F.lit(k).alias("pattern"), x["start_byte"].alias("start_byte"), x["match"].alias("match")))
+
+    each = [numbered(k, p) for k, p in enumerate(patterns)]
     hit = lines.filter(F.col(text).rlike("|".join(f"(?:{p})" for p in patterns))).select("doc_id", "line", "raw", F.explode(F.concat(*each)).alias("x"))
     return hit.select("doc_id", "line", "raw", "x.*").withColumn("end_byte", F.col("start_byte") + F.octet_length("match"))
 
 
-def _phrases(lines: DataFrame, phrases: list[str], text: str) -> DataFrame:
+def phrase_rows(lines: DataFrame, phrases: list[str], text: str) -> DataFrame:
     """One row a phrase and match. Lines are filtered by one alternation; only the rest meet single phrases, as overlapping ones all count."""
     hit = lines.filter(F.col(text).rlike(t.any_of(phrases)))
     each = F.array(*[F.lit(p) for p in phrases])
@@ -64,32 +66,32 @@ def _phrases(lines: DataFrame, phrases: list[str], text: str) -> DataFrame:
 
 
 def forbidden_phrase(masked: DataFrame) -> DataFrame:
-    rows = _phrases(masked, m.PHRASES, "masked")
+    rows = phrase_rows(masked, m.PHRASES, "masked")
     weak = F.when(F.col("phrase").isin(m.WEAK_PHRASES), "info").otherwise("warn")
-    return finding(rows, "forbidden_phrase", severity=weak, text=F.col("phrase"))
+    return finding(rows, "forbidden_phrase", severity=weak)
 
 
 def hype_expression(bare: DataFrame) -> DataFrame:
-    return finding(_phrases(bare, m.HYPE, "masked"), "hype_expression", text=F.col("phrase"))
+    return finding(phrase_rows(bare, m.HYPE, "masked"), "hype_expression")
 
 
 def translationese(masked: DataFrame) -> DataFrame:
-    return finding(located(masked, m.TRANSLATIONESE), "translationese", text=F.col("match"))
+    return finding(located(masked, m.TRANSLATIONESE), "translationese")
 
 
 def antithesis_repetition(masked: DataFrame, sentence_counts: DataFrame) -> DataFrame:
     """One finding a document with three hits or more, at the first; severity by hits a sentence."""
-    first = F.min(F.struct("line", "pattern", "start_byte", "end_byte", "match")).alias("x")
+    first = F.min(F.struct("line", "pattern", "start_byte", "end_byte", "raw")).alias("x")
     docs = located(masked, m.ANTITHESIS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), first).filter("hits >= 3").join(sentence_counts, "doc_id")
     ratio = F.try_divide(F.col("hits"), F.col("n_sentences"))
     bar = F.when(F.col("genre") == "tech", 0.045).otherwise(0.03)
     rows = docs.select("doc_id", "x.*", ratio.alias("ratio"), bar.alias("bar"))
     severity = F.when(F.col("ratio") < 0.02, "info").when(F.col("ratio") >= F.col("bar"), "critical").otherwise("warn")
-    return finding(rows, "antithesis_repetition", severity=severity, text=F.col("match"), value=F.col("ratio"))
+    return finding(rows, "antithesis_repetition", severity=severity, text=t.u_trim(spans.sliced(F.col("raw"), F.col("start_byte"), F.col("end_byte"))), value=F.col("ratio"))
 
 
 def inanimate_subject(masked: DataFrame) -> DataFrame:
-    return finding(located(masked, m.INANIMATE), "english_syntax_inanimate_subject", text=F.col("match"))
+    return finding(located(masked, m.INANIMATE), "english_syntax_inanimate_subject")
 
 
 def cleft_because(sentences: DataFrame) -> DataFrame:
@@ -137,8 +139,9 @@ def several(rows: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFra
     """Findings of several rules on the same rows (doc_id, line) in one pass: category to condition and value."""
     each = [F.when(test, F.struct(F.lit(k).alias("category"), F.lit(m.BY_NAME[k].severity).alias("severity"), value.cast("double").alias("value"))) for k, (test, value) in rules.items()]
     hits = rows.select("doc_id", "line", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x"))
-    none = F.lit(None).cast("int")
-    return hits.select("doc_id", F.col("line").cast("int").alias("line"), "x.category", "x.severity", F.lit("").alias("excerpt"), none.alias("start_byte"), none.alias("end_byte"), "x.value")
+    none = {c: F.lit(None).cast("string" if c in ("preimage", "replacement") else "int").alias(c) for c in FINDING}
+    own = {"doc_id": F.col("doc_id"), "line": F.col("line").cast("int").alias("line"), "category": F.col("x.category"), "severity": F.col("x.severity"), "excerpt": F.lit("").alias("excerpt"), "value": F.col("x.value")}
+    return hits.select(*[own.get(c, none[c]) for c in FINDING])
 
 
 def boilerplate_heading(structured: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ Neighbours are lag and lead within a sentence, so every rule is one window over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
+from fumiyomi.operators import spans
 from fumiyomi.operators.surface import finding
 
 SENTENCE = ["doc_id", "sent_idx"]
@@ -31,26 +34,40 @@ def mora(reading: Column) -> Column:
     return F.length(F.regexp_replace(reading, f"[{m.SMALL_KANA}]", "")).cast("long")
 
 
+def _bytes(rows: DataFrame, places: dict[str, tuple[str, int]]) -> DataFrame:
+    """Bytes of neighbours in the sentence, where tokens know theirs; before the sentence's first token stands that one."""
+    if "byte_start" not in rows.columns:
+        return rows
+    first = F.first("byte_start").over(order())
+    return rows.withColumns({name: F.coalesce(after(c, k), first) if k < 0 else after(c, k) if k else F.col(c) for name, (c, k) in places.items()})
+
+
+def _kept(rows: DataFrame) -> list[str]:
+    return [c for c in ("start_byte", "end_byte", "fix_start", "fix_end") if c in rows.columns]
+
+
 def koto_ga_dekiru(tokens: DataFrame) -> DataFrame:
     """こと, が and a form of できる; not after a causative."""
     names = [("before", "lemma", -1), ("p1", "surface", 1), ("p1_pos", "pos1", 1), ("p2", "surface", 2), ("p2_pos", "pos1", 2)]
     rows = tokens.withColumns({a: after(c, k) for a, c, k in names})
+    rows = _bytes(rows, {"start_byte": ("byte_start", -4), "end_byte": ("byte_end", 2), "fix_start": ("byte_start", -1), "fix_end": ("byte_end", 1)})
     hit = (F.col("surface") == "こと") & (F.col("pos1") == "名詞") & (F.col("p1") == "が") & (F.col("p1_pos") == "助詞") & (F.col("p2_pos") == "動詞") & F.col("p2").startswith("でき")
     rows = rows.filter(hit & ~F.coalesce(F.col("before").isin("せる", "させる"), F.lit(False)))
     # the verb before is する: the phrase can be left out
     shorter = F.when(F.col("before") == "する", F.lit("することが"))
-    return rows.select("doc_id", "sent_idx", "tok_idx", "line", F.concat("surface", "p1", "p2").alias("match"), shorter.alias("preimage"))
+    return rows.select("doc_id", "sent_idx", "tok_idx", "line", F.concat("surface", "p1", "p2").alias("match"), shorter.alias("preimage"), *_kept(rows))
 
 
 def light_verb(tokens: DataFrame) -> DataFrame:
     """A verbal noun, を and a form of 行う; not passive or causative. replacement: する in the same form."""
     names = [("p1", "surface", 1), ("p1_pos", "pos1", 1), ("verb", "surface", 2), ("verb_lemma", "lemma", 2), ("verb_pos", "pos1", 2), ("aux", "lemma", 3)]
     rows = tokens.withColumns({a: after(c, k) for a, c, k in names})
+    rows = _bytes(rows, {"start_byte": ("byte_start", 0), "end_byte": ("byte_end", 2), "fix_start": ("byte_start", 1), "fix_end": ("byte_end", 2)})
     hit = (F.col("pos1") == "名詞") & F.col("pos3").isin("サ変可能", "サ変形状詞可能") & (F.col("p1") == "を") & (F.col("p1_pos") == "助詞") & (F.col("verb_pos") == "動詞") & F.col("verb_lemma").isin("行う", "行なう")
     rows = rows.filter(hit & ~F.coalesce(F.col("aux").isin("れる", "られる", "せる", "させる"), F.lit(False)))
     turned = {"行う": "する", "行い": "し", "行っ": "し", "行なう": "する", "行ない": "し", "行なっ": "し"}
     replacement = F.coalesce(*[F.when(F.col("verb") == a, F.lit(b)) for a, b in turned.items()])
-    return rows.select("doc_id", "sent_idx", "tok_idx", "line", F.concat("surface", "p1", "verb").alias("match"), replacement.alias("replacement"))
+    return rows.select("doc_id", "sent_idx", "tok_idx", "line", F.concat("surface", "p1", "verb").alias("match"), F.concat("p1", "verb").alias("preimage"), replacement.alias("replacement"), *_kept(rows))
 
 
 def inanimate_morph(tokens: DataFrame) -> DataFrame:
@@ -78,9 +95,9 @@ def _apart(tokens: DataFrame, keep: Column) -> DataFrame:
 def no_chain(tokens: DataFrame) -> DataFrame:
     """Three の at most three tokens apart with no punctuation between; the first such place of a sentence."""
     rows = _apart(tokens, (F.col("surface") == "の") & (F.col("pos1") == "助詞"))
-    rows = rows.withColumns({"i1": after("tok_idx"), "i2": after("tok_idx", 2), "m2": after("marks", 2)})
+    rows = _bytes(rows.withColumns({"i1": after("tok_idx"), "i2": after("tok_idx", 2), "m2": after("marks", 2)}), {"start_byte": ("byte_start", 0), "end_byte": ("byte_end", 2)})
     rows = rows.filter((F.col("i1") - F.col("tok_idx") <= 3) & (F.col("i2") - F.col("i1") <= 3) & (F.col("m2") == F.col("marks")))
-    return rows.groupBy(*SENTENCE).agg(F.min("tok_idx").alias("tok_idx"), F.min("line").alias("line"))
+    return rows.groupBy(*SENTENCE).agg(F.min("tok_idx").alias("tok_idx"), F.min("line").alias("line"), *[F.min_by(c, "tok_idx").alias(c) for c in _kept(rows)])
 
 
 def double_negative(tokens: DataFrame) -> DataFrame:
@@ -142,7 +159,7 @@ def endings(tokens: DataFrame, marks: DataFrame) -> DataFrame:
     bare = F.col("last").isNull()
     mode = F.when(asks, "question").when(bare, "other").when(ka, "question").when(tentative.isNotNull(), "tentative").when(noun, "nominal").when(assertive.isNotNull(), "assertive").otherwise("other")
     sign = F.when(asks, "question_mark").when(bare, "other").when(ka, "particle_ka").when(tentative.isNotNull(), tentative).when(noun, "nominal").when(assertive.isNotNull(), assertive).otherwise("other")
-    return sents.select(*SENTENCE, "line", mode.alias("mode"), sign.alias("signature"), F.coalesce("mora", F.lit(0)).alias("mora"))
+    return sents.select(*SENTENCE, "line", mode.alias("mode"), sign.alias("signature"), F.coalesce("mora", F.lit(0)).alias("mora"), F.coalesce(noun, F.lit(False)).alias("noun_ended"))
 
 
 def ending_runs(ends: DataFrame, change: list[str]) -> DataFrame:
@@ -226,20 +243,29 @@ def readability(tokens: DataFrame) -> DataFrame:
     )
 
 
-def token_findings(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Findings of the rules above from tokens, sentences (with sentence, line, end_mark, genre)."""
+def in_line(rows: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Bytes of the sentence as bytes of its line."""
+    at = sentences.select(*SENTENCE, F.col("byte_start").cast("int").alias("_at"))
+    return rows.join(at, SENTENCE).withColumns({c: F.col(c) + F.col("_at") for c in _kept(rows)}).drop("_at")
+
+
+def token_findings(tokens: DataFrame, sentences: DataFrame, lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """Findings of the rules above from tokens, sentences (with sentence, line, end_mark, genre), lines and endings."""
     length = sentences.select(*SENTENCE, t.reading_length(F.col("sentence")).alias("chars"))
     bar = F.when(F.col("items") <= 3, 80).otherwise(50)
+    short = koto_ga_dekiru(tokens)
+    placed = [
+        finding(in_line(short.withColumn("replacement", F.when(F.col("preimage").isNotNull(), F.lit(""))), sentences), "translationese_morph"),
+        finding(in_line(light_verb(tokens), sentences), "redundant_light_verb"),
+        finding(in_line(no_chain(tokens), sentences), "no_chain"),
+    ]
     out = [
-        finding(koto_ga_dekiru(tokens), "translationese_morph", text=F.col("match")),
+        spans.in_lines(union(placed), lines),
         finding(inanimate_morph(tokens), "inanimate_subject_morph", text=F.concat("subject", F.lit("…"), "verb")),
-        finding(light_verb(tokens), "redundant_light_verb", text=F.col("match")),
-        finding(no_chain(tokens), "no_chain"),
         finding(double_negative(tokens), "double_negative"),
         finding(buried_list(tokens).join(length, SENTENCE).filter(F.col("chars") >= bar), "buried_list", value=F.col("items")),
         finding(kanji_runs(sentences, tokens), "kanji_run", text=F.col("run")),
     ]
-    ends = endings(tokens, sentences.select(*SENTENCE, "line", "end_mark")).persist()  # five uses; a row a sentence
     out.append(finding(repeated_mode(ends), "repeated_sentence_mode", text=F.col("signature"), value=F.col("n")))
     out.append(finding(nominal_runs(ends), "consecutive_nominal_endings", value=F.col("n")))
     genres = sentences.select("doc_id", "genre").distinct()
@@ -247,11 +273,12 @@ def token_findings(tokens: DataFrame, sentences: DataFrame) -> DataFrame:
     out.append(finding(lead_counts(tokens).join(genres, "doc_id").filter(F.col("n") >= repeats), "repeated_sentence_lead", text=F.col("lead"), value=F.col("n")))
     out.append(finding(pos_templates(tokens).filter("share >= 0.4").withColumn("line", F.lit(1)), "repeated_syntax_template", text=F.col("template"), value=F.col("share")))
     least = F.coalesce(*[F.when(F.col("genre") == g, F.lit(k)) for g, k in m.NOMINAL_CHARS.items() if g], F.lit(m.NOMINAL_CHARS[None]))
-    per_doc = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("mode") == "nominal").alias("nominal"), F.max("line").alias("line"))
-    chars = sentences.groupBy("doc_id").agg(F.sum(F.length("sentence")).alias("chars"))
+    per_doc = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.count_if("noun_ended").alias("nominal"), F.max("line").alias("line"))
+    chars = sentences.groupBy("doc_id").agg(F.sum(F.length("raw_text")).alias("chars"))
     few = per_doc.join(chars, "doc_id").join(genres, "doc_id").filter((F.col("k") >= 5) & (F.col("chars") >= least) & (F.col("nominal") == 0))
     out.append(finding(few, "nominal_ending", value=F.col("nominal")))
-    total = out[0]
-    for part in out[1:]:
-        total = total.unionByName(part)
-    return total
+    return union(out)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from fumiyomi import model as m
 from fumiyomi.operators.blocks import structured
 from fumiyomi.functions.tokenizer import DEFAULT, token_frame, tokenize
-from fumiyomi.operators import measures, surface, tokens
+from fumiyomi.operators import measures, spans, stats, surface, tokens
 from fumiyomi.operators.frames import paragraphs, sentences
 
 
@@ -42,33 +44,51 @@ def colon_findings(lines: DataFrame, lexicon: str) -> DataFrame:
     return surface.finding(rows.filter(F.try_element_at(solid, F.lit(-1))["pos1"].isin("動詞", "助動詞")), "predicate_colon_lead", text=F.col("label"))
 
 
-def lint(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEFAULT), disabled: list[str] | None = None) -> DataFrame:
-    """Findings of all rules over docs (doc_id, genre, text)."""
+@dataclass
+class Run:
+    """Findings (a row each) and stats (a row a document) of a run; what both read is kept until the cache is cleared."""
+
+    findings: DataFrame
+    stats: DataFrame
+
+
+def analyzed(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEFAULT), disabled: list[str] | None = None) -> Run:
+    """Findings of all rules and statistics of all documents of docs (doc_id, genre, text)."""
     f = frames(docs, lexicon)
     lines, sents, toks = f["lines"], f["sentences"], f["tokens"]
+    ends = tokens.endings(toks, sents.select("doc_id", "sent_idx", "line", "end_mark")).persist(StorageLevel.MEMORY_AND_DISK)  # six uses; a row a sentence
     counts = sents.groupBy("doc_id", "genre").agg(F.count(F.lit(1)).alias("n_sentences"))
     paras = paragraphs(lines)
     para_stats = measures.paragraph_stats(paras).persist(StorageLevel.MEMORY_AND_DISK)
-    mora = toks.groupBy("doc_id", "sent_idx").agg(F.sum(tokens.mora(F.col("reading"))).alias("n"))
+    first = F.min("line").alias("line")
+    mora = ends.select("doc_id", "sent_idx", F.col("mora").alias("n"))
+    opening = sents.groupBy("doc_id").agg(first, F.sum(F.length("raw_text")).alias("chars"))
     chars = sents.select("doc_id", "sent_idx", F.length("raw_text").alias("n"))
     content = toks.filter(F.col("pos1").isin(m.CONTENT_POS))
-    lexical = measures.lexical(content.select("doc_id", F.col("lemma").alias("word"))).join(docs.select("doc_id", F.length("text").alias("chars")), "doc_id")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "tok_idx", "lemma"))), lambda x: x["lemma"])
     spread = content.groupBy("doc_id").agg(in_order.alias("words")).select("doc_id", measures.mtld(F.col("words")).alias("mtld"))
+    lexical = opening.join(measures.lexical(content.select("doc_id", F.col("lemma").alias("word"))), "doc_id", "left").join(spread, "doc_id", "left")
     para_tokens = toks.join(paras.select("doc_id", "line", "para"), ["doc_id", "line"])
     scores = tokens.specificity(para_tokens, para_stats)
     bare = lines.filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))
+    at_opening = lambda stats: stats.join(opening.select("doc_id", "line"), "doc_id")
     parts = [
         surface.structural(docs), surface.boilerplate_heading(lines), colon_findings(lines, lexicon), surface.hype_expression(bare), surface.bullet_styles(lines),
         surface.forbidden_phrase(lines), surface.translationese(lines), surface.antithesis_repetition(lines, counts), surface.inanimate_subject(lines),
-        surface.cleft_because(sents), tokens.token_findings(toks, sents), measures.rhythm(measures.length_stats(mora, ["sent_idx"])),
-        measures.low_variance(measures.length_stats(chars, ["sent_idx"])), measures.low_diversity(lexical.join(spread, "doc_id")),
+        surface.cleft_because(sents), tokens.token_findings(toks, sents, lines, ends), measures.rhythm(at_opening(measures.length_stats(mora, ["sent_idx"]))),
+        measures.low_variance(at_opening(measures.length_stats(chars, ["sent_idx"]))), measures.low_diversity(lexical),
         surface.finding(scores.filter(F.col("score") < m.SPECIFICITY), "low_specificity", text=F.left("text", F.lit(40)), value=F.col("score")),
-        measures.paragraph_rules(para_stats), measures.reading_load(sents),
+        measures.paragraph_rules(para_stats), spans.in_lines(measures.reading_load(sents), lines),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = tokens.union(parts)
     if disabled:
         out = out.filter(~F.col("category").isin(disabled))
-    return policy(out, docs, experimental)
+    templates = tokens.pos_templates(toks).select("doc_id", F.struct(F.col("template").alias("lead_pos_4gram_top"), F.col("share").alias("lead_pos_4gram_ratio")).alias("ngram"))
+    base = stats.document_stats(lines, stats.sentence_measures(sents, toks, ends))
+    whole = stats.merged(docs, [base, stats.structural_stats(docs), templates, stats.lexical_stats(lexical), stats.specificity_stats(scores)])
+    return Run(policy(out, docs, experimental), whole.withColumn("experimental", F.lit(experimental)))
+
+
+def lint(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEFAULT), disabled: list[str] | None = None) -> DataFrame:
+    """Findings of all rules over docs (doc_id, genre, text)."""
+    return analyzed(docs, experimental, lexicon, disabled).findings

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
-from fumiyomi.operators import calibrate, compare, extract, measures, outline, surface, terms, tokens
+from fumiyomi.operators import calibrate, compare, extract, measures, outline, stats, surface, terms, tokens
 from fumiyomi.operators.blocks import structured, uncommented
 from fumiyomi.operators.frames import lines, paragraphs, sentence_rows, sentences
 from fumiyomi.plans import derived as dv
@@ -361,14 +361,14 @@ def _count_sql(c: str = "masked") -> str:
 
 @query("WITH " + FIXM + f" SELECT doc_id, line::BIGINT AS line, phrase, {_count_sql()}::BIGINT AS n, phrase IN {tuple(m.WEAK_PHRASES)!r} AS weak FROM x, {_phrase_sql(m.PHRASES)} WHERE contains(masked, phrase)")
 def forbidden_phrases(spark, sf):
-    found = surface.forbidden_phrase(_lines(spark, sf))
-    return found.groupBy("doc_id", long("line"), F.col("excerpt").alias("phrase")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("severity") == "info").alias("weak"))
+    found = surface.phrase_rows(_lines(spark, sf), m.PHRASES, "masked")
+    return found.groupBy("doc_id", long("line"), "phrase").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("phrase").isin(m.WEAK_PHRASES)).alias("weak"))
 
 
 @query("WITH " + FIXM + f" SELECT doc_id, line::BIGINT AS line, p AS pattern, len(regexp_extract_all(masked, p))::BIGINT AS n FROM x, (SELECT unnest({m.TRANSLATIONESE!r}) AS p) WHERE regexp_matches(masked, p)")
 def translationese(spark, sf):
-    found = surface.translationese(_lines(spark, sf))
-    pattern = t.first_of(F.col("excerpt"), m.TRANSLATIONESE, lambda c, p: c.rlike(f"^(?:{p})\\z"))
+    found = surface.located(_lines(spark, sf), m.TRANSLATIONESE)
+    pattern = F.get(F.array(*[F.lit(p) for p in m.TRANSLATIONESE]), F.col("pattern"))
     return found.groupBy("doc_id", long("line"), pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -401,7 +401,7 @@ def cleft_because(spark, sf):
 def hype(spark, sf):
     """Outside fences and quotes."""
     bare = _lines(spark, sf).filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))
-    return surface.hype_expression(bare).groupBy("doc_id", long("line"), F.col("excerpt").alias("phrase")).agg(F.count(F.lit(1)).alias("n"))
+    return surface.phrase_rows(bare, m.HYPE, "masked").groupBy("doc_id", long("line"), "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH " + FIXL + r""" SELECT doc_id, line::BIGINT AS line, 1::BIGINT AS n FROM l WHERE regexp_matches(raw, '^\s*#{1,6}([\t\f\r ]|$)')
@@ -447,6 +447,62 @@ def reading_load(spark, sf):
     return measures.reading_load(sents).select("doc_id", long("line"), "category", "value")
 
 
+PIECES = r"""
+sg AS (SELECT doc_id, line, unnest(q) AS seg, generate_subscripts(q, 1) AS pos FROM (SELECT doc_id, line, regexp_extract_all(masked, '[^。！？!?]*[。！？!?]|[^。！？!?]+') AS q FROM bl)),
+sx AS (SELECT doc_id, line, pos, regexp_extract(seg, '[。！？!?]$') AS mark, regexp_replace(seg, '[。！？!?]$', '') AS body, regexp_replace(regexp_replace(seg, '[。！？!?]$', ''), '^\s+|\s+$', '', 'g') AS sentence,
+  coalesce(sum(strlen(seg)) OVER (PARTITION BY doc_id, line ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skipped FROM sg),
+se AS MATERIALIZED (SELECT sx.doc_id, sx.line, row_number() OVER (PARTITION BY sx.doc_id ORDER BY sx.line, pos) AS k, sentence, mark,
+  regexp_replace(decode(encode(raw)[skipped + 1:skipped + strlen(body)]), '^\s+|\s+$', '', 'g') AS raw_text FROM sx JOIN bl ON bl.doc_id = sx.doc_id AND bl.line = sx.line WHERE sentence <> '')"""
+MODE_SQL = f"CASE WHEN mark IN ('？', '?') THEN 'question' WHEN regexp_matches(sentence, '({alt(m.TENTATIVE)})$') THEN 'tentative' WHEN regexp_matches(sentence, '({alt(m.ASSERTIVE)})$') THEN 'assertive' ELSE 'other' END"
+_MODES = ["assertive", "tentative", "question", "nominal", "other"]
+
+
+@query("WITH " + FIXM + ", " + PIECES + f""", sm AS (SELECT *, length(raw_text) AS n, {MODE_SQL} AS mode, regexp_matches(sentence, '^({alt(m.CONJUNCTIONS)})') AS conj, {", ".join(f"len(regexp_extract_all(sentence, '{p}')) AS {k}" for k, p in (("kanji", "[一-鿿々]+"), ("hiragana", "[ぁ-ゖ]+"), ("katakana", "[ァ-ヶー]+"), ("ascii", "[!-~]+")))} FROM se),
+ch AS (SELECT *, lead(n) OVER w AS after, coalesce(mode <> lag(mode) OVER w OR line > lag(line) OVER w + 1, true) AS new FROM sm WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+rn AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM ch), rl AS (SELECT doc_id, mode, max(c) AS longest FROM (SELECT doc_id, mode, run, count(*) AS c FROM rn GROUP BY ALL) GROUP BY ALL),
+gp AS (SELECT *, sum((regexp_full_match(masked, '\\s*'))::INT) OVER (PARTITION BY doc_id ORDER BY line) AS gap FROM bl),
+pl AS (SELECT doc_id, line, dense_rank() OVER (PARTITION BY doc_id ORDER BY gap) AS para, regexp_replace(masked, '^\\s+', '') AS head FROM gp WHERE NOT regexp_full_match(masked, '\\s*')),
+pp AS (SELECT pl.doc_id, para, coalesce(sum(c), 0) AS n, regexp_matches(arg_min(head, line), '^({alt(m.CONJUNCTIONS)})') AS led FROM pl LEFT JOIN (SELECT doc_id, line, count(*) AS c FROM se GROUP BY ALL) USING (doc_id, line) GROUP BY ALL),
+pd AS (SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (led) AS opened, array_to_string(list(n::BIGINT ORDER BY para), ',') AS spread, CASE WHEN count(*) >= 4 THEN coalesce(stddev_pop(n) / nullif(avg(n), 0), 0) END AS cv FROM pp GROUP BY doc_id),
+sd AS (SELECT doc_id, count(*) AS sentences, count(*) FILTER (conj) AS conjunctions, avg(n) AS mean, stddev_pop(n) AS sigma, count(after) AS pairs, covar_pop(CASE WHEN after IS NOT NULL THEN n END, after) AS cov, stddev_pop(CASE WHEN after IS NOT NULL THEN n END) AS sx, stddev_pop(after) AS sy,
+  sum(kanji) / nullif(sum(kanji + hiragana + katakana + ascii), 0) AS kanji, sum(ascii) / nullif(sum(kanji + hiragana + katakana + ascii), 0) AS ascii, {", ".join(f"count(*) FILTER (mode = '{k}') AS is_{k}" for k in _MODES)} FROM ch GROUP BY doc_id),
+ml AS (SELECT doc_id, count(*) FILTER (kind = 'reference') AS reference_lines, count(*) FILTER (kind = 'code_note') AS notes FROM bl GROUP BY doc_id)
+SELECT ml.doc_id, coalesce(sentences, 0) AS sentences, coalesce(paragraphs, 0) AS paragraphs, coalesce(opened, 0) AS opened, round(coalesce(opened / nullif(paragraphs, 0), 0.0), 6) AS opened_ratio, coalesce(spread, '') AS spread, round(cv, 6) AS cv, reference_lines, notes,
+  coalesce(conjunctions, 0) AS conjunctions, round(conjunctions / nullif(sentences, 0), 6) AS conjunction_ratio, round(CASE WHEN kanji IS NOT NULL THEN mean END, 6) AS mean_chars, round(kanji, 6) AS kanji, round(ascii, 6) AS ascii,
+  CASE WHEN sentences >= 6 THEN round(mean, 6) END AS mora_mean, CASE WHEN sentences >= 6 THEN round(sigma, 6) END AS mora_stdev, CASE WHEN sentences >= 6 THEN round((sigma - mean) / (sigma + mean), 6) END AS burstiness,
+  CASE WHEN sentences >= 6 AND pairs >= 4 AND sx > 0 AND sy > 0 THEN round(cov / (sx * sy), 6) END AS lag1, {", ".join(f"coalesce(is_{k}, 0) AS n_{k}, coalesce((SELECT longest FROM rl WHERE rl.doc_id = ml.doc_id AND rl.mode = '{k}'), 0) AS run_{k}" for k in _MODES)}
+FROM ml LEFT JOIN pd USING (doc_id) LEFT JOIN sd USING (doc_id)""")
+def document_stats(spark, sf):
+    """All statistics of articles that need no tokenizer, by one exchange."""
+    lined = _lines(spark, sf)
+    s = stats.document_stats(lined, stats.surface_measures(sentences(lined)))
+    at = lambda path: F.col(f"stats.{path}")
+    whole = {"sentences": "total_sentences", "paragraphs": "total_paragraphs", "opened": "paragraph_lead_conjunction_count", "reference_lines": "masking.reference_lines", "notes": "masking.code_annotation_lines", "conjunctions": "conjunction.sentence_lead_conjunction_count"}
+    whole |= {f"n_{k}": f"rhythm.sentence_endings.counts.{k}" for k in stats.MODES} | {f"run_{k}": f"rhythm.sentence_endings.longest_runs.{k}" for k in stats.MODES}
+    real = {"opened_ratio": "paragraph_lead_conjunction_ratio", "cv": "paragraph_sentence_count_cv", "conjunction_ratio": "conjunction.sentence_lead_conjunction_ratio", "mean_chars": "readability.mean_sentence_chars", "kanji": "readability.script_kanji_token_ratio", "ascii": "readability.script_ascii_token_ratio"}
+    real |= {"mora_mean": "rhythm.mora_mean", "mora_stdev": "rhythm.mora_stdev", "burstiness": "rhythm.burstiness", "lag1": "rhythm.length_autocorrelation_lag1"}
+    spread = F.array_join(at("paragraph_sentence_counts").cast("array<string>"), ",").alias("spread")
+    return s.select("doc_id", spread, *[at(p).alias(k) for k, p in whole.items()], *[r6(at(p)).alias(k) for k, p in real.items()])
+
+
+def _places_sql(source: str, words: list[str], category: str, where: str = "true") -> str:
+    """Every place of every phrase: bytes in the line, columns and excerpt from the raw line's bytes."""
+    return f"""SELECT doc_id, line, '{category}' AS category, start_byte, start_byte + strlen(phrase) AS end_byte, raw FROM (
+  SELECT *, (list_sum(list_transform(p[1:i], lambda y: strlen(y))) + (i - 1) * strlen(phrase))::BIGINT AS start_byte FROM (SELECT *, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, line, raw, phrase, string_split({source}, phrase) AS p FROM x, {_phrase_sql(words)} WHERE contains({source}, phrase) AND {where})))"""
+
+
+@query("WITH " + FIXM + ", pl AS (" + _places_sql("masked", m.PHRASES, "forbidden_phrase") + " UNION ALL " + _places_sql("raw", m.HYPE, "hype_expression", "kind NOT IN ('fence', 'quote')") + """),
+c AS (SELECT *, decode(encode(raw)[1:start_byte]) AS before, decode(encode(raw)[start_byte + 1:end_byte]) AS inside, decode(encode(raw)[end_byte + 1:]) AS after FROM pl)
+SELECT doc_id, line::BIGINT AS line, category, start_byte, end_byte, length(before) + 1 AS start_column, length(before) + length(inside) + 1 AS end_column,
+  regexp_replace(right(before, 10) || inside || left(after, 10), '^\\s+|\\s+$', '', 'g') AS excerpt FROM c""")
+def finding_spans(spark, sf):
+    """Bytes, columns and excerpts of findings with a place; masks keep bytes and not code points."""
+    lined = _lines(spark, sf)
+    bare = lined.filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))
+    found = surface.forbidden_phrase(lined).unionByName(surface.hype_expression(bare))
+    return found.select("doc_id", long("line"), "category", *[long(c) for c in ("start_byte", "end_byte", "start_column", "end_column")], "excerpt")
+
+
 # ---- outline and terms
 
 OUTLINE = r"""

@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import random
+import statistics
 
 import pytest
 from hypothesis import given, settings
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from fumiyomi import cli
 from fumiyomi import model as m
 from fumiyomi.functions import text, tokenizer
-from fumiyomi.operators import blocks, calibrate, compare, extract, measures, outline, surface, tokens
+from fumiyomi.operators import blocks, calibrate, compare, extract, measures, outline, spans, stats, surface, tokens
 from fumiyomi.operators.frames import paragraphs, sentences
 from fumiyomi.plans.lint import lint
 from fumiyomi.sources import readers, sinks
@@ -87,7 +88,7 @@ def test_counts_made_by_hand(spark):
         (1, "lead", "革命的な方法だ。"), (6, "lead", "最強の本だ。"),
     ]
     bare = rows.filter("doc_id = 'd09'").filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))
-    assert sorted((r["line"], r["phrase"]) for r in surface.hype_expression(bare).withColumnRenamed("excerpt", "phrase").collect()) == [(1, "劇的に"), (1, "圧倒的な"), (1, "革命的"), (6, "最強の")]
+    assert sorted((r["line"], r["phrase"]) for r in surface.phrase_rows(bare, m.HYPE, "masked").collect()) == [(1, "劇的に"), (1, "圧倒的な"), (1, "革命的"), (6, "最強の")]
     even = measures.paragraph_rules(measures.paragraph_stats(paragraphs(rows.filter("doc_id = 'd10'"))))
     assert sorted((r["category"], r["line"], r["value"]) for r in even.collect()) == [("paragraph_lead_conjunction", 1, 0.5), ("paragraph_lead_conjunction", 3, 0.5), ("uniform_paragraph_structure", 1, 0.0)]
     toks = fx.token_frame(spark)
@@ -217,7 +218,7 @@ def test_baseline_and_config(spark, prose, tmp_path):
     again = json.loads(run(spark, "lint", str(prose), "--json", "--no-config", "--baseline", str(tmp_path / "before.json"))[1])
     assert set(again["comparison"]) == {"persisting"}
     conf = tmp_path / "c.toml"
-    conf.write_text('version = 1\ndisabled_rules = ["redundant_light_verb"]\n[[allow]]\ncategory = "forbidden_phrase"\ntext = "さて"\nreason = "style"\n', encoding="utf-8")
+    conf.write_text('version = 1\ndisabled_rules = ["redundant_light_verb"]\n[[allow]]\ncategory = "forbidden_phrase"\ntext = "総じて良い"\nreason = "style"\n', encoding="utf-8")
     report = json.loads(run(spark, "lint", str(prose), "--json", "--config", str(conf))[1])
     assert report["stats"]["by_category"].get("forbidden_phrase") == 2 and "redundant_light_verb" not in report["stats"]["by_category"]
     for bad in ("version = 2", 'disabled_rules = ["nope"]', "odd = 1", '[[allow]]\ncategory = "no_chain"\ntext = " "\nreason = "x"'):
@@ -226,6 +227,85 @@ def test_baseline_and_config(spark, prose, tmp_path):
             readers.config(str(conf))
 
 
+def test_reports_hold_places_suggestions_and_stats(spark, tmp_path):
+    path = tmp_path / "s.md"
+    path.write_text("# 題\n<b>印</b>調査することができる。検証を行う。\n[1] 文献\n\nしかし雨だ。本を読む？\n", encoding="utf-8")
+    report = json.loads(run(spark, "lint", str(path), "--json", "--no-config")[1])
+    found = {f["category"]: f for f in report["findings"]}
+    raw = path.read_text(encoding="utf-8").split("\n")
+    for f in report["findings"] + report["reading_load"]["findings"]:
+        if span := f.get("span"):
+            line = raw[span["start_line"] - 1]
+            assert line.encode()[span["start_byte"] : span["end_byte"]].decode() == line[span["start_column"] - 1 : span["end_column"] - 1]
+    fix = found["redundant_light_verb"]["suggestion"]
+    assert (fix["preimage"], fix["replacement"]) == ("を行う", "する") and raw[1][fix["span"]["start_column"] - 1 : fix["span"]["end_column"] - 1] == "を行う"
+    assert (found["translationese_morph"]["suggestion"]["preimage"], found["translationese_morph"]["suggestion"]["replacement"]) == ("することが", "")
+    stats = report["stats"]
+    assert (stats["total_sentences"], stats["total_paragraphs"], stats["paragraph_sentence_counts"], stats["paragraph_lead_conjunction_count"]) == (4, 2, [2, 2], 1)
+    assert stats["masking"] == {"reference_lines": 1, "code_annotation_lines": 0} and stats["conjunction"] == {"sentence_lead_conjunction_count": 1, "sentence_lead_conjunction_ratio": 0.25}
+    assert stats["lexical_diversity"]["skipped_too_short"] and stats["rhythm"]["sentence_endings"]["counts"]["question"] == 1 and "burstiness" not in stats["rhythm"]
+    assert report["reading_load"]["stats"] == {"total": 0, "sentences": 4, "by_category": {}}
+    region = json.loads(run(spark, "lint", str(path), "--no-config", "--format", "sarif")[1])["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["region"]
+    assert set(region) == {"startLine", "startColumn", "endLine", "endColumn"}
+    assert ",endLine=2,col=" in run(spark, "lint", str(path), "--no-config", "--format", "github")[1]
+
+
+def test_places_are_null_off_boundaries(spark):
+    rows = spark.createDataFrame([("aé日😀z", a, b) for a in range(-1, 13) for b in range(-1, 13)], "raw string, start_byte int, end_byte int")
+    for r in spans.with_columns(rows).withColumn("x", spans.excerpt(F.col("raw"), F.col("start_byte"), F.col("end_byte"), 1)).collect():
+        starts, a, b = [0, 1, 3, 6, 10, 11], r["start_byte"], r["end_byte"]
+        whole = a in starts and b in starts and a < b
+        assert (r["start_column"], r["end_column"]) == ((starts.index(a) + 1, starts.index(b) + 1) if whole else (None, None))
+        if whole:
+            assert r["x"] == "aé日😀z"[max(0, starts.index(a) - 1) : starts.index(b) + 1]
+
+
+def test_statistics_are_those_of_a_loop(spark):
+    """Sums by paragraph and document, runs, and the sentence before, for documents without sentences, too."""
+    rng = random.Random(8)
+    lines, sents = [], []
+    for doc in range(30):
+        k = 0
+        for line in range(1, rng.randint(1, 40)):
+            kind = rng.choice(["text", "text", "text", "blank", "reference", "code_note"])
+            body = "しかし本" if rng.random() < 0.3 else "本"
+            lines.append((doc, line, body if kind == "text" else "", kind))
+            for _ in range(rng.randint(0, 3) if kind == "text" and doc else 0):
+                k += 1
+                sents.append((doc, line, k, rng.randint(1, 50), rng.randint(0, 40), rng.choice(stats.MODES[:3]), rng.random() < 0.2, rng.random() < 0.2, *[rng.randint(0, 9) for _ in stats.COUNTS]))
+    got = {r["doc_id"]: r["stats"] for r in stats.document_stats(
+        spark.createDataFrame(lines, "doc_id int, line int, masked string, kind string").repartition(5),
+        spark.createDataFrame(sents, "doc_id int, line int, sent_idx int, chars long, mora long, mode string, noun_ended boolean, conjunction boolean, " + ", ".join(f"{c} long" for c in stats.COUNTS)).repartition(7),
+    ).collect()}
+    assert set(got) == {x[0] for x in lines}
+    for doc, s in got.items():
+        own, said = sorted(x for x in lines if x[0] == doc), sorted((x for x in sents if x[0] == doc), key=lambda x: x[2])
+        paras, last = [], True
+        for x in own:
+            if x[2] and last:
+                paras.append([x])
+            elif x[2]:
+                paras[-1].append(x)
+            last = not x[2]
+        sizes = [sum(y[1] in {x[1] for x in p} for y in said) for p in paras]
+        assert (s["total_sentences"], s["total_paragraphs"], list(s["paragraph_sentence_counts"])) == (len(said), len(paras), sizes)
+        assert s["paragraph_lead_conjunction_count"] == sum(p[0][2].startswith("しかし") for p in paras)
+        assert s["masking"]["reference_lines"] == sum(x[3] == "reference" for x in own)
+        runs, before = dict.fromkeys(stats.MODES, 0), None
+        for x in said:
+            n = n + 1 if before and before[5] == x[5] and x[1] <= before[1] + 1 else 1
+            runs[x[5]], before = max(runs[x[5]], n), x
+        assert s["rhythm"]["sentence_endings"]["longest_runs"].asDict() == runs
+        mora = [x[4] for x in said]
+        if len(mora) >= 6:
+            assert s["rhythm"]["mora_stdev"] == pytest.approx(statistics.pstdev(mora))
+            assert s["rhythm"]["length_autocorrelation_lag1"] == pytest.approx(statistics.correlation(mora[:-1], mora[1:]))
+        else:
+            assert s["rhythm"]["mora_mean"] is None
+        if len(paras) >= 4 and sum(sizes):
+            assert s["paragraph_sentence_count_cv"] == pytest.approx(statistics.pstdev(sizes) / statistics.fmean(sizes))
+
+
 def test_outline_and_terms_commands(spark, tmp_path):
     path = tmp_path / "b.md"
     path.write_text("# 題\nコンピューターとAPIを使う。APIは速い。\n- 一つ\n- 二つ\n", encoding="utf-8")
