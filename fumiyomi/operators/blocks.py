@@ -156,14 +156,6 @@ def kind_of(bare: Column) -> Column:
     return out.otherwise("text")
 
 
-def inline(bare: Column) -> Column:
-    """A line with code, tags and addresses of links as blanks."""
-    masked = bare
-    for sign, pattern in (("`", CODE), ("<", TAG), ("](", URL)):
-        masked = F.when(F.contains(masked, F.lit(sign)), blanked(masked, pattern)).otherwise(masked)
-    return masked
-
-
 def structured(docs: DataFrame, keep_headings: bool = False) -> DataFrame:
     """docs with one row a line: line, raw, masked and kind take the place of text. A null text has no lines."""
     rest = [c for c in docs.columns if c != "text"]
@@ -177,4 +169,7 @@ def structured(docs: DataFrame, keep_headings: bool = False) -> DataFrame:
     kind = F.when(F.col("_state") == -1, "front_matter").when(F.col("_state") > 0, "fence").otherwise(kind_of(F.col("_bare")))
     rows = rows.withColumn("kind", kind)
     open_ = F.col("kind").isin("text", "blank", "heading") if keep_headings else F.col("kind").isin("text", "blank")
-    return rows.select(*rest, "line", "raw", F.when(open_, inline(F.col("_bare"))).otherwise("").alias("masked"), "kind")
+    rows = rows.withColumn("masked", F.when(open_, F.col("_bare")).otherwise(""))
+    for sign, pattern in (("`", CODE), ("<", TAG), ("](", URL)):  # a column a step: each names the one before several times
+        rows = rows.withColumn("masked", F.when(F.contains("masked", F.lit(sign)), blanked(F.col("masked"), pattern)).otherwise(F.col("masked")))
+    return rows.select(*rest, "line", "raw", "masked", "kind")

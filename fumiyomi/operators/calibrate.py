@@ -28,6 +28,29 @@ def sweep(metric: DataFrame, thresholds: list[float], below: bool = True) -> Dat
     return rows.groupBy("threshold", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(hit, F.lit(False))).alias("fired"))
 
 
+def curve(values: DataFrame, domains: dict[str, list[float]], buckets: int = 256) -> DataFrame:
+    """category, split, label, threshold, n, below and at_most: how many values lie below a threshold and not above it, for every
+    threshold of every category (domains) at once. values: category, split, label, value.
+
+    Equal values become one row with a count; thresholds join them as rows that count nothing, so a running sum in the order of
+    values answers all of them. Values are dealt to buckets between quantiles of their category, running sums stay inside a bucket,
+    and the sums of whole buckets, a few rows a group, are added: no group of any size is one task's."""
+    by = ["category", "split", "label"]
+    per = values.filter(F.col("category").isin(list(domains))).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("k"))
+    cuts = per.groupBy("category").agg(F.percentile_approx("value", [(i + 1) / buckets for i in range(buckets - 1)], F.lit(10_000)).alias("cuts"))
+    listed = F.map_from_arrays(F.array(*[F.lit(c) for c in domains]), F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in domains.values()]))
+    asked = per.select(*by).distinct().select(*by, F.explode(listed[F.col("category")]).alias("threshold"))
+    rows = per.select(*by, "value", "k", F.lit(None).cast("double").alias("threshold")).unionByName(asked.select(*by, F.col("threshold").alias("value"), F.lit(0).cast("long").alias("k"), "threshold"))
+    rows = rows.join(F.broadcast(cuts), "category")  # a row of so many numbers for each category of domains
+    rows = rows.withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    inside = Window.partitionBy(*by, "bucket").orderBy("value")
+    told = rows.select(*by, "bucket", "threshold", "value", F.sum("k").over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("k").over(Window.partitionBy(*by, "bucket", "value")).alias("here"))
+    whole = rows.groupBy(*by, "bucket").agg(F.sum("k").alias("k"))
+    before = whole.select(*by, "bucket", F.coalesce(F.sum("k").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.sum("k").over(Window.partitionBy(*by)).alias("n"))
+    out = told.filter("threshold is not null").join(before, [*by, "bucket"])
+    return out.select(*by, "threshold", "n", (F.col("earlier") + F.col("upto") - F.col("here")).alias("below"), (F.col("earlier") + F.col("upto")).alias("at_most"))
+
+
 def calibrated(swept: DataFrame, most_false: float, positive: str, negative: str) -> DataFrame:
     """Each threshold with its detection and the upper bound of its false rate; the feasible one of most detection is chosen, of equal ones the least threshold."""
     pick = lambda l, c: F.max(F.when(F.col("label") == l, F.col(c)))

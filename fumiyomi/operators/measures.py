@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,31 +43,41 @@ def low_variance(stats: DataFrame) -> DataFrame:
     return finding(rows, "low_sentence_variance", value=F.col("cv"))
 
 
-def mtld_of(words: list[str], factor: float = m.MTLD_FACTOR) -> float | None:
-    """Mean length of runs over which the share of different words stays above factor, forwards and back; none under 20 words."""
-    if len(words) < 20:
-        return None
-    total = 0.0
-    for order in (words, words[::-1]):
-        factors, n, seen = 0.0, 0, set()
-        for w in order:
-            seen.add(w)
-            n += 1
-            if len(seen) / n < factor:
-                factors, n, seen = factors + 1, 0, set()
-        if n:
-            factors += (1 - len(seen) / n) / (1 - factor)
-        total += len(words) / factors if factors > 0 else len(words)
-    return total / 2
-
-
-def _mtld(words: pd.Series) -> pd.Series:
-    return pd.Series([None if w is None else mtld_of(list(w)) for w in words], dtype="float64")
-
-
-def mtld(words: Column) -> Column:
-    """mtld_of over an array. Order matters and the set of words seen is the state: as a native fold each word would copy it."""
-    return F.pandas_udf(_mtld, "double")(words)
+def mtld(words: DataFrame, order: list[str], factor: float = m.MTLD_FACTOR) -> DataFrame:
+    """doc_id and mtld of words (doc_id, word, columns of order): the mean length of runs until the share of different words falls to
+    factor, forwards and back; null under 20 words.
+
+    Whether a word is new in the run is whether it was last seen before the run's begin. So each word takes along where it was
+    seen last and will be next (a window by word), and a run is three numbers, whatever words it has: a native fold over numbers, with
+    no set of words to carry, and no string once the windows are done."""
+    place = Window.partitionBy("doc_id").orderBy(*order)
+    rows = words.withColumn("at", F.row_number().over(place))
+    same = Window.partitionBy("doc_id", "word").orderBy("at")
+    rows = rows.select("doc_id", "at", F.coalesce(F.lag("at").over(same), F.lit(0)).alias("before"), F.lead("at").over(same).alias("after"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "before", "after"))).alias("w"))
+    n = F.size("w")
+    # counted from the end, the next place is the one before
+    back = F.transform(F.reverse("w"), lambda x: F.struct((n - x["at"] + 1).alias("at"), F.coalesce(n - x["after"] + 1, F.lit(0)).alias("before")))
+    mean = (n / _factors(F.col("w"), factor) + n / _factors(back, factor)) / 2
+    return docs.select("doc_id", F.when(n >= 20, mean).alias("mtld"))
+
+
+def _factors(places: Column, factor: float) -> Column:
+    """How often the share falls to factor, the last run in part; 1 where it never does at all."""
+    state = "struct<begin:int,types:int,n:double>"
+
+    def step(s: Column, x: Column) -> Column:
+        types = s["types"] + (x["before"] < s["begin"]).cast("int")
+        full = types / (x["at"] - s["begin"] + 1) <= factor
+        return F.struct(F.when(full, x["at"] + 1).otherwise(s["begin"]).alias("begin"), F.when(full, F.lit(0)).otherwise(types).alias("types"), (s["n"] + full.cast("int")).alias("n")).cast(state)
+
+    def rest(s: Column) -> Column:
+        left = F.size(places) - s["begin"] + 1
+        part = F.least((1 - s["types"] / left) / (1 - factor), F.lit(1.0))
+        total = s["n"] + F.when(left > 0, part).otherwise(0.0)
+        return F.when(total > 0, total).otherwise(1.0)
+
+    return F.aggregate(places, F.struct(F.lit(1).alias("begin"), F.lit(0).alias("types"), F.lit(0.0).alias("n")).cast(state), step, rest)
 
 
 def lexical(words: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -46,10 +48,14 @@ def colon_findings(lines: DataFrame, lexicon: str) -> DataFrame:
 
 @dataclass
 class Run:
-    """Findings (a row each) and stats (a row a document) of a run; what both read is kept until the cache is cleared."""
+    """Findings (a row each) and stats (a row a document; planned when asked for) of a run; what both read is kept until the cache is cleared."""
 
     findings: DataFrame
-    stats: DataFrame
+    measure: Callable[[], DataFrame]
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.measure()
 
 
 def analyzed(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEFAULT), disabled: list[str] | None = None) -> Run:
@@ -65,8 +71,7 @@ def analyzed(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEF
     opening = sents.groupBy("doc_id").agg(first, F.sum(F.length("raw_text")).alias("chars"))
     chars = sents.select("doc_id", "sent_idx", F.length("raw_text").alias("n"))
     content = toks.filter(F.col("pos1").isin(m.CONTENT_POS))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "tok_idx", "lemma"))), lambda x: x["lemma"])
-    spread = content.groupBy("doc_id").agg(in_order.alias("words")).select("doc_id", measures.mtld(F.col("words")).alias("mtld"))
+    spread = measures.mtld(content.select("doc_id", F.col("lemma").alias("word"), "sent_idx", "tok_idx"), ["sent_idx", "tok_idx"])
     lexical = opening.join(measures.lexical(content.select("doc_id", F.col("lemma").alias("word"))), "doc_id", "left").join(spread, "doc_id", "left")
     para_tokens = toks.join(paras.select("doc_id", "line", "para"), ["doc_id", "line"])
     scores = tokens.specificity(para_tokens, para_stats)
@@ -83,10 +88,14 @@ def analyzed(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEF
     out = tokens.union(parts)
     if disabled:
         out = out.filter(~F.col("category").isin(disabled))
-    templates = tokens.pos_templates(toks).select("doc_id", F.struct(F.col("template").alias("lead_pos_4gram_top"), F.col("share").alias("lead_pos_4gram_ratio")).alias("ngram"))
-    base = stats.document_stats(lines, stats.sentence_measures(sents, toks, ends))
-    whole = stats.merged(docs, [base, stats.structural_stats(docs), templates, stats.lexical_stats(lexical), stats.specificity_stats(scores)])
-    return Run(policy(out, docs, experimental), whole.withColumn("experimental", F.lit(experimental)))
+
+    def measure() -> DataFrame:
+        templates = tokens.pos_templates(toks).select("doc_id", F.struct(F.col("template").alias("lead_pos_4gram_top"), F.col("share").alias("lead_pos_4gram_ratio")).alias("ngram"))
+        base = stats.document_stats(lines, stats.sentence_measures(sents, toks, ends))
+        whole = stats.merged(docs, [base, stats.structural_stats(docs), templates, stats.lexical_stats(lexical), stats.specificity_stats(scores)])
+        return whole.withColumn("experimental", F.lit(experimental))
+
+    return Run(policy(out, docs, experimental), measure)
 
 
 def lint(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEFAULT), disabled: list[str] | None = None) -> DataFrame:

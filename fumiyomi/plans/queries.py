@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
-from fumiyomi.operators import calibrate, compare, extract, measures, outline, stats, surface, terms, tokens
+from fumiyomi.operators import calibrate, compare, extract, measures, outline, phrases, stats, surface, terms, tokens
 from fumiyomi.operators.blocks import structured, uncommented
 from fumiyomi.operators.frames import lines, paragraphs, sentence_rows, sentences
 from fumiyomi.plans import derived as dv
@@ -154,11 +154,22 @@ def low_lexical_diversity_ttr(spark, sf):
     return measures.low_diversity(stats).select("doc_id", r6(F.col("value")).alias("value"))
 
 
-@query()
+def _factors_sql(places: str) -> str:
+    """A fold over places: begin of the run, different words in it, runs that have ended."""
+    folded = f"""list_reduce({places}, lambda s, x: CASE WHEN (s.t + (x.p < s.b)::INT) / (x.k - s.b + 1) <= 0.72 THEN {{'k': x.k, 'p': x.p, 'b': x.k + 1, 't': 0, 'f': s.f + 1}}
+      ELSE {{'k': x.k, 'p': x.p, 'b': s.b, 't': s.t + (x.p < s.b)::INT, 'f': s.f}} END, {{'k': 0::BIGINT, 'p': 0::BIGINT, 'b': 1::BIGINT, 't': 0::BIGINT, 'f': 0::BIGINT}})"""
+    return folded
+
+
+@query(rf"""WITH w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS ix FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+p AS (SELECT doc_id, ix, coalesce(lag(ix) OVER s, 0) AS before, lead(ix) OVER s AS after, count(*) OVER (PARTITION BY doc_id) AS n FROM w WINDOW s AS (PARTITION BY doc_id, word ORDER BY ix)),
+l AS (SELECT doc_id, n, list({{'k': ix::BIGINT, 'p': before::BIGINT, 'b': 0::BIGINT, 't': 0::BIGINT, 'f': 0::BIGINT}} ORDER BY ix) AS fw, list({{'k': (n - ix + 1)::BIGINT, 'p': coalesce(n - after + 1, 0)::BIGINT, 'b': 0::BIGINT, 't': 0::BIGINT, 'f': 0::BIGINT}} ORDER BY ix DESC) AS bw FROM p GROUP BY ALL),
+e AS (SELECT doc_id, n, {_factors_sql("fw")} AS f, {_factors_sql("bw")} AS b FROM l),
+g AS (SELECT doc_id, n, f.f + CASE WHEN n >= f.b THEN least((1 - f.t / (n - f.b + 1)) / (1 - 0.72), 1.0) ELSE 0 END AS ff, b.f + CASE WHEN n >= b.b THEN least((1 - b.t / (n - b.b + 1)) / (1 - 0.72), 1.0) ELSE 0 END AS bf FROM e)
+SELECT doc_id, CASE WHEN n >= 20 THEN round((n / CASE WHEN ff > 0 THEN ff ELSE 1 END + n / CASE WHEN bf > 0 THEN bf ELSE 1 END) / 2, 6) END AS mtld FROM g""")
 def mtld(spark, sf):
-    """Order matters, so SQL gives no such fold: held against another loop in the tests."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)
-    return documents(spark, sf).select("doc_id", r6(measures.mtld(words)).alias("mtld"))
+    words = documents(spark, sf).select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("nth", "word"))
+    return measures.mtld(words, ["nth"]).select("doc_id", r6(F.col("mtld")).alias("mtld"))
 
 
 @query(r"""
@@ -170,6 +181,20 @@ def acronyms(spark, sf):
     return terms.acronyms(lines(documents(spark, sf))).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+PHRASES_SQL = r"""ph AS (SELECT DISTINCT array_to_string(w[i:i + 3], ' ') AS phrase FROM (SELECT w, unnest(range(1, len(w) - 2, 4)) AS i FROM (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark))),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents)"""
+
+
+@query("WITH " + PHRASES_SQL + " SELECT phrase, count(DISTINCT doc_id) AS docs, sum((length(raw) - length(replace(raw, phrase, ''))) // length(phrase))::BIGINT AS n FROM ph JOIN ln ON contains(raw, phrase) GROUP BY phrase")
+def phrase_index(spark, sf):
+    """Phrases of four words of the benchmark's texts in all lines, through the index of grams."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    cut = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3), F.lit(4)), lambda i: i <= F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))
+    wanted = table(spark, sf, "benchmark").select(words.alias("w")).select(F.explode(cut).alias("phrase"))
+    found = phrases.phrase_places(lines(documents(spark, sf)).withColumnRenamed("raw", "text"), wanted, ["doc_id", "line"])
+    return found.groupBy("phrase").agg(F.count_distinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("n"))
+
+
 # ---- labelled collections
 
 LABELLED = "d AS (SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'human' ELSE 'ai' END AS label, length(text) AS chars FROM documents JOIN labels USING (doc_id))"
@@ -229,6 +254,31 @@ def calibrated_threshold(spark, sf):
     return rows.select("threshold", r6(F.col("detection")).alias("detection"), r6(F.col("false_upper")).alias("false_upper"), "feasible", "chosen")
 
 
+#: Measures of a document and the thresholds that their rules could have.
+DOMAINS = {
+    "low_burstiness": [-0.5, -0.4, -0.3, -0.24, -0.2, -0.1], "high_length_autocorrelation": [0.2, 0.4, 0.5, 0.6, 0.8], "low_sentence_variance": [0.15, 0.2, 0.25, 0.3, 0.5],
+    "low_lexical_diversity_ttr": [0.3, 0.4, 0.45, 0.5, 0.6, 0.7], "sentence_too_long": [90.0, 100.0, 110.0, 120.0, 150.0, 400.0], "document_length": [500.0, 1000.0, 2000.0, 4000.0, 8000.0],
+}
+CURVES = LENGTHS + ", " + WORDS + ", " + LABELLED.replace("lang, CASE", "CASE WHEN doc_id % 4 = 0 THEN 'holdout' ELSE 'dev' END AS split, CASE") + f""",
+mv AS (SELECT 'low_burstiness' AS category, doc_id, CASE WHEN k >= 6 THEN (sigma - mean) / (sigma + mean) END AS value FROM stats UNION ALL SELECT 'high_length_autocorrelation', doc_id, CASE WHEN k >= 6 AND pairs >= 4 AND sx > 0 AND sy > 0 THEN cov / (sx * sy) END FROM stats
+  UNION ALL SELECT 'low_sentence_variance', doc_id, CASE WHEN mean > 0 THEN sigma / mean END FROM stats UNION ALL SELECT 'low_lexical_diversity_ttr', doc_id, count(DISTINCT word) / count(*) FROM w GROUP BY doc_id
+  UNION ALL SELECT 'sentence_too_long', doc_id, mean FROM stats UNION ALL SELECT 'document_length', doc_id, length(text) FROM documents),
+th AS ({" UNION ALL ".join(f"SELECT '{k}' AS category, unnest({v}::DOUBLE[]) AS threshold" for k, v in DOMAINS.items())})"""
+
+
+@query("WITH " + CURVES + """ SELECT category, split, label, threshold, count(*) AS n, count(*) FILTER (round(value, 9) < threshold) AS below, count(*) FILTER (round(value, 9) <= threshold) AS at_most FROM mv JOIN d USING (doc_id) JOIN th USING (category) WHERE value IS NOT NULL GROUP BY ALL""")
+def threshold_curve(spark, sf):
+    """Six measures, every threshold of their domains, by split and label, from one pass over sorted values."""
+    s = _length_stats(spark, sf)
+    chars = documents(spark, sf).select("doc_id", F.length("text").alias("chars"))
+    wide = s.join(measures.lexical(_words(spark, sf)).select("doc_id", "ttr"), "doc_id", "full").join(chars, "doc_id", "full")
+    named = {"low_burstiness": "burstiness", "high_length_autocorrelation": "lag1", "low_sentence_variance": "cv", "low_lexical_diversity_ttr": "ttr", "sentence_too_long": "mean", "document_length": "chars"}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.round(F.col(c).cast("double"), 9).alias("value")) for k, c in named.items()])).alias("x")
+    split = F.when(F.col("doc_id") % 4 == 0, "holdout").otherwise("dev").alias("split")
+    rows = wide.join(_labelled(spark, sf).select("doc_id", "label"), "doc_id").select("doc_id", "label", split, each).select("split", "label", F.col("x.category").alias("category"), F.col("x.value").alias("value")).filter("value is not null")
+    return calibrate.curve(rows, DOMAINS)
+
+
 VOCAB = LABELLED + ", " + WORDS + """, k AS (SELECT word, CASE WHEN label = 'ai' THEN 'a' ELSE 'b' END AS side, doc_id, count(*) AS k FROM w JOIN d USING (doc_id) GROUP BY ALL),
 v AS (SELECT word, count(*) FILTER (side = 'a') AS a_docs, count(*) FILTER (side = 'b') AS b_docs, coalesce(sum(k) FILTER (side = 'a'), 0)::BIGINT AS a_n, coalesce(sum(k) FILTER (side = 'b'), 0)::BIGINT AS b_n FROM k GROUP BY word),
 o AS (SELECT coalesce(sum(a_n), 0) AS ta, coalesce(sum(b_n), 0) AS tb FROM v),

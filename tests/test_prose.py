@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fumiyomi import cli
 from fumiyomi import model as m
 from fumiyomi.functions import text, tokenizer
-from fumiyomi.operators import blocks, calibrate, compare, extract, measures, outline, spans, stats, surface, tokens
+from fumiyomi.operators import blocks, calibrate, compare, extract, measures, outline, phrases, spans, stats, surface, tokens
 from fumiyomi.operators.frames import paragraphs, sentences
 from fumiyomi.plans.lint import lint
 from fumiyomi.sources import readers, sinks
@@ -154,16 +154,54 @@ def test_policy(spark):
     spark.catalog.clearCache()
 
 
-def test_mtld():
-    words = [f"w{i % 7}" for i in range(100)]
-    factors, n, seen = 0.0, 0, []
-    for w in words:
-        n += 1
-        seen = seen if w in seen else [*seen, w]
-        if len(seen) / n < 0.72:
-            factors, n, seen = factors + 1, 0, []
-    rest = (1 - len(seen) / n) / 0.28 if n else 0
-    assert measures.mtld_of(words) == pytest.approx(100 / (factors + rest), rel=0.05) and measures.mtld_of(words[:19]) is None
+def mtld_of(words, factor=0.72):
+    """The loop that carries the set of words seen."""
+    if len(words) < 20:
+        return None
+    total = 0.0
+    for order in (words, words[::-1]):
+        factors, n, seen = 0.0, 0, set()
+        for w in order:
+            seen.add(w)
+            n += 1
+            if len(seen) / n <= factor:
+                factors, n, seen = factors + 1, 0, set()
+        if n and len(seen) < n:
+            factors += min((1 - len(seen) / n) / (1 - factor), 1.0)
+        total += len(words) / factors if factors > 0 else len(words)
+    return total / 2
+
+
+def test_mtld(spark):
+    rng = random.Random(6)
+    texts = [[rng.choice("abcdefghijklmnopqrstuvwxyz"[:k]) * 2 for _ in range(n)] for k, n in ((2, 19), (2, 20), (26, 25), (26, 400), (9, 1000), (1, 50))]
+    texts += [[str(i) for i in range(300)], [str(i) for i in range(18)] + ["0"] * 7]  # 18 of 25 is the factor itself
+    rows = [(d, i, w) for d, text in enumerate(texts) for i, w in enumerate(text)]
+    got = {r["doc_id"]: r["mtld"] for r in measures.mtld(spark.createDataFrame(rows, "doc_id int, i int, word string").repartition(5), ["i"]).collect()}
+    assert got == {d: pytest.approx(x) if (x := mtld_of(t)) is not None else None for d, t in enumerate(texts)}
+
+
+def test_phrases_by_their_rarest_grams(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé日") for _ in range(rng.randint(0, 80))) for _ in range(150)] + [None, "", "aaaaaaaaaa"]
+    wanted = sorted({"".join(rng.choice("abé日") for _ in range(rng.randint(4, 7))) for _ in range(300)} | {"aaaa", "aaaaa"})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(4)
+    found = phrases.phrase_places(rows, spark.createDataFrame([(p,) for p in [*wanted, "ab", None, wanted[0]]], "phrase string"), ["doc_id"])
+    want = sorted((i, p, k + 1) for i, t in enumerate(texts) for p in wanted for k in range(len(t or "")) if (t or "").startswith(p, k))
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_every_threshold_at_once(spark):
+    rng = random.Random(7)
+    values = [(rng.choice("xy"), rng.choice(["dev", "holdout"]), rng.choice(["ai", "human"]), rng.choice([0.1, 0.5, rng.random()])) for _ in range(3000)] + [("z", "dev", "ai", 1.0), ("other", "dev", "ai", 1.0)]
+    domains = {"x": [0.0, 0.1, 0.3, 0.5, 1.0], "y": [0.5], "z": [1.0, 2.0], "none": [3.0]}
+    df = spark.createDataFrame(values, "category string, split string, label string, value double").repartition(4)
+    got = {tuple(r) for r in calibrate.curve(df, domains, 8).select("category", "split", "label", "threshold", "n", "below", "at_most").collect()}
+    want = set()
+    for key in {v[:3] for v in values if v[0] in domains}:
+        own = [v[3] for v in values if v[:3] == key]
+        want |= {(*key, t, len(own), sum(v < t for v in own), sum(v <= t for v in own)) for t in domains[key[0]]}
+    assert got == want
 
 
 @pytest.mark.parametrize(("k", "n", "low", "high"), [(0, 14, 0.0, 0.215), (1, 4, 0.046, 0.699), (6, 14, 0.214, 0.674), (3, 4, 0.301, 0.954), (1, 2, 0.095, 0.905)])
