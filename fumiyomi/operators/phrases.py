@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a gram; words of 64 bits of the bit table (a quarter of a megabyte, which each plan holds as a constant).
+#: Characters of a gram; most words of 64 bits of the bit table (a quarter of a megabyte, which each plan holds as a constant).
 GRAM, WORDS = 4, 1 << 15
 
 
@@ -27,16 +27,18 @@ def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def bits(hashes: DataFrame) -> Column:
-    """A constant: an array of WORDS numbers in which the bit of each hash (gram) is set. As many rows as words come to the driver."""
-    slot = F.pmod("gram", F.lit(WORDS * 64))
+def bits(hashes: DataFrame) -> tuple[Column, int]:
+    """A constant and its length: an array of numbers in which the bit of each hash (gram) is set, sixteen bits a hash, WORDS numbers at
+    most. As many rows come to the driver."""
+    size = min(WORDS, max(16, hashes.count() // 4))
+    slot = F.pmod("gram", F.lit(size * 64))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
     words = {r["w"]: r["bits"] for r in hashes.select(F.floor(slot / 64).cast("int").alias("w"), one.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()}
-    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(WORDS))), ",").cast("array<long>")
+    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(size))), ",").cast("array<long>"), size
 
 
-def set_in(table: Column, gram: Column) -> Column:
-    slot = F.pmod(gram, F.lit(WORDS * 64))
+def set_in(table: Column, size: int, gram: Column) -> Column:
+    slot = F.pmod(gram, F.lit(size * 64))
     return F.call_function("shiftrightunsigned", F.get(table, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
@@ -48,10 +50,10 @@ def phrase_places(texts: DataFrame, phrases: DataFrame, keep: list[str]) -> Data
     own = phrases.select("phrase").filter(F.length("phrase") >= GRAM).distinct()
     inside = own.select("phrase", F.explode(F.transform(F.array(characters(F.col("phrase"))), lambda c: F.transform(places(c), lambda i: F.struct((i + 1).alias("at"), hashed(c, i).alias("gram"))))[0]).alias("g")).select("phrase", "g.*")
     longest = own.agg(F.max(F.length("phrase"))).first()[0] or GRAM
-    table = bits(inside.select("gram").distinct())
+    table, size = bits(inside.select("gram").distinct())
 
     def able(c: Column) -> Column:
-        found = F.filter(F.transform(places(c), lambda i: F.struct(i.alias("i"), hashed(c, i).alias("gram"))), lambda g: set_in(table, g["gram"]))
+        found = F.filter(F.transform(places(c), lambda i: F.struct(i.alias("i"), hashed(c, i).alias("gram"))), lambda g: set_in(table, size, g["gram"]))
         first = lambda g: F.greatest(F.lit(1), g["i"] + 1 - longest)
         return F.transform(found, lambda g: F.struct((g["i"] + 1).alias("place"), g["gram"].alias("gram"), first(g).alias("first"), F.array_join(F.slice(c, first(g), F.lit(2 * longest)), "").alias("around")))
 

@@ -102,6 +102,6 @@ def ordered_lists(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(roles.alias("roles"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') AS page FROM events WHERE json_extract_string(props, '$.page') IS NOT NULL")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_field(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")).filter("k is not null")
