@@ -8,11 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TERMINATORS = "。！？!?"
+#: All white space of Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def u_trim(c: Column) -> Column:
-    """Trims all Unicode white space; trim() knows only the blank."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Trims all Unicode white space; trim() alone knows only the blank."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_heading(c: Column) -> Column:
@@ -54,7 +56,7 @@ def is_embed(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.rlike(r"^(?U)\s*\z")
+    return u_trim(c) == ""
 
 
 def occurrences(c: Column, phrase: str) -> Column:
@@ -98,7 +100,7 @@ def script(c: Column) -> Column:
 
 def half_up(c: Column, digits: int) -> Column:
     """Half away from zero, on the scaled value."""
-    return F.floor(c * 10**digits + 0.5) / 10**digits
+    return F.signum(c) * F.floor(F.abs(c) * 10**digits + 0.5) / 10**digits
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

@@ -82,8 +82,10 @@ PAGE_NUMBER = r"[-‐―ー0-9０-９ページPage/\s.]{1,10}"
 def without_running_lines(pages: DataFrame) -> DataFrame:
     """Lines of a book's pages, trimmed, but for blank ones, page numbers and running heads: lines of 40 characters at most that
     stand on half of the pages (rounded down), three at least, of a book of over two. pages: book, page, line, text."""
-    n = pages.groupBy("book").agg(F.count_distinct("page").alias("pages"))
+    n = pages.select("book", "page").distinct().groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
     own = pages.withColumn("text", t.u_trim(F.col("text"))).filter("text <> ''")
-    often = own.filter(F.length("text") <= 40).groupBy("book", "text").agg(F.count_distinct("page").alias("on")).join(n, "book")
+    # a line counts once a page, and is dropped early where it can't be on enough of them
+    often = own.filter(F.length("text") <= 40).select("book", "text", "page").distinct().groupBy("book", "text").agg(F.count(F.lit(1)).alias("on")).filter("on >= 3").join(n, "book")
     running = often.filter((F.col("pages") > 2) & (F.col("on") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2))))
-    return own.join(running.select("book", "text"), ["book", "text"], "left_anti").filter(~F.col("text").rlike(rf"(?U)^{PAGE_NUMBER}\z"))
+    numbers = (F.length("text") <= 10) & F.col("text").rlike(rf"(?U)^{PAGE_NUMBER}\z")
+    return own.filter(~numbers).join(running.select("book", "text"), ["book", "text"], "left_anti")
