@@ -16,9 +16,9 @@ from fumiyomi.operators.blocks import uncommented
 FINDING = ["doc_id", "line", "category", "severity", "excerpt", "start_byte", "end_byte", "value", "start_column", "end_column", *spans.SUGGESTION]
 
 
-def matches(c: Column, pattern: str) -> Column:
+def matches(c: Column, pattern: Column) -> Column:
     """All matches of a pattern with their first byte: the pieces between matches give the places, without a function in Python."""
-    parts, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    parts, found = F.split(c, pattern, F.lit(-1)), F.regexp_extract_all(c, pattern, F.lit(0))
     size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.octet_length(x))
     return F.transform(found, lambda x, i: F.struct(x.alias("match"), (size(F.slice(parts, 1, i + 1)) + size(F.slice(found, 1, i))).alias("start_byte")))
 
@@ -42,15 +42,13 @@ def finding(df: DataFrame, category: str, *, severity: Column | None = None, lin
 
 
 def located(lines: DataFrame, patterns: list[str], text: str = "masked") -> DataFrame:
-    """A row for each match of each pattern in a line. Patterns are matched separately, as overlapping hits of different ones all
-    count, but in one pass; lines without any are dropped by a plain filter first."""
-
-    def numbered(k: int, pattern: str) -> Column:  # a second parameter of the function itself would be the place in the array
-        return F.transform(matches(F.col(text), pattern), lambda x: F.struct(F.lit(k).alias("pattern"), x["start_byte"].alias("start_byte"), x["match"].alias("match")))
-
-    each = [numbered(k, p) for k, p in enumerate(patterns)]
-    hit = lines.filter(F.col(text).rlike("|".join(f"(?:{p})" for p in patterns))).select("doc_id", "line", "raw", F.explode(F.concat(*each)).alias("x"))
-    return hit.select("doc_id", "line", "raw", "x.*").withColumn("end_byte", F.col("start_byte") + F.octet_length("match"))
+    """A row for each match of each pattern (its number) in a line. Patterns are matched separately, as overlapping hits of different
+    ones all count; lines without any are dropped by a plain filter first, and only the rest meet single patterns."""
+    hit = lines.filter(F.col(text).rlike("|".join(f"(?:{p})" for p in patterns)))
+    each = F.posexplode(F.array(*[F.lit(p) for p in patterns])).alias("pattern", "_p")
+    rows = hit.select("doc_id", "line", "raw", F.col(text).alias("_t"), each).filter(F.rlike("_t", F.col("_p")))
+    rows = rows.select("doc_id", "line", "raw", "pattern", F.explode(matches(F.col("_t"), F.col("_p"))).alias("x"))
+    return rows.select("doc_id", "line", "raw", "pattern", "x.*").withColumn("end_byte", F.col("start_byte") + F.octet_length("match"))
 
 
 def phrase_rows(lines: DataFrame, phrases: list[str], text: str) -> DataFrame:
