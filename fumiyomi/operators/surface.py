@@ -16,8 +16,9 @@ from fumiyomi.operators.blocks import uncommented
 FINDING = ["doc_id", "line", "category", "severity", "excerpt", "start_byte", "end_byte", "value", "start_column", "end_column", *spans.SUGGESTION]
 
 
-def matches(c: Column, pattern: Column) -> Column:
+def matches(c: Column, pattern: Column | str) -> Column:
     """All matches of a pattern with their first byte: the pieces between matches give the places, without a function in Python."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     parts, found = F.split(c, pattern, F.lit(-1)), F.regexp_extract_all(c, pattern, F.lit(0))
     size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.octet_length(x))
     return F.transform(found, lambda x, i: F.struct(x.alias("match"), (size(F.slice(parts, 1, i + 1)) + size(F.slice(found, 1, i))).alias("start_byte")))
