@@ -18,6 +18,10 @@ TRANSLATIONESE = [
     "することができ(る|ます|た)", "することが可能(です|だ|になる)", "と言えるだろう", "という点で", "という観点(から|で)", "にとって(重要|不可欠)",
     "を持つ(こと|存在)", "することによって", "であることは間違いない", "に他ならない",
 ]
+#: Words of which every match of those patterns holds one.
+TRANSLATIONESE_NEEDS = ["することができ", "することが可能", "と言えるだろう", "という点で", "という観点", "にとって", "を持つ", "することによって", "であることは間違いない", "に他ならない"]
+INANIMATE_NEEDS = ["もたらす", "示す", "意味する", "証明する", "生み出す", "反映する"]
+ANTITHESIS_NEEDS = ["ではなく", "だけでなく"]
 HYPE = ["革命的", "画期的な", "劇的に", "圧倒的な", "究極の", "最強の", "魔法のよう", "爆発的に"]
 CLOSERS = ["まとめ", "おわりに", "終わりに", "さいごに", "最後に", "結論", "総括", "conclusion"]
 INANIMATE = [

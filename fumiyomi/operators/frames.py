@@ -25,21 +25,21 @@ def sentence_rows(lined: DataFrame, text: str = "raw") -> DataFrame:
     return rows.filter("sentence <> ''")
 
 
-def sentences(masked: DataFrame) -> DataFrame:
+def sentences(masked: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
     """Sentences of structured lines with their place: sent_idx in the document, byte_start in the line, and raw_text, the raw
-    bytes at that place. One shuffle, by doc_id."""
-    cut = masked.select("doc_id", "line", "raw", F.posexplode(F.regexp_extract_all("masked", F.lit(_SEGMENT), 0)).alias("pos", "segment"))
+    bytes at that place. rest: columns of lines that go along. One shuffle, by doc_id."""
+    cut = masked.select("doc_id", *rest, "line", "raw", F.posexplode(F.regexp_extract_all("masked", F.lit(_SEGMENT), 0)).alias("pos", "segment"))
     mark = F.regexp_extract("segment", f"[{TERMINATORS}]\\z", 0)
     body = F.regexp_replace("segment", f"[{TERMINATORS}]\\z", "")
     place = Window.partitionBy("doc_id").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, 0)
     in_line = Window.partitionBy("doc_id", "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = cut.select("doc_id", "line", "raw", "pos", F.octet_length("segment").alias("size"), body.alias("body"), F.when(mark != "", mark).alias("end_mark"), u_trim(body).alias("sentence"))
+    rows = cut.select("doc_id", *rest, "line", "raw", "pos", F.octet_length("segment").alias("size"), body.alias("body"), F.when(mark != "", mark).alias("end_mark"), u_trim(body).alias("sentence"))
     # the window by document first: its partitioning serves the one by line, too
     rows = rows.withColumn("sent_idx", F.sum((F.col("sentence") != "").cast("int")).over(place).cast("int"))
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(in_line), F.lit(0))).filter("sentence <> ''")
     lead = F.octet_length("body") - F.octet_length(F.regexp_replace("body", r"(?U)^\s+", ""))
     slice_ = F.decode(F.substring(F.encode("raw", "UTF-8"), F.col("before").cast("int") + 1, F.octet_length("body")), "UTF-8")
-    return rows.select("doc_id", "sent_idx", "line", "sentence", u_trim(slice_).alias("raw_text"), "end_mark", (F.col("before") + lead).cast("long").alias("byte_start"))
+    return rows.select("doc_id", *rest, "sent_idx", "line", "sentence", u_trim(slice_).alias("raw_text"), "end_mark", (F.col("before") + lead).cast("long").alias("byte_start"))
 
 
 def paragraphs(lined: DataFrame, text: str = "masked") -> DataFrame:

@@ -13,17 +13,22 @@ from fumiyomi.operators.surface import finding, several
 def length_stats(lengths: DataFrame, order: list[str], by: str = "doc_id") -> DataFrame:
     """n, mean, population sigma, burstiness and lag-1 correlation of a document's sentence lengths (column n)."""
     w = Window.partitionBy(by).orderBy(*order)
+    return _lengths(lengths.withColumn("after", F.lead("n").over(w)), [by], [])
+
+
+def _lengths(rows: DataFrame, by: list[str], aggs: list[Column]) -> DataFrame:
+    """length_stats of rows with n and after, the length of the next sentence; aggs go along."""
     x, y = F.col("n").cast("double"), F.col("after").cast("double")
     paired = F.col("after").isNotNull()
-    rows = lengths.withColumn("after", F.lead("n").over(w))
-    agg = rows.groupBy(by).agg(
+    agg = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_sentences"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sigma"),
         F.count_if(paired).alias("pairs"), F.covar_pop(F.when(paired, x), y).alias("cov"),
-        F.stddev_pop(F.when(paired, x)).alias("sx"), F.stddev_pop(y).alias("sy"),
+        F.stddev_pop(F.when(paired, x)).alias("sx"), F.stddev_pop(y).alias("sy"), *aggs,
     )
     burst = F.when(F.col("n_sentences") >= 6, F.try_divide(F.col("sigma") - F.col("mean"), F.col("sigma") + F.col("mean")))
     lag = F.when((F.col("n_sentences") >= 6) & (F.col("pairs") >= 4) & (F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide(F.col("cov"), F.col("sx") * F.col("sy")))
-    return agg.select(by, "n_sentences", "mean", "sigma", burst.alias("burstiness"), lag.alias("lag1"), F.when(F.col("mean") > 0, F.try_divide("sigma", "mean")).alias("cv"))
+    own = agg.columns[len(by) + 7 :]
+    return agg.select(*by, "n_sentences", "mean", "sigma", burst.alias("burstiness"), lag.alias("lag1"), F.when(F.col("mean") > 0, F.try_divide("sigma", "mean")).alias("cv"), *own)
 
 
 def _at(stats: DataFrame) -> DataFrame:
@@ -45,7 +50,12 @@ def low_variance(stats: DataFrame) -> DataFrame:
 
 def mtld(words: DataFrame, order: list[str], factor: float = m.MTLD_FACTOR) -> DataFrame:
     """doc_id and mtld of words (doc_id, word, columns of order): the mean length of runs until the share of different words falls to
-    factor, forwards and back; null under 20 words.
+    factor, forwards and back; null under 20 words."""
+    return diversity(words, order, factor).select("doc_id", "mtld")
+
+
+def diversity(words: DataFrame, order: list[str], factor: float = m.MTLD_FACTOR) -> DataFrame:
+    """doc_id, tokens, types, ttr and mtld of words (doc_id, word, columns of order).
 
     Whether a word is new in the run is whether it was last seen before the run's begin. So each word takes along where it was
     seen last and will be next (a window by word), and a run is three numbers, whatever words it has: a native fold over numbers, with
@@ -54,12 +64,12 @@ def mtld(words: DataFrame, order: list[str], factor: float = m.MTLD_FACTOR) -> D
     rows = words.withColumn("at", F.row_number().over(place))
     same = Window.partitionBy("doc_id", "word").orderBy("at")
     rows = rows.select("doc_id", "at", F.coalesce(F.lag("at").over(same), F.lit(0)).alias("before"), F.lead("at").over(same).alias("after"))
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "before", "after"))).alias("w"))
+    docs = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("before") == 0).alias("types"), F.array_sort(F.collect_list(F.struct("at", "before", "after"))).alias("w"))
     n = F.size("w")
     # counted from the end, the next place is the one before
     back = F.transform(F.reverse("w"), lambda x: F.struct((n - x["at"] + 1).alias("at"), F.coalesce(n - x["after"] + 1, F.lit(0)).alias("before")))
     mean = (n / _factors(F.col("w"), factor) + n / _factors(back, factor)) / 2
-    return docs.select("doc_id", F.when(n >= 20, mean).alias("mtld"))
+    return docs.select("doc_id", "tokens", "types", F.try_divide("types", "tokens").alias("ttr"), F.when(n >= 20, mean).alias("mtld"))
 
 
 def _factors(places: Column, factor: float) -> Column:
@@ -115,12 +125,35 @@ def paragraph_rules(stats: DataFrame) -> DataFrame:
     return out.unionByName(finding(even, "uniform_paragraph_structure", value=F.col("cv")))
 
 
-def reading_load(sentences: DataFrame) -> DataFrame:
-    """Long sentences, and long ones without a comma; needs sentence, line and genre."""
+def reading_marks(sentences: DataFrame) -> DataFrame:
+    """sentences with what reading_load asks of them: length, whether one is long and has no comma, and the text it begins with."""
     n = t.reading_length(F.col("sentence"))
+    rows = sentences.withColumn("length", n)
+    dense = (F.col("length") >= 60) & (t.japanese_chars(F.col("sentence")) * 2 >= F.col("length")) & ~F.col("sentence").rlike("[、，,]")
+    return rows.withColumns({"dense": dense, "head": F.left("sentence", F.lit(30)), "size": F.octet_length("sentence")})
+
+
+def reading_load(sentences: DataFrame) -> DataFrame:
+    """Long sentences, and long ones without a comma; needs sentence, line and genre, or what reading_marks makes of these."""
+    marked = sentences if "dense" in sentences.columns else reading_marks(sentences)
     bar = F.when(F.col("genre") == "essay", m.SENTENCE_MAX["essay"]).otherwise(m.SENTENCE_MAX[None])
-    dense = (n >= 60) & (t.japanese_chars(F.col("sentence")) * 2 >= n) & ~F.col("sentence").rlike("[、，,]")
-    head = F.left("sentence", F.lit(30))
-    rows = sentences.withColumn("end_byte", F.col("byte_start") + F.octet_length("sentence")).withColumnRenamed("byte_start", "start_byte") if "byte_start" in sentences.columns else sentences
-    no_comma = finding(rows.filter(dense), "no_comma_sentence", text=head, value=n)
-    return no_comma.unionByName(finding(rows.filter(n > bar), "sentence_too_long", text=head, value=n))
+    rows = marked.withColumn("end_byte", F.col("byte_start") + F.col("size")).withColumnRenamed("byte_start", "start_byte") if "byte_start" in marked.columns else marked
+    fired = F.array_compact(F.array(F.when(F.col("dense"), "no_comma_sentence"), F.when(F.col("length") > bar, "sentence_too_long")))
+    return finding(rows.withColumn("rule", F.explode(fired)), F.col("rule"), severity=F.lit("info"), text=F.col("head"), value=F.col("length"))
+
+
+def document_rules(facts: DataFrame) -> DataFrame:
+    """Rules on the sentences of a document as a whole, from one aggregate: rhythm in mora, even length in characters, and no ending
+    with a noun. facts: doc_id, genre, sent_idx, line, chars, mora, noun_ended."""
+    order = Window.partitionBy("doc_id").orderBy("sent_idx")
+    rows = facts.select("doc_id", "genre", "line", "chars", "noun_ended", F.col("mora").alias("n"), F.lead("mora").over(order).alias("after"))
+    aggs = [F.min("line").alias("line"), F.max("line").alias("end"), F.sum("chars").alias("chars"), F.count_if("noun_ended").alias("nominal"), F.avg("chars").alias("width"), F.stddev_pop("chars").alias("spread")]
+    docs = _lengths(rows, ["doc_id", "genre"], aggs)
+    even = F.when(F.col("width") > 0, F.try_divide("spread", "width"))
+    least = F.coalesce(*[F.when(F.col("genre") == g, F.lit(k)) for g, k in m.NOMINAL_CHARS.items() if g], F.lit(m.NOMINAL_CHARS[None]))
+    rules = {
+        "low_burstiness": (F.col("burstiness") < m.BURSTINESS, F.col("burstiness")), "high_length_autocorrelation": (F.col("lag1") > m.AUTOCORRELATION, F.col("lag1")),
+        "low_sentence_variance": ((F.col("n_sentences") >= 5) & (even < m.VARIANCE_CV), even),
+        "nominal_ending": ((F.col("n_sentences") >= 5) & (F.col("chars") >= least) & (F.col("nominal") == 0), F.col("nominal")),
+    }
+    return several(docs, rules, {"nominal_ending": "end"})

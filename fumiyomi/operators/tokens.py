@@ -4,13 +4,16 @@ Neighbours are lag and lead within a sentence, so every rule is one window over
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fumiyomi import model as m
 from fumiyomi.functions import text as t
 from fumiyomi.operators import spans
-from fumiyomi.operators.surface import finding
+from fumiyomi.operators.measures import document_rules, reading_load, reading_marks
+from fumiyomi.operators.surface import cleft_marks, finding
 
 SENTENCE = ["doc_id", "sent_idx"]
 
@@ -33,11 +36,13 @@ def mora(reading: Column) -> Column:
 
 
 def _bytes(rows: DataFrame, places: dict[str, tuple[str, int]]) -> DataFrame:
-    """Bytes of neighbours in the sentence, where tokens know theirs; before the sentence's first token stands that one."""
+    """Bytes of neighbours in the sentence, where tokens know theirs; before the sentence's first token stands that one. Bytes of the
+    line, where tokens know at which the sentence begins (sent_at)."""
     if "byte_start" not in rows.columns:
         return rows
     first = F.first("byte_start").over(order())
-    return rows.withColumns({name: F.coalesce(after(c, k), first) if k < 0 else after(c, k) if k else F.col(c) for name, (c, k) in places.items()})
+    at = F.col("sent_at") if "sent_at" in rows.columns else F.lit(0)
+    return rows.withColumns({name: at + (F.coalesce(after(c, k), first) if k < 0 else after(c, k) if k else F.col(c)) for name, (c, k) in places.items()})
 
 
 def _kept(rows: DataFrame) -> list[str]:
@@ -148,7 +153,12 @@ def endings(tokens: DataFrame, marks: DataFrame) -> DataFrame:
     tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(solid & (F.col("nth") <= 8), F.struct("tok_idx", "surface")))), lambda x: x["surface"]), "")
     last = F.max(F.when(solid, F.struct("tok_idx", "surface", "pos1")))
     sents = rows.groupBy(*SENTENCE).agg(tail.alias("tail"), last.alias("last"), F.sum("mora").alias("mora"))
-    sents = marks.join(sents, SENTENCE, "left")
+    return ended(marks.join(sents, SENTENCE, "left")).select(*SENTENCE, "line", "mode", "signature", "mora", "noun_ended")
+
+
+def ended(sents: DataFrame) -> DataFrame:
+    """Mode, signature, mora and whether a noun ends it, of sentences with end_mark, mora, tail (the last eight tokens that are no
+    punctuation, as text) and last (the last one; null: none)."""
     ends = lambda c, x: c.endswith(x)
     tentative, assertive = t.first_of(F.col("tail"), m.TENTATIVE, ends), t.first_of(F.col("tail"), m.ASSERTIVE, ends)
     asks = F.col("end_mark").isin("？", "?")
@@ -157,7 +167,7 @@ def endings(tokens: DataFrame, marks: DataFrame) -> DataFrame:
     bare = F.col("last").isNull()
     mode = F.when(asks, "question").when(bare, "other").when(ka, "question").when(tentative.isNotNull(), "tentative").when(noun, "nominal").when(assertive.isNotNull(), "assertive").otherwise("other")
     sign = F.when(asks, "question_mark").when(bare, "other").when(ka, "particle_ka").when(tentative.isNotNull(), tentative).when(noun, "nominal").when(assertive.isNotNull(), assertive).otherwise("other")
-    return sents.select(*SENTENCE, "line", mode.alias("mode"), sign.alias("signature"), F.coalesce("mora", F.lit(0)).alias("mora"), F.coalesce(noun, F.lit(False)).alias("noun_ended"))
+    return sents.withColumns({"mode": mode, "signature": sign, "mora": F.coalesce("mora", F.lit(0).cast("long")), "noun_ended": F.coalesce(noun, F.lit(False))})
 
 
 def ending_runs(ends: DataFrame, change: list[str]) -> DataFrame:
@@ -173,19 +183,23 @@ def ending_runs(ends: DataFrame, change: list[str]) -> DataFrame:
     )
 
 
+def _of_six(ends: DataFrame, change: list[str]) -> DataFrame:
+    """ending_runs of documents of six sentences or more."""
+    rows = ends if "k" in ends.columns else ends.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    return ending_runs(rows.filter("k >= 6"), change)
+
+
 def repeated_mode(ends: DataFrame) -> DataFrame:
     """Three or more long sentences of even length with the same mode and ending; documents of six sentences or more."""
     long_ends = ends.withColumn("long", F.col("mora") >= m.MODE_MORA)
-    some = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k >= 6").select("doc_id")
-    runs = ending_runs(long_ends, ["mode", "signature", "long"]).filter("long").filter(F.col("mode").isin("assertive", "tentative", "question"))
-    return runs.filter((F.col("n") >= 3) & (F.col("cv") <= m.MODE_CV)).join(some, "doc_id", "left_semi").select("doc_id", "line", "mode", "signature", "n")
+    runs = _of_six(long_ends, ["mode", "signature", "long"]).filter("long").filter(F.col("mode").isin("assertive", "tentative", "question"))
+    return runs.filter((F.col("n") >= 3) & (F.col("cv") <= m.MODE_CV)).select("doc_id", "line", "mode", "signature", "n")
 
 
 def nominal_runs(ends: DataFrame) -> DataFrame:
     """Three or more short sentences that end with a noun."""
     short = ends.withColumn("short", F.col("mora") <= m.NOMINAL_MORA)
-    some = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k >= 6").select("doc_id")
-    return ending_runs(short, ["mode", "short"]).filter("short and mode = 'nominal' and n >= 3").join(some, "doc_id", "left_semi").select("doc_id", "line", "n")
+    return _of_six(short, ["mode", "short"]).filter("short and mode = 'nominal' and n >= 3").select("doc_id", "line", "n")
 
 
 def significant(tokens: DataFrame) -> DataFrame:
@@ -203,10 +217,18 @@ def lead_counts(tokens: DataFrame) -> DataFrame:
         F.min("line").alias("line"), *[pick(k, c).alias(f"{c}{k}") for k in (1, 2) for c in ("surface", "pos1", "pos2")],
         F.max(F.col("surface").isin("：", ":")).alias("colon"),
     ).filter("surface2 is not null")
+    return lead_repeats(leads(sents))
+
+
+def leads(sents: DataFrame) -> DataFrame:
+    """The lead of sentences with their first two tokens (surface1, pos11, pos21, surface2) and whether a colon is among the first three."""
     marker = F.col("surface1").rlike(r"^[A-Za-z0-9]{1,2}\z") & F.col("surface2").isin(".", "．", ")", "）")
     tech = ((F.col("pos11") == "名詞") & (F.col("pos21") == "固有名詞")) | F.col("surface1").rlike(r"^[A-Za-z][A-Za-z0-9_.-]*\z")
-    sents = sents.select(*SENTENCE, "line", F.concat("surface1", "surface2").alias("lead"), (F.col("colon") | marker).alias("label"), tech.alias("tech"))
-    agg = sents.groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"), F.count_if("label").alias("labels"), F.min_by("tech", "sent_idx").alias("tech"))
+    return sents.withColumns({"lead": F.concat("surface1", "surface2"), "label": F.col("colon") | marker, "tech": tech})
+
+
+def lead_repeats(sents: DataFrame) -> DataFrame:
+    agg = sents.groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"), F.count_if("label").alias("labels"), F.min_by("tech", "sent_idx").alias("tech"), *[F.first(c).alias(c) for c in ("genre",) if c in sents.columns])
     return agg.withColumn("label_like", F.col("labels") * 2 >= F.col("n")).drop("labels")
 
 
@@ -214,20 +236,28 @@ def pos_templates(tokens: DataFrame) -> DataFrame:
     """The most frequent tuple of the first four parts of speech of a document's sentences; of equal ones that seen first latest."""
     head = significant(tokens).filter("nth <= 4")
     sents = head.groupBy(*SENTENCE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "pos1"))), lambda x: x["pos1"]), "/").alias("template"), F.count(F.lit(1)).alias("k")).filter("k = 4")
+    return template_shares(sents)
+
+
+def template_shares(sents: DataFrame) -> DataFrame:
+    """The most frequent template of a document's sentences (doc_id, sent_idx, template) and its share."""
     each = sents.groupBy("doc_id", "template").agg(F.count(F.lit(1)).alias("n"), F.min("sent_idx").alias("first_seen"))
     docs = each.groupBy("doc_id").agg(F.sum("n").alias("eligible"), F.max(F.struct("n", "first_seen", "template")).alias("x")).filter("eligible >= 6")
     return docs.select("doc_id", "eligible", F.col("x.template").alias("template"), F.col("x.n").alias("n"), (F.col("x.n") / F.col("eligible")).alias("share"))
 
 
-def specificity(tokens: DataFrame, paras: DataFrame) -> DataFrame:
-    """Score of each paragraph: names, numbers and examples against abstract nouns. paras: doc_id, para, line, text; tokens have para."""
-    content = tokens.filter(F.col("pos1").isin(m.CONTENT_POS)).groupBy("doc_id", "para").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if((F.col("pos1") == "名詞") & (F.col("pos2") == "固有名詞")).alias("proper"),
-        F.count_if((F.col("pos1") == "名詞") & F.col("lemma").isin(m.ABSTRACT)).alias("abstract"),
-    )
-    rows = paras.filter(F.length("text") >= 80).join(content.filter("n >= 15"), ["doc_id", "para"])
-    example = F.when(F.col("text").rlike(t.any_of(m.EXAMPLES)), 0.1).otherwise(0.0)
-    score = (F.col("proper") + t.pattern_count(F.col("text"), m.QUANTITY)) / F.col("n") + example - 1.5 * F.col("abstract") / F.col("n")
+def evidence(paras: DataFrame) -> DataFrame:
+    """Paragraphs (text) with what specificity asks of their text: its length, numbers, and whether it has an example."""
+    return paras.withColumns({"chars": F.length("text"), "quantities": t.pattern_count(F.col("text"), m.QUANTITY), "example": F.col("text").rlike(t.any_of(m.EXAMPLES))})
+
+
+def specificity(counts: DataFrame, paras: DataFrame) -> DataFrame:
+    """Score of each paragraph: names, numbers and examples against abstract nouns. paras: doc_id, para, line, text and evidence; counts:
+    doc_id, para, content, proper, abstract of its tokens, a row or more a paragraph."""
+    content = counts.groupBy("doc_id", "para").agg(F.sum("content").alias("n"), F.sum("proper").alias("proper"), F.sum("abstract").alias("abstract"))
+    rows = paras.filter("chars >= 80").join(content.filter("n >= 15"), ["doc_id", "para"])
+    example = F.when(F.col("example"), 0.1).otherwise(0.0)
+    score = (F.col("proper") + F.col("quantities")) / F.col("n") + example - 1.5 * F.col("abstract") / F.col("n")
     return rows.select("doc_id", "para", "line", "text", score.alias("score"))
 
 
@@ -241,40 +271,85 @@ def readability(tokens: DataFrame) -> DataFrame:
     )
 
 
-def in_line(rows: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Bytes of the sentence as bytes of its line."""
-    at = sentences.select(*SENTENCE, F.col("byte_start").cast("int").alias("_at"))
-    return rows.join(at, SENTENCE).withColumns({c: F.col(c) + F.col("_at") for c in _kept(rows)}).drop("_at")
+#: Rules that look at single tokens, by what a sentence must hold for them: a pattern of its text, since tokens are pieces of it.
+SOUGHT = {"koto": "こと", "light": "を", "thing": "これ|それ|あれ|こと|事実|この|その", "chain": "の[^の]*の[^の]*の", "list": "、[^、]*、", "kanji": "[一-龿々]{7}"}
+
+
+def facts(sentences: DataFrame, tokens: Column) -> DataFrame:
+    """A row a sentence with all that rules ask of it, so that neither its tokens nor, for most, its text need be kept. sentences:
+    doc_id, genre, sent_idx, line, sentence, raw_text, end_mark, byte_start; tokens: the array of a sentence's tokens.
+
+    What looks back or on within a sentence is asked of the array: its end, its first tokens, counts. has_ columns tell which of the rules
+    on single tokens can hold; where one can, the sentence stays. words are the lemmas of content words, parted by line breaks."""
+    solid = lambda x: ~x["pos1"].isin(m.PUNCTUATION_POS)
+    rows = sentences.withColumn("_t", tokens)
+    rows = rows.withColumns({"_solid": F.filter("_t", solid), "_from": F.array_position(F.transform("_t", solid), True).cast("int"), "_content": F.filter("_t", lambda x: x["pos1"].isin(m.CONTENT_POS))})
+    rows = rows.withColumn("_head", F.when(F.col("_from") > 0, F.slice("_t", F.greatest(F.lit(1), F.col("_from")), F.lit(4))))
+    noun = lambda x: x["pos1"] == "名詞"
+    head = lambda k, c: F.get("_head", F.lit(k))[c]
+    colon = F.exists(F.slice("_head", 1, 3), lambda x: x["surface"].isin("：", ":"))
+    rows = rows.withColumns({
+        "tail": F.array_join(F.transform(F.slice("_solid", F.greatest(F.lit(1), F.size("_solid") - 7), F.lit(8)), lambda x: x["surface"]), ""),
+        "last": F.try_element_at("_solid", F.lit(-1)), "mora": mora(F.array_join(F.transform("_t", lambda x: x["reading"]), "")),
+        "surface1": head(0, "surface"), "pos11": head(0, "pos1"), "pos21": head(0, "pos2"), "surface2": head(1, "surface"), "colon": colon,
+        "template": F.when(F.size("_head") == 4, F.array_join(F.transform("_head", lambda x: x["pos1"]), "/")),
+        "content": F.size("_content"), "proper": F.size(F.filter("_content", lambda x: noun(x) & (x["pos2"] == "固有名詞"))), "abstract": F.size(F.filter("_content", lambda x: noun(x) & x["lemma"].isin(m.ABSTRACT))),
+        "words": F.array_join(F.transform("_content", lambda x: x["lemma"]), "\n"), "chars": F.length("raw_text"),
+        **{f"has_{k}": F.col("sentence").rlike(p) for k, p in SOUGHT.items()},
+        "has_negatives": F.size(F.filter("_t", lambda x: x["pos1"].isin("助動詞", "形容詞") & x["lemma"].isin(m.NEGATIVES))) >= 2,
+    })
+    verb = F.exists("_t", lambda x: (x["pos1"] == "動詞") & x["lemma"].isin(m.INANIMATE_VERBS))
+    rows = rows.withColumn("has_thing", F.when(F.col("has_thing"), verb).otherwise(False))
+    rows = reading_marks(cleft_marks(leads(ended(rows))))
+    any_ = reduce(lambda x, y: x | y, [F.col(c) for c in HAS])
+    least = min(m.SENTENCE_MAX.values())
+    said = F.when(F.col("dense") | F.col("defines") | (F.col("length") > least), F.col("head"))
+    return rows.select(
+        "doc_id", "genre", "sent_idx", "line", "byte_start", "size", "chars", "length", "dense", said.alias("head"), "defines", "because", "mode", "signature", "mora", "noun_ended",
+        "lead", "label", "tech", "template", "content", "proper", "abstract", "words", *HAS, F.when(any_, F.col("sentence")).alias("sentence"),
+    )
+
+
+#: Columns of facts that tell which rules on single tokens can hold.
+HAS = [f"has_{k}" for k in [*SOUGHT, "negatives"]]
+
+
+def content_words(facts: DataFrame) -> DataFrame:
+    """doc_id, sent_idx, nth, word: a row a content word."""
+    return facts.filter("content > 0").select(*SENTENCE, F.posexplode(F.split("words", "\n", -1)).alias("nth", "word"))
 
 
-def token_findings(tokens: DataFrame, sentences: DataFrame, lines: DataFrame, ends: DataFrame) -> DataFrame:
-    """Findings of the rules above from tokens, sentences (with sentence, line, end_mark, genre), lines and endings."""
-    length = sentences.select(*SENTENCE, t.reading_length(F.col("sentence")).alias("chars"))
+def token_findings(facts: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
+    """Findings of the rules above, and of reading_load and document_rules, from facts, the tokens of those sentences that facts keep
+    (with their has_ columns), and lines."""
+    sentences = facts.filter("sentence is not null")
+    of = lambda k: tokens.filter(f"has_{k}")
+    length = sentences.select(*SENTENCE, F.col("length").alias("chars"))
     bar = F.when(F.col("items") <= 3, 80).otherwise(50)
-    short = koto_ga_dekiru(tokens)
+    short = koto_ga_dekiru(of("koto"))
     placed = [
-        finding(in_line(short.withColumn("replacement", F.when(F.col("preimage").isNotNull(), F.lit(""))), sentences), "translationese_morph"),
-        finding(in_line(light_verb(tokens), sentences), "redundant_light_verb"),
-        finding(in_line(no_chain(tokens), sentences), "no_chain"),
+        finding(short.withColumn("replacement", F.when(F.col("preimage").isNotNull(), F.lit(""))), "translationese_morph"),
+        finding(light_verb(of("light")), "redundant_light_verb"),
+        finding(no_chain(of("chain")), "no_chain"),
+        reading_load(facts),
     ]
     out = [
         spans.in_lines(union(placed), lines),
-        finding(inanimate_morph(tokens), "inanimate_subject_morph", text=F.concat("subject", F.lit("…"), "verb")),
-        finding(double_negative(tokens), "double_negative"),
-        finding(buried_list(tokens).join(length, SENTENCE).filter(F.col("chars") >= bar), "buried_list", value=F.col("items")),
-        finding(kanji_runs(sentences, tokens), "kanji_run", text=F.col("run")),
+        finding(inanimate_morph(of("thing")), "inanimate_subject_morph", text=F.concat("subject", F.lit("…"), "verb")),
+        finding(double_negative(of("negatives")), "double_negative"),
+        finding(buried_list(of("list")).join(length, SENTENCE).filter(F.col("chars") >= bar), "buried_list", value=F.col("items")),
+        finding(kanji_runs(sentences, of("kanji")), "kanji_run", text=F.col("run")),
     ]
+    k = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    ends = facts.select(*SENTENCE, "line", "mode", "signature", "mora", k.alias("k"))
     out.append(finding(repeated_mode(ends), "repeated_sentence_mode", text=F.col("signature"), value=F.col("n")))
     out.append(finding(nominal_runs(ends), "consecutive_nominal_endings", value=F.col("n")))
-    genres = sentences.select("doc_id", "genre").distinct()
     repeats = F.coalesce(*[F.when(F.col("genre") == g, F.lit(k)) for g, k in m.LEAD_REPEATS.items() if g], F.lit(m.LEAD_REPEATS[None]))
-    out.append(finding(lead_counts(tokens).join(genres, "doc_id").filter(F.col("n") >= repeats), "repeated_sentence_lead", text=F.col("lead"), value=F.col("n")))
-    out.append(finding(pos_templates(tokens).filter("share >= 0.4").withColumn("line", F.lit(1)), "repeated_syntax_template", text=F.col("template"), value=F.col("share")))
-    least = F.coalesce(*[F.when(F.col("genre") == g, F.lit(k)) for g, k in m.NOMINAL_CHARS.items() if g], F.lit(m.NOMINAL_CHARS[None]))
-    per_doc = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.count_if("noun_ended").alias("nominal"), F.max("line").alias("line"))
-    chars = sentences.groupBy("doc_id").agg(F.sum(F.length("raw_text")).alias("chars"))
-    few = per_doc.join(chars, "doc_id").join(genres, "doc_id").filter((F.col("k") >= 5) & (F.col("chars") >= least) & (F.col("nominal") == 0))
-    out.append(finding(few, "nominal_ending", value=F.col("nominal")))
+    often = lead_repeats(facts.filter("lead is not null")).filter(F.col("n") >= min(m.LEAD_REPEATS.values()))
+    out.append(finding(often.filter(F.col("n") >= repeats), "repeated_sentence_lead", text=F.col("lead"), value=F.col("n")))
+    shares = template_shares(facts.filter("template is not null"))
+    out.append(finding(shares.filter("share >= 0.4").withColumn("line", F.lit(1)), "repeated_syntax_template", text=F.col("template"), value=F.col("share")))
+    out.append(document_rules(facts))
     return union(out)
 
 

@@ -13,20 +13,27 @@ from pyspark.sql import functions as F
 from fumiyomi import model as m
 from fumiyomi.operators.blocks import structured
 from fumiyomi.functions.tokenizer import DEFAULT, token_frame, tokenize
-from fumiyomi.operators import measures, spans, stats, surface, tokens
+from fumiyomi.operators import measures, stats, surface, tokens
 from fumiyomi.operators.frames import paragraphs, sentences
 
 
 def frames(docs: DataFrame, lexicon: str = str(DEFAULT)) -> dict[str, DataFrame]:
-    """Lines, sentences and tokens of docs (doc_id, genre, text). Every rule reads them, and masking and tokenizing are what
-    costs, so they are dealt by document once and kept, in memory and beyond it on disk, until the caller clears the cache."""
+    """Lines, sentences, facts of sentences, and the tokens of those that need them, of docs (doc_id, genre, text). Masking and
+    tokenizing are what costs, so they are dealt by document once, and lines, facts and these tokens are kept, in memory and beyond it
+    on disk, until the caller clears the cache. What is kept is about two times the text: a masked line only where it isn't the line
+    itself, of a sentence what rules ask of it (tokens.facts)."""
     keep = StorageLevel.MEMORY_AND_DISK
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given as a number, the partitioning stays known
-    lines = structured(docs.select("doc_id", "genre", "text").repartition(n, "doc_id")).persist(keep)
-    sents = sentences(lines).join(docs.select("doc_id", "genre"), "doc_id").persist(keep)
+    lines = structured(docs.select("doc_id", "genre", "text").repartition(n, "doc_id"))
+    kept = lines.withColumn("masked", F.when(F.col("masked") != F.col("raw"), F.col("masked"))).persist(keep)
+    lines = kept.withColumn("masked", F.coalesce("masked", "raw"))
+    sents = sentences(lines, ("genre",))
     # kept in the order of the rules' windows, which then need neither an exchange nor a sort
-    toks = token_frame(sents, lexicon).sortWithinPartitions("doc_id", "sent_idx", "tok_idx").persist(keep)
-    return {"docs": docs, "lines": lines, "sentences": sents, "tokens": toks}
+    facts = tokens.facts(sents, tokenize(lexicon)("sentence")).sortWithinPartitions("doc_id", "sent_idx").persist(keep)
+    some = facts.filter("sentence is not null").select("doc_id", "sent_idx", "line", F.col("byte_start").cast("int").alias("sent_at"), *tokens.HAS, F.posexplode(tokenize(lexicon)("sentence")).alias("tok_idx", "t"))
+    fields = ("surface", "byte_start", "byte_end", "pos1", "pos2", "pos3", "lemma")
+    toks = some.select("doc_id", "sent_idx", "line", "sent_at", "tok_idx", *[f"t.{c}" for c in fields], *tokens.HAS).sortWithinPartitions("doc_id", "sent_idx", "tok_idx").persist(keep)
+    return {"docs": docs, "lines": lines, "sentences": sents, "facts": facts, "tokens": toks}
 
 
 def policy(findings: DataFrame, docs: DataFrame, experimental: bool) -> DataFrame:
@@ -61,38 +68,33 @@ class Run:
 def analyzed(docs: DataFrame, experimental: bool = False, lexicon: str = str(DEFAULT), disabled: list[str] | None = None) -> Run:
     """Findings of all rules and statistics of all documents of docs (doc_id, genre, text)."""
     f = frames(docs, lexicon)
-    lines, sents, toks = f["lines"], f["sentences"], f["tokens"]
-    ends = tokens.endings(toks, sents.select("doc_id", "sent_idx", "line", "end_mark")).persist(StorageLevel.MEMORY_AND_DISK)  # six uses; a row a sentence
-    counts = sents.groupBy("doc_id", "genre").agg(F.count(F.lit(1)).alias("n_sentences"))
+    lines, facts = f["lines"], f["facts"]
+    counts = facts.groupBy("doc_id", "genre").agg(F.count(F.lit(1)).alias("n_sentences"))
     paras = paragraphs(lines)
-    para_stats = measures.paragraph_stats(paras).persist(StorageLevel.MEMORY_AND_DISK)
-    first = F.min("line").alias("line")
-    mora = ends.select("doc_id", "sent_idx", F.col("mora").alias("n"))
-    opening = sents.groupBy("doc_id").agg(first, F.sum(F.length("raw_text")).alias("chars"))
-    chars = sents.select("doc_id", "sent_idx", F.length("raw_text").alias("n"))
-    content = toks.filter(F.col("pos1").isin(m.CONTENT_POS))
-    spread = measures.mtld(content.select("doc_id", F.col("lemma").alias("word"), "sent_idx", "tok_idx"), ["sent_idx", "tok_idx"])
-    lexical = opening.join(measures.lexical(content.select("doc_id", F.col("lemma").alias("word"))), "doc_id", "left").join(spread, "doc_id", "left")
-    para_tokens = toks.join(paras.select("doc_id", "line", "para"), ["doc_id", "line"])
-    scores = tokens.specificity(para_tokens, para_stats)
-    bare = lines.filter(~F.col("kind").isin("fence", "quote")).withColumn("masked", F.col("raw"))
-    at_opening = lambda stats: stats.join(opening.select("doc_id", "line"), "doc_id")
+    para_stats = tokens.evidence(measures.paragraph_stats(paras)).withColumn("text", F.left("text", F.lit(40))).persist(StorageLevel.MEMORY_AND_DISK)
+    opening = facts.groupBy("doc_id").agg(F.min("line").alias("line"), F.sum("chars").alias("chars"))
+    long = opening.filter(F.col("chars") >= m.LEXICAL_CHARS)  # the only ones whose vocabulary a rule judges
+    lexical = long.join(measures.diversity(tokens.content_words(facts.join(long.select("doc_id"), "doc_id", "left_semi")), ["sent_idx", "nth"]), "doc_id", "left")
+    in_paras = facts.select("doc_id", "line", "content", "proper", "abstract").filter("content > 0").join(paras.select("doc_id", "line", "para"), ["doc_id", "line"])
+    scores = tokens.specificity(in_paras, para_stats)
     parts = [
-        surface.structural(docs), surface.boilerplate_heading(lines), colon_findings(lines, lexicon), surface.hype_expression(bare), surface.bullet_styles(lines),
-        surface.forbidden_phrase(lines), surface.translationese(lines), surface.antithesis_repetition(lines, counts), surface.inanimate_subject(lines),
-        surface.cleft_because(sents), tokens.token_findings(toks, sents, lines, ends), measures.rhythm(at_opening(measures.length_stats(mora, ["sent_idx"]))),
-        measures.low_variance(at_opening(measures.length_stats(chars, ["sent_idx"]))), measures.low_diversity(lexical),
+        surface.structural(docs), surface.boilerplate_heading(lines), colon_findings(lines, lexicon), surface.bullet_styles(lines), surface.line_rules(lines),
+        surface.antithesis_repetition(lines, counts), surface.cleft_because(facts), tokens.token_findings(facts, f["tokens"], lines), measures.low_diversity(lexical),
         surface.finding(scores.filter(F.col("score") < m.SPECIFICITY), "low_specificity", text=F.left("text", F.lit(40)), value=F.col("score")),
-        measures.paragraph_rules(para_stats), spans.in_lines(measures.reading_load(sents), lines),
+        measures.paragraph_rules(para_stats),
     ]
     out = tokens.union(parts)
     if disabled:
         out = out.filter(~F.col("category").isin(disabled))
 
     def measure() -> DataFrame:
-        templates = tokens.pos_templates(toks).select("doc_id", F.struct(F.col("template").alias("lead_pos_4gram_top"), F.col("share").alias("lead_pos_4gram_ratio")).alias("ngram"))
+        sents, toks = f["sentences"], token_frame(f["sentences"], lexicon)
+        ends = facts.select("doc_id", "sent_idx", "line", "mode", "signature", "mora", "noun_ended")
+        shares = tokens.template_shares(facts.filter("template is not null"))
+        templates = shares.select("doc_id", F.struct(F.col("template").alias("lead_pos_4gram_top"), F.col("share").alias("lead_pos_4gram_ratio")).alias("ngram"))
         base = stats.document_stats(lines, stats.sentence_measures(sents, toks, ends))
-        whole = stats.merged(docs, [base, stats.structural_stats(docs), templates, stats.lexical_stats(lexical), stats.specificity_stats(scores)])
+        every = opening.join(measures.diversity(tokens.content_words(facts), ["sent_idx", "nth"]), "doc_id", "left")
+        whole = stats.merged(docs, [base, stats.structural_stats(docs), templates, stats.lexical_stats(every), stats.specificity_stats(scores)])
         return whole.withColumn("experimental", F.lit(experimental))
 
     return Run(policy(out, docs, experimental), measure)

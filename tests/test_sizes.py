@@ -1,10 +1,14 @@
 """Work that must not grow with what no rule or phrase asks for, and queries beside their SQL where large tables differ from small ones."""
 
+import random
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 
+from fumiyomi.functions import tokenizer
 from fumiyomi.operators import phrases
+from fumiyomi.plans.lint import frames
 from fumiyomi.plans.queries import ORACLE, QUERIES
 
 
@@ -31,3 +35,21 @@ def test_only_places_of_the_sought_gram_travel():
     texts = pa.RecordBatch.from_pydict({"k": [1, 2, 3], "text": ["the end of the story, the end of the long" * 2000, None, "é" + phrase]})
     rows = [r for b in phrases.placing({16: (table, bits)}, ["k"], len(phrase))([texts]) for r in b.to_pylist() if r["gram"] == sought["gram"]]
     assert [(r["k"], r["place"] - sought["chars"]) for r in rows] == [(3, 1)]
+
+
+def test_stretches_between_runs_give_the_path_of_the_whole_sentence():
+    rng, lex = random.Random(4), tokenizer.Lexicon()
+    parts = [*list(lex.words)[::7], "API", " ", "12", "日本語", "テスト", "、", "(", "🎉", "é", "ないない", "Ａ１", "привет"]
+    for _ in range(800):
+        x = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert [lex.rows[k][0] for k in lex.numbered(x)] == [w.surface for _, w in lex.tokenize(x)]
+        assert [lex.rows[k][2:5] for k in lex.numbered(x)] == [w.pos for _, w in lex.path(x)]
+
+
+def test_what_lint_keeps_is_about_the_text(spark):
+    """Of sentences that no rule on tokens can hold in, neither the text nor the tokens are kept."""
+    docs = spark.createDataFrame([(1, "tech", "A plain text. " * 50 + "\nこのことが問題だ。")], "doc_id long, genre string, text string")
+    f = frames(docs)
+    assert {r.sentence for r in f["facts"].select("sentence").collect()} == {None, "このことが問題だ"}
+    assert "".join(r.surface for r in f["tokens"].orderBy("sent_idx", "tok_idx").collect()) == "このことが問題だ"
+    spark.catalog.clearCache()
