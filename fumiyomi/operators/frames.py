@@ -27,8 +27,10 @@ def sentence_rows(lined: DataFrame, text: str = "raw") -> DataFrame:
 
 def sentences(masked: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
     """Sentences of structured lines with their place: sent_idx in the document, byte_start in the line, and raw_text, the raw
-    bytes at that place. rest: columns of lines that go along. One shuffle, by doc_id."""
-    cut = masked.select("doc_id", *rest, "line", "raw", F.posexplode(F.regexp_extract_all("masked", F.lit(_SEGMENT), 0)).alias("pos", "segment"))
+    bytes at that place. rest: columns of lines that go along. One shuffle, by doc_id. A sentence takes its line along only where
+    something of the line is masked; else the sentence itself is what stands there, and a line of many sentences stays one line."""
+    hidden = F.when(F.col("masked") != F.col("raw"), F.col("raw")).alias("raw")
+    cut = masked.select("doc_id", *rest, "line", hidden, F.posexplode(F.regexp_extract_all("masked", F.lit(_SEGMENT), 0)).alias("pos", "segment"))
     mark = F.regexp_extract("segment", f"[{TERMINATORS}]\\z", 0)
     body = F.regexp_replace("segment", f"[{TERMINATORS}]\\z", "")
     place = Window.partitionBy("doc_id").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -39,7 +41,7 @@ def sentences(masked: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(in_line), F.lit(0))).filter("sentence <> ''")
     lead = F.octet_length("body") - F.octet_length(F.regexp_replace("body", r"(?U)^\s+", ""))
     slice_ = F.decode(F.substring(F.encode("raw", "UTF-8"), F.col("before").cast("int") + 1, F.octet_length("body")), "UTF-8")
-    return rows.select("doc_id", *rest, "sent_idx", "line", "sentence", u_trim(slice_).alias("raw_text"), "end_mark", (F.col("before") + lead).cast("long").alias("byte_start"))
+    return rows.select("doc_id", *rest, "sent_idx", "line", "sentence", F.coalesce(u_trim(slice_), "sentence").alias("raw_text"), "end_mark", (F.col("before") + lead).cast("long").alias("byte_start"))
 
 
 def paragraphs(lined: DataFrame, text: str = "masked") -> DataFrame:

@@ -1,6 +1,7 @@
 """Work that must not grow with what no rule or phrase asks for, and queries beside their SQL where large tables differ from small ones."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -8,6 +9,8 @@ import pyarrow as pa
 
 from fumiyomi.functions import tokenizer
 from fumiyomi.operators import phrases
+from fumiyomi.operators.blocks import structured
+from fumiyomi.operators.frames import sentences
 from fumiyomi.plans.lint import frames
 from fumiyomi.plans.queries import ORACLE, QUERIES
 
@@ -37,6 +40,18 @@ def test_only_places_of_the_sought_gram_travel():
     assert [(r["k"], r["place"] - sought["chars"]) for r in rows] == [(3, 1)]
 
 
+def test_sentences_take_no_whole_lines_along(spark):
+    """A line of very many sentences isn't carried by each of them through the windows; where something is masked, raw_text is still
+    what the line has."""
+    docs = spark.createDataFrame([(1, "à b. " * 3 + "c! " * 500), (2, "`x y` はい。 <b>z</b>だ！")], "doc_id long, text string")
+    rows = sentences(structured(docs))
+    from_line = [r for r in rows.filter("doc_id = 2").select("sentence", "raw_text", "byte_start").collect()]
+    assert [(r.sentence, r.raw_text) for r in from_line] == [("はい", "`x y` はい"), ("z    だ", "<b>z</b>だ")]
+    assert {r.raw_text for r in rows.filter("doc_id = 1").collect()} == {"à b. à b. à b. c", "c"}
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]
+    assert re.search(r"CASE WHEN NOT \(masked#\d+ = raw#\d+\) THEN raw#\d+ END AS raw", below)
+
+
 def test_stretches_between_runs_give_the_path_of_the_whole_sentence():
     rng, lex = random.Random(4), tokenizer.Lexicon()
     parts = [*list(lex.words)[::7], "API", " ", "12", "日本語", "テスト", "、", "(", "🎉", "é", "ないない", "Ａ１", "привет"]
