@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from fumiyomi.functions import tokenizer
-from fumiyomi.operators import phrases
+from fumiyomi.operators import phrases, terms
 from fumiyomi.operators.blocks import structured
 from fumiyomi.operators.frames import sentences
 from fumiyomi.plans.lint import frames
@@ -68,3 +68,16 @@ def test_what_lint_keeps_is_about_the_text(spark):
     assert {r.sentence for r in f["facts"].select("sentence").collect()} == {None, "このことが問題だ"}
     assert "".join(r.surface for r in f["tokens"].orderBy("sent_idx", "tok_idx").collect()) == "このことが問題だ"
     spark.catalog.clearCache()
+
+
+def test_few_tokens_meet_the_rules_of_terms(spark):
+    """Only tokens of terms and those beside them become rows, and the terms are those of all tokens."""
+    rng = random.Random(8)
+    parts = ["Spark", "API", "テスト", "・", "ラン", "東京", "本", "は", " ", " plain words ", "。", "を", "x1", "X1", "日本語"]
+    rows = [(k, 1, 1, "".join(rng.choice(parts) for _ in range(rng.randint(1, 10)))) for k in range(300)]
+    sents = spark.createDataFrame(rows, "doc_id long, sent_idx int, line int, sentence string")
+    near = terms.near_terms(sents, tokenizer.tokenize()("sentence"))
+    every = tokenizer.token_frame(sents)
+    found = lambda toks: sorted(tuple(r) for r in terms.token_terms(toks).collect())
+    assert found(near) == found(every) != []
+    assert near.count() < every.count() * 0.8
